@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about `most` bytes; a single longer text is a part of its own."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     part = np.cumsum(lengths) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
     for a, b in zip(cuts, cuts[1:]):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secrets
+from . import decontamination, mixing, near_dedup, pii, quality_rules, secrets, token_counts, url_filters, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,22 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     base = F.col("fail_bits").bitwiseAND(F.lit(sum(map(quality_rules.bit, quality_rules.BASE))).cast("long")) != 0
@@ -29,5 +45,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op8_quality_rules": op8_quality_rules}
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
+    "op2_mix": op2_mix,
+    "op3_pii": op3_pii,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_url_filters": op9_url_filters,
+    "op10_warc": op10_warc,
+}
 SQL: dict[str, str] = {}
