@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, pii, quality_rules, secrets, token_counts, url_filters, warc
+from . import decontamination, mixing, near_dedup, pii, quality_rules, secrets, suffix_dedup, token_counts, url_filters, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_mix": op2_mix,
     "op3_pii": op3_pii,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
