@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, mixing, near_dedup, pii, quality_rules, secrets, suffix_dedup, token_counts, url_filters, warc
 from .common import table
+from .oracles import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,4 +70,5 @@ QUERIES: dict[str, Query] = {
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
