@@ -37,4 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         links = cut(_star(_star(links, True), False))
     roots = links.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct()
-    return links.select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(roots)
+    return cut(links.select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(roots))

@@ -9,10 +9,12 @@ Jaccard similarity. Arrivals are drawn in order and stop at a horizon at which a
 Signatures are cut into bands. Documents that share a band are compared exactly, by multiset overlap, and
 linked at the threshold; groups are the connected components of the links.
 
-Work on hot groups: exact copies (same words) are one key. In a bucket of up to SMALL keys all pairs are
-compared. In a larger one leaders are compared with all others, those linked to a leader leave the bucket,
-and more leaders are drawn until at most SMALL keys are left: linear in the bucket for each leader.
-Nothing is capped and no bucket is dropped.
+Work on hot groups: exact copies are one key. In a bucket of up to SMALL keys all pairs are compared. In a
+larger one a leader is compared with all others, the links are made components, and only keys of different
+components are compared with further leaders, until every bucket is of one component or all its keys have
+led. So no pair that meets in a band is passed over unless its component is known already, and a hot group
+around one text costs a comparison a key, not a pair. Keys that stay just below the threshold are the dear
+case: they are compared with every key of their buckets. Nothing is capped and no bucket is dropped.
 
 Defined results: null and wordless texts are groups of their own; documents of fewer than five words have
 one shingle of all their words; repeated rows are exact copies; null ids stay null and never name a group
@@ -38,7 +40,7 @@ BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 #: Expected points a slot at the first horizon; documents with an empty slot are drawn again to twice the horizon.
 HORIZON = 9.0
-SMALL = 16
+SMALL = 8
 #: Keys up to which a list of keys is broadcast; beyond, the same join is by shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -160,9 +162,8 @@ def band_hashes(who: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def key_of(text: Column) -> Column:
-    """128 bits of the words of a text, null without words: copies that differ in white space share it."""
-    words = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-    return F.when(words != "", F.unhex(F.md5(words)))
+    """128 bits of a text, null for one without words."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text)))
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,46 +226,55 @@ def _pairs_in(buckets: DataFrame) -> DataFrame:
     return a.join(b, "bucket").where("a < b").select("a", "b")
 
 
-def links(drawn: DataFrame, documents: DataFrame) -> DataFrame:
-    """Verified links between keys, from sketches; documents: where the texts are."""
-    entries = drawn.select("key", F.explode("bands").alias("bucket")).distinct()
+def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def components_of(drawn: DataFrame, documents: DataFrame) -> DataFrame:
+    """(key, root) of every linked key, from sketches; documents: where the texts are."""
+    entries = drawn.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(entries.join(sizes, "bucket"))
-    wanted = cut(met.select("key").distinct())
+    wanted = met.select("key").distinct()
     rows = documents.select(key_of(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).where("key IS NOT NULL")
-    texts = cut(among(rows, wanted, "left_semi").dropDuplicates(["key"]))
-    pairs = _pairs_in(met.where(F.col("n") <= SMALL)).distinct()
-    found = cut(verify(pairs, texts))
+    texts = cut(among(rows, cut(wanted), "left_semi").dropDuplicates(["key"]))
     large = met.where(F.col("n") > SMALL).select("bucket", "key", "n")
+    # the first leader of a bucket is the key that meets most others anywhere: in a hot group, the text the others were made from
     weight = large.groupBy("key").agg(F.sum("n").alias("centre"))
-    large, leaders = cut(large.join(weight, "key").select("bucket", "key", F.col("centre").cast("double").alias("rank"))), 1
-    while not large.isEmpty():
-        first = large.groupBy("bucket").agg(F.count("*").alias("n"), F.max("rank").alias("top"))
+    large = cut(large.join(weight, "key").select("bucket", "key", "centre"))
+    leader = large.groupBy("bucket").agg(F.max(F.struct("centre", "key")).alias("l")).select("bucket", F.col("l.key").alias("b"))
+    pairs = large.join(leader, "bucket").where("key <> b").select(F.col("key").alias("a"), "b").unionByName(_pairs_in(met.where(F.col("n") <= SMALL)))
+    found = cut(verify(pairs.distinct(), texts))
+    roots = components(found)
+    left = large.join(leader.withColumnRenamed("b", "key"), ["bucket", "key"], "left_anti").select("bucket", "key")
+    leaders = 1
+    while True:
+        # buckets whose keys are all of one component have nothing left to find
+        rows = _with_root(left, roots)
+        open_ = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
+        left = cut(rows.join(open_, "bucket").select("bucket", "key", "root", "n"))
+        if left.isEmpty():
+            return roots
+        place = F.xxhash64("key", "bucket", F.lit(leaders))
         if leaders == 1:
-            best = large.groupBy("bucket").agg(F.max(F.struct("rank", "key")).alias("l")).select("bucket", F.col("l.key").alias("leader"))
+            led = left.groupBy("bucket").agg(F.min(F.struct(place.alias("h"), F.col("key"), F.col("root"))).alias("l")).select("bucket", F.col("l.key").alias("b"), F.col("l.root").alias("b_root"))
         else:
-            share = F.pmod(F.xxhash64("key", "bucket", F.lit(leaders)), F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), leaders / F.col("n"))
-            best = large.join(first, "bucket").where(share).select("bucket", F.col("key").alias("leader"))
-        best = cut(best)
-        tried = large.join(best, "bucket").where("key <> leader").select("bucket", "key", "leader")
-        new = cut(verify(tried.select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), texts))
-        found = found.unionByName(new)
-        joined = tried.join(new, (tried["key"] == new["a"]) & (tried["leader"] == new["b"])).select("bucket", "key")
-        done = joined.unionByName(best.select("bucket", F.col("leader").alias("key"))).distinct()
-        left = large.join(done, ["bucket", "key"], "left_anti")
-        sizes = left.groupBy("bucket").agg(F.count("*").alias("n"))
-        left = cut(left.join(sizes, "bucket"))
-        found = found.unionByName(cut(verify(_pairs_in(left.where(F.col("n") <= SMALL)).distinct(), texts)))
-        large = left.where(F.col("n") > SMALL).select("bucket", "key", "rank")
+            share = F.pmod(place, F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), leaders / F.col("n"))
+            led = left.where(share).select("bucket", F.col("key").alias("b"), F.col("root").alias("b_root"))
+        led = cut(led)
+        tried = left.join(led, "bucket").where("root <> b_root").select(F.col("key").alias("a"), "b").distinct()
+        new = cut(verify(tried, texts))
+        if not new.isEmpty():
+            found = found.unionByName(new)
+            roots = components(found)
+        left = left.join(led.select("bucket", F.col("b").alias("key")), ["bucket", "key"], "left_anti").select("bucket", "key")
         leaders *= 2
-    return found
 
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, root) of every document with words, and (root, class_id, class_size)."""
     drawn = cut(sketches(documents))
-    roots = cut(components(links(drawn, documents)))
-    members = drawn.select("doc_id", "key").join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    members = _with_root(drawn.select("doc_id", "key"), components_of(drawn, documents))
     heads = members.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("head"), F.count("*").alias("class_size")
     )
