@@ -131,6 +131,8 @@ def _points(d, h, w, level, horizon, slots):
 
 def signatures(d: np.ndarray, h: np.ndarray, w: np.ndarray, n: int, slots: int = SLOTS, factor: float = HORIZON) -> np.ndarray:
     """BagMinHash signatures of n multisets, as identities of the winning points; empty multisets have zeros."""
+    if slots > 1024:
+        raise ValueError("a point has 11 bits for its slot, which is too few for more than 1024 slots")
     best, who = np.full(n * slots, np.inf), np.zeros(n * slots, np.uint64)
     total = np.bincount(d, w, minlength=n)
     level = np.ceil(np.log2(w)).astype(np.int64) + 1 if len(w) else w

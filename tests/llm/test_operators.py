@@ -1,0 +1,395 @@
+"""Operators against brute force, with nulls, empties, ties, repeats, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from cladeflow.llm import decontamination, mixing, near_dedup, pii, quality_rules, secrets, suffix_dedup, token_counts, url_filters, warc
+
+
+def sha(s):
+    return hashlib.sha256(s.encode() if isinstance(s, str) else s).hexdigest()
+
+
+def multiset(df):
+    return Counter(map(tuple, df.collect()))
+
+
+OPERATORS = {
+    "secrets": secrets.scan, "mix": mixing.mix, "pii": pii.find, "suffix": suffix_dedup.dedup, "near": near_dedup.groups,
+    "tokens": token_counts.count_tokens, "quality": quality_rules.ledger,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_extra_columns_and_empty_table(docs, crowded, name):
+    run = OPERATORS[name]
+    plain = multiset(run(docs))
+    assert sum(plain.values()) == docs.count()
+    assert multiset(run(crowded)) == plain
+    assert run(docs.limit(0)).count() == 0
+
+
+# ---- 1 ----
+
+ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secret_base(t):
+    s = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(s))
+
+
+def test_secret_base_spans(spark, rows):
+    pick = random.Random(4)
+    parts = ["token", "Secret", "=", ":", " ", '"', "abcd", "API_KEY", "apikey", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", ".", "password=short", "passwd: a.b-c_d/e+f=="]
+    texts = ["".join(pick.choices(parts, k=30)) for _ in range(150)] + [r[1] or "" for r in rows] + ["token=secret: abcdefghijkl", "token" + " " * 3000 + "= abcdefgh1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        assert r.base_sha256 == sha(secret_base(texts[r.doc_id])), texts[r.doc_id]
+        assert set(filter(None, secret_base(texts[r.doc_id]).split(","))) <= set(r.spans.split(","))
+
+
+def test_window_entropy(spark):
+    pick = random.Random(9)
+    alphabet = secrets.CLASSES["base64"][0]
+    values = ["".join(pick.choices(alphabet, k=n)) for n in (20, 21, 45, 90)] + ["a" * 30, "ab" * 15]
+
+    def brute(v, w=secrets.WINDOW):
+        h = lambda x: -sum(c / w * np.log2(c / w) for c in Counter(x).values())
+        return max(h(v[i : i + w]) for i in range(len(v) - w + 1))
+
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    from pyspark.sql import functions as F
+
+    got = {r.v: r.e for r in df.select("v", secrets.window_entropy(F.col("v"), alphabet).alias("e")).collect()}
+    assert all(got[v] == pytest.approx(brute(v)) for v in values)
+
+
+def test_secrets_added_allowed_and_masked(spark):
+    texts = ["key wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzKEY9 here", "antidisestablishmentarianism-everywhere", "550e8400-e29b-41d4-a716-446655440000", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY1", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_entropy for r in secrets.scan(df).collect()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0}
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert out[0] == "key [SECRET] here" and out[1] == texts[1] and out[4] is None
+
+
+# ---- 2 ----
+
+
+def test_water_filling_and_targets(spark):
+    sizes = {"a": 10, "b": 1000, "c": 400, None: 7}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    weight = dict(zip(["a", "b", "c", None], (5, 2, 1, 5)))
+    total, clamped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[x] for x in clamped)
+        open_ = {x: rest * weight[x] / sum(weight[y] for y in sizes if y not in clamped) for x in sizes if x not in clamped}
+        above = {x for x, t in open_.items() if t > 3 * sizes[x]}
+        if not above:
+            break
+        clamped |= above
+    want = {x: 3 * sizes[x] if x in clamped else open_[x] for x in sizes}
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(total)
+
+
+def test_mix_comes_near_targets(spark):
+    pick = random.Random(6)
+    rows = [(i, "w " * pick.randrange(1, 60), pick.choice(["a", "a", "a", "b", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).toPandas()
+    assert len(out) == 3000 and (out.taken <= 3 * out["size"]).all()
+    for target, g in out.groupby("target"):
+        assert abs(g.taken.sum() - target) <= 60
+    again = mixing.mix(df.repartition(7)).toPandas()
+    key = ["doc_id", "taken"]
+    assert out[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
+
+
+# ---- 3 ----
+
+
+def pii_base(t):
+    def luhn(x):
+        n = 0
+        for i, c in enumerate(x[::-1]):
+            v = int(c) * (1 + i % 2)
+            n += v - 9 if v > 9 else v
+        return n % 10 == 0
+
+    s = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    s += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        g = re.sub(r"\D", "", m[0])
+        s += [(m.start(), 2, m.end())] if 12 <= len(g) <= 19 and luhn(g) else []
+    s += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+    return sorted(s)
+
+
+def test_pii_base_spans(rows):
+    pick = random.Random(8)
+    parts = ["a", "b.", "@", "c-d", ".", "12", "4539148803436467", "+1", " ", "(743)", "555-3824", "10.0.0.1", "256", "-", "é", "00", "x.y@z.w"]
+    texts = ["".join(pick.choices(parts, k=25)) for _ in range(3000)] + [r[1] or "" for r in rows] + ["1" * 50_000, "a" * 50_000 + "@", "1.1" * 20_000, "+1" + " " * 50_000]
+    for t in texts:
+        assert pii.base_spans(t) == pii_base(t), t[:200]
+
+
+def test_field_learns_and_decodes():
+    field = pii.train(pii.labelled_table())
+    held = defaultdict(list)
+    for i, _, token, label in pii.labelled_table(300, 99):
+        held[i].append((token, label))
+    right = total = 0
+    for s in held.values():
+        got = field.decode(np.array([len(s)]), np.array([field.emission(t) for t, _ in s]))
+        right += sum(pii.LABELS[x] == y for x, (_, y) in zip(got, s))
+        total += len(s)
+    assert right / total > 0.9
+    # Viterbi against all paths
+    import itertools
+
+    s = held[1][:3]
+    e = np.array([field.emission(t) for t, _ in s])
+    paths = itertools.product(range(len(pii.LABELS)), repeat=len(s))
+    value = lambda p: field.move[0, p[0]] + field.move[p[-1], 0] + sum(e[i, x] for i, x in enumerate(p)) + sum(field.move[a, b] for a, b in zip(p, p[1:]))
+    assert tuple(field.decode(np.array([len(s)]), e)) == max(paths, key=value)
+    (spans,) = pii.field_spans(field, ["call 555-123-4567 in 2020"])
+    assert [(a, pii.KINDS[k], b) for a, k, b in spans] == [(5, "phone", 17)]
+
+
+# ---- 4 ----
+
+
+def kept_bytes(texts, span=400):
+    data = [(t or "").encode() for t in texts]
+    starts = Counter(b[i : i + span] for b in data for i in range(len(b) - span + 1))
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - span + 1):
+            if starts[b[i : i + span]] > 1:
+                gone[i : i + span] = b"\1" * span
+        runs = sum(bool(g) and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(b), sum(gone), runs, sha(bytes(c for c, g in zip(b, gone) if not g))))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_suffix_dedup(spark, rows, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    pick = random.Random(5)
+    a = ["".join(pick.choice("ab é\n") for _ in range(pick.randrange(300, 1200))) for _ in range(6)]
+    texts = [r[1] for r in rows if len(r[1] or "") < 5000] + a + [a[0], a[1][50:], a[2][:500] + a[3][100:700] + a[4][200:], "a" * 900, "xy" * 500, a[5][:399], a[5][:400], a[5][5:405] + "q" + a[0][-400:]]
+    table = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
+    table += [table[-1], table[-1]]
+    got = suffix_dedup.dedup(spark.createDataFrame(table, "doc_id long, text string"))
+    assert Counter(map(tuple, got.drop("doc_id").collect())) == Counter(kept_bytes([t for _, t in table]))
+
+
+# ---- 5 ----
+
+
+def near_classes(rows, limit=0.8):
+    bags = []
+    for r in rows:
+        w = (r[1] or "").encode().split()
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else []))
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = sum((bags[i] & bags[j]).values())
+            if both and both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= limit:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    ids = defaultdict(list)
+    for i, r in enumerate(rows):
+        ids[root(i)].append(r[0])
+    best = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
+    return Counter((r[0], best[root(i)], len(ids[root(i)])) for i, r in enumerate(rows))
+
+
+def test_near_groups(docs, rows):
+    assert multiset(near_dedup.groups(docs)) == near_classes(rows)
+
+
+def test_hot_near_group(spark, monkeypatch):
+    """Copies of one text that are near it but not near each other are one group, whatever leads."""
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    pick = random.Random(2)
+    base = [f"b{pick.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(7 if i else 0):
+            w[pick.randrange(400)] = f"e{pick.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"c{pick.randrange(5000)}" for _ in range(200))) for i in range(20)]
+    assert multiset(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == near_classes(rows)
+
+
+def test_one_of_each_group_stays(docs, crowded, rows):
+    left = near_dedup.drop_duplicates(docs)
+    assert left.columns == docs.columns
+    got = Counter(r.doc_id for r in left.collect())
+    want = Counter(c for _, c, _ in {k for k in near_classes(rows)} if c is not None)
+    assert set(got) - {None} == set(want) and got[0] == 1
+    assert near_dedup.drop_duplicates(crowded).columns == crowded.columns
+    assert near_dedup.drop_duplicates(docs.limit(0)).count() == 0
+
+
+def test_signatures_are_unbiased():
+    pick = random.Random(3)
+    base = [f"w{pick.randrange(2000)}" for _ in range(300)]
+    other = [f"x{i}" if i % 40 == 0 else w for i, w in enumerate(base)] + "a b c d e f".split() * 6
+    texts = [" ".join(base + "a b c d e f".split() * 3).encode(), " ".join(other).encode()]
+    d, h, _ = near_dedup.shingles(texts)
+    who = near_dedup.signatures(*near_dedup.bags(d, h, 2), 2, slots=1000)
+    one, two = (near_dedup._bag(t.decode()) for t in texts)
+    assert (who[0] == who[1]).mean() == pytest.approx(near_dedup.overlap(one, two), abs=0.05)
+
+
+# ---- 6 ----
+
+
+def test_token_counts(spark, rows):
+    pieces = token_counts.read_vocabulary()
+    known, longest, automaton = set(pieces), max(map(len, pieces)), token_counts.Automaton(pieces)
+    words = {w for r in rows for w in (r[1] or "").encode().lower().split()} | {"naïveté".encode(), "日本".encode(), b"a" * 500}
+    assert all(automaton.count(w) == token_counts.greedy_pieces(known, w, longest) for w in words)
+    small = {(97,), (97, 98), (98, 99, token_counts.END), (99,), (token_counts.END,), (97, 98, 99, 100)}
+    tiny = token_counts.Automaton(sorted(small))
+    for w in (b"abc", b"abcd", b"ab", b"abab", b"aabc", b"abx", b"c"):
+        assert tiny.count(w) == token_counts.greedy_pieces(small, w, 4), w
+
+
+# ---- 7 ----
+
+
+def contaminated(texts, items):
+    token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    split = lambda t: token.findall((t or "").translate(lower))
+    windows = defaultdict(set)
+    for name, text in items:
+        w = split(text)
+        n = min(len(w), 10)
+        for i in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[i : i + n])].add("" if name is None else str(name))
+    out = []
+    for t in texts:
+        w, found = split(t), set()
+        hit = [False] * len(w)
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    found |= windows[tuple(w[i : i + n])]
+                    hit[i : i + n] = [True] * n
+        out.append((len(w), sum(hit), len(found), decontamination.items_sha256(list(found)), any(hit)))
+    return out
+
+
+@pytest.mark.parametrize("block", [10**6, 20])
+def test_decontamination(spark, docs, rows, block):
+    base = rows[0][1].split()
+    pick = random.Random(7)
+    items = [(3, " ".join(base[40:70])), (12, "One, TWO three!"), (None, " ".join(base[100:109])), (7, " ".join(pick.choices("a b c".split(), k=40))), (7, "x y z x y z x y z x y z"), (9, None), (10, "...")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = docs.unionByName(spark.createDataFrame([(90, " ".join(pick.choices("a b c".split(), k=3000)), "", "", 1)], docs.schema))
+    got = decontamination.digest(decontamination.find(more, bench, block_words=block)).drop("doc_id")
+    assert multiset(got) == Counter(contaminated([r.text for r in more.collect()], items))
+    clean = decontamination.filter_documents(more, bench)
+    assert clean.count() == sum(not r[4] for r in contaminated([r.text for r in more.collect()], items))
+    assert decontamination.find(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+# ---- 8 ----
+
+
+def test_quality_measures(docs, rows):
+    def brute(t):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        c = Counter(g)
+        hit = {i + k for i, x in enumerate(g) if c[x] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(hit)
+
+    got = Counter((r.doc_id, *r[1:6]) for r in quality_rules.ledger(docs).collect())
+    assert got == Counter((r[0], *brute(r[1])) for r in rows)
+
+
+def test_policies_and_ablation(docs):
+    entries = quality_rules.ledger(docs)
+    kept = {p: quality_rules.apply_policy(entries, p).where("kept").count() for p in quality_rules.POLICIES}
+    assert kept["v1"] >= kept["v2"] >= kept["v3"] > 0
+    bits = [r.fail_bits & quality_rules.mask("v3") for r in entries.collect()]
+    for r in quality_rules.ablation(entries, "v3").collect():
+        b = quality_rules.bit(r.rule)
+        assert (r.n_failed, r.n_failed_alone, r.n_kept_without) == (sum(bool(x & b) for x in bits), bits.count(b), sum(not x & ~b for x in bits))
+    left = quality_rules.filter_documents(docs)
+    assert left.columns == docs.columns and left.count() == kept["v3"]
+
+
+# ---- 9 ----
+
+
+def test_url_rules(spark):
+    urls = {
+        "http://a.net/x": ("a.net", "/x", "net/", "block"), "https://M.Example.NET/en/1?q#f": ("m.example.net", "/en/1", "example.net/en/", "allow"),
+        "http://example.com/de/1": ("example.com", "/de/1", "example.com/de/", "block"), "http://x.org/fr/": ("x.org", "/fr/", "org/fr/", "allow"),
+        "http://badexample.net": ("badexample.net", "", None, None), "nothing": ("", "", None, "allow"), "http://a.net?x/y": ("a.net", "", None, None),
+    }
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, None])], "page_id long, url string")
+    got = {r.page_id: r for r in url_filters.judge(df).collect()}
+    for i, (u, (host, path, rule, verdict)) in enumerate(urls.items()):
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
+        assert verdict is None or got[i].verdict == verdict
+    assert (got[len(urls)].host, got[len(urls)].verdict) == ("", "allow")
+    assert url_filters.judge(df.limit(0)).count() == 0
+
+
+def test_url_model_on_held_out_rows():
+    rows = url_filters.labelled_urls()
+    random.Random(1).shuffle(rows)
+    cut = len(rows) * 4 // 5
+    weights = url_filters.train(rows[:cut])
+    p = url_filters.score(weights, [r[0] for r in rows[cut:]], [r[1] for r in rows[cut:]])
+    right = [(x >= url_filters.THRESHOLD) == bool(r[2]) for x, r in zip(p, rows[cut:])]
+    assert sum(right) / len(right) > 0.9
+
+
+# ---- 10 ----
+
+
+def test_warc_round_trip(spark):
+    page = "<html lang='de'><title>A &amp; B</title><script>x<y</script><!-- no --><p>One<br>Two <b>bold</b></p><a href='/l'>link</a></html>"
+    pages = spark.createDataFrame([(1, "http://h/p", page), (1, "http://h/p", page), (2, None, None), (None, "http://é/ü", "plain é")], "page_id long, url string, html string")
+    responses = warc.responses_of(pages)
+    derived = warc.derivatives(responses)
+    rows = derived.collect()
+    assert len(rows) == 8 and derived.where("record_type = 'conversion'").count() == 4
+    text = next(r for r in rows if r.key == 1 and r.record_type == "conversion")
+    assert text.block == "A & B\nOne\nTwo bold\nlink"
+    source = {r.record_id: r for r in responses.collect()}
+    for r in rows:
+        assert r.refers_to in source and r.target_uri == source[r.refers_to].target_uri and r.source_payload_digest == warc.digest(source[r.refers_to].payload.encode())
+    parsed = [x for r in warc.to_records(derived).collect() for x in warc.parse(bytes(r.record))]
+    assert Counter((h["WARC-Record-ID"], h["WARC-Refers-To"], b.decode()) for h, b in parsed) == Counter((r.record_id, r.refers_to, r.block) for r in rows)
+    assert all(warc.digest(b) == h["WARC-Block-Digest"] for h, b in parsed)
+    written = b"".join(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", r.record_id), ("WARC-Target-URI", r.target_uri), ("WARC-Date", r.date)], b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + r.payload.encode()) for r in source.values())
+    back = warc.read_responses(spark.createDataFrame([(bytearray(written),)], "content binary"))
+    assert multiset(back.select("record_id", "target_uri", "date", "payload")) == Counter((r.record_id, r.target_uri, r.date, r.payload) for r in source.values())
+    assert warc.derivatives(warc.responses_of(pages.limit(0))).count() == 0
