@@ -163,7 +163,7 @@ def _(s):
 LOG = "CAST(o_custkey AS STRING) AS file, o_orderkey AS n, concat(CASE WHEN o_orderkey % 2 = 0 THEN '2024/01/02 03:04:05 AM' ELSE '2024/01/02 03:05:15 PM' END, ' - ', CASE WHEN o_orderkey % 3 < 2 THEN 'Running QUERY' ELSE 'waiting' END) AS value"
 
 
-@query("SRC-22_log_seconds", f"WITH l AS (SELECT {LOG} FROM orders), h AS (SELECT file, n, strptime(substr(value, 1, 22), '%Y/%m/%d %I:%M:%S %p') AS at FROM l WHERE lower(value) LIKE '%query%') SELECT file, CAST(date_diff('second', arg_min(at, n), arg_max(at, n)) AS BIGINT) AS seconds FROM h GROUP BY file HAVING count(*) >= 2")
+@query("SRC-22_log_seconds", f"WITH l AS (SELECT {LOG} FROM orders), h AS (SELECT file, n, strptime(substr(value, 1, 22), '%Y/%m/%d %I:%M:%S %p') AS stamp FROM l WHERE lower(value) LIKE '%query%') SELECT file, CAST(date_diff('second', arg_min(stamp, n), arg_max(stamp, n)) AS BIGINT) AS seconds FROM h GROUP BY file HAVING count(*) >= 2")
 def _(s):
     lines = s.table("orders").selectExpr("CAST(o_custkey AS STRING) AS file", "o_orderkey AS n", LOG.split(" AS n, ")[1])
     enough = lines.where("lower(value) LIKE '%query%'").groupBy("file").count().where("count > 1").select("file")
