@@ -90,11 +90,11 @@ def _(s):
     return s.pairs
 
 
-EST = "round(p_obs, 9) AS p_obs, round(p_ref, 9) AS p_ref, round(p_err, 9) AS p_err, round(error_fraction, 7) AS error_fraction, round(error_fraction_se, 7) AS error_fraction_se"
+EST = "round(p_obs, 9) AS p_obs, round(p_ref, 9) AS p_ref, round(p_err, 9) AS p_err, round(error_fraction, 7) + 0.0::DOUBLE AS error_fraction, round(error_fraction_se, 7) AS error_fraction_se"
 
 
 def rounded(e):
-    return e.withColumns({c: F.round(c, 9) for c in ("p_obs", "p_ref", "p_err")} | {c: F.round(c, 7) for c in ("error_fraction", "error_fraction_se")})
+    return e.withColumns({c: F.round(c, 9) for c in ("p_obs", "p_ref", "p_err")} | {c: F.round(c, 7) + F.lit(0.0) for c in ("error_fraction", "error_fraction_se")})
 
 
 @query("DOM-04_error_estimates", f"SELECT scope, marker, f_class, single_read, parent_class, statistic, n_pairs, n_single_nt, {EST} FROM est")
