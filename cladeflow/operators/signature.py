@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codons import diff_position, effect, expected_ninths, is_transition, n_diff, translate_codon
+from ..functions.codons import CODE, diff_position, effect, expected_rows, is_transition, n_diff
 from ..functions.scalars import f_class, normalise_gaps, parent_class
 
 WINDOW = 60
@@ -43,18 +43,24 @@ def signature(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     changed = F.filter(split, lambda x: (x["r"] != x["m"]) & x["r"].rlike(plain) & x["m"].rlike(plain))
     # pairs are counted before their codons are spread; most have one or two
     rows = rows.withColumn("c", F.explode_outer(F.concat(F.array(F.lit(None).cast("struct<r:string,m:string>")), changed)))
-    head = F.col("c").isNull()
-    r, m = F.col("c.r"), F.col("c.m")
-    diff = n_diff(r, m)
-    one = ~head & (diff == 1) & (translate_codon(r) != "*")
-    pos, what = diff_position(r, m), effect(translate_codon(r), translate_codon(m))
-    ninths = lambda kind: (F.sum(F.when(one, expected_ninths(r, kind)).otherwise(0)) / 9.0).alias(f"exp_{kind}")
+    # what a codon change does is looked up once, by joins to the 64 codons
+    spark = pairs.sparkSession
+    code = spark.createDataFrame(list(CODE.items()), "codon string, aa string")
+    ninths = spark.createDataFrame(expected_rows(), "r string, syn9 int, nonsyn9 int, stop9 int")
+    of_rep = F.broadcast(code.select(F.col("codon").alias("r"), F.col("aa").alias("r_aa")).join(ninths, "r", "left"))
+    of_member = F.broadcast(code.select(F.col("codon").alias("m"), F.col("aa").alias("m_aa")))
+    rows = rows.select(*keys, *STRATA, "ambiguous", F.col("c").isNull().alias("head"), F.col("c.r").alias("r"), F.col("c.m").alias("m"))
+    rows = rows.join(of_rep, "r", "left").join(of_member, "m", "left")
+    rows = rows.withColumn("diff", n_diff("r", "m")).withColumn("pos", diff_position("r", "m")).withColumn("what", effect("r_aa", "m_aa"))
+    rows = rows.withColumn("one", F.coalesce(~F.col("head") & (F.col("diff") == 1) & (F.col("r_aa") != "*"), F.lit(False)))
+    one, head, pos, what = (F.col(c) for c in ("one", "head", "pos", "what"))
+    expected = [(F.sum(F.when(one, F.col(f"{e}9")).otherwise(0)) / 9.0).alias(f"exp_{e}") for e in ("syn", "nonsyn", "stop")]
     return rows.groupBy(*keys, *STRATA).agg(
         F.count_if(head).alias("n_pairs"), F.count_if(head & F.col("ambiguous")).alias("n_pairs_ambiguous"), F.count_if(one).alias("n_single_nt"),
         *[F.count_if(one & (pos == p)).alias(f"pos{p}") for p in (1, 2, 3)],
         *[F.count_if(one & (what == e)).alias(e) for e in ("syn", "nonsyn", "stop")],
-        *[ninths(e) for e in ("syn", "nonsyn", "stop")],
-        F.count_if(one & is_transition(r, m)).alias("transitions"), F.count_if(~head & (diff > 1)).alias("n_codons_multi_nt"),
+        *expected,
+        F.count_if(one & is_transition("r", "m")).alias("transitions"), F.count_if(~head & (F.col("diff") > 1)).alias("n_codons_multi_nt"),
     ).select(*keys, *STRATA, *COUNTS)
 
 
