@@ -10,11 +10,12 @@ Signatures are cut into bands. Documents that share a band are compared exactly,
 linked at the threshold; groups are the connected components of the links.
 
 Work on hot groups: exact copies are one key. In a bucket of up to SMALL keys all pairs are compared. In a
-larger one a leader is compared with all others, the links are made components, and only keys of different
-components are compared with further leaders, until every bucket is of one component or all its keys have
-led. So no pair that meets in a band is passed over unless its component is known already, and a hot group
-around one text costs a comparison a key, not a pair. Keys that stay just below the threshold are the dear
-case: they are compared with every key of their buckets. Nothing is capped and no bucket is dropped.
+larger one a leader is compared with all others and the links are made components. Where a bucket has keys
+of several components then, those outside its largest one are compared with all of it: both sides are dealt
+into blocks, a pair of blocks is a cell, and a cell's texts meet in one task, which gives a spanning forest of
+the links it finds. So no pair that meets in a band is passed over unless its component is known already,
+texts are sent once a cell and not once a pair, and no list of pairs is made. Nothing is capped and no bucket
+is dropped.
 
 Defined results: null and wordless texts are groups of their own; documents of fewer than five words have
 one shingle of all their words; repeated rows are exact copies; null ids stay null and never name a group
@@ -41,6 +42,10 @@ SLOTS = BANDS * ROWS
 #: Expected points a slot at the first horizon; documents with an empty slot are drawn again to twice the horizon.
 HORIZON = 9.0
 SMALL = 8
+#: Keys and text bytes that a block of a hot bucket is dealt for; a cell holds two blocks.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Columns of the matrices that a cell multiplies at a time.
+COLUMNS = 4096
 #: Keys up to which a list of keys is broadcast; beyond, the same join is by shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -217,6 +222,102 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.sortWithinPartitions("b").mapInArrow(_verified, "a binary, b binary")
 
 
+def _elements(text: str) -> np.ndarray:
+    """A bag as a set: every occurrence of a shingle is an element of its own, so common elements are sum(min)."""
+    h, m = _bag(text)
+    nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    return mix64(np.repeat(h, m) + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def near_pairs(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two lists of element sets, or i < j of one list, that overlap by the threshold.
+
+    What a set shares with the other side as a whole bounds each of its overlaps; sets below that are left
+    out before the matrix of common elements is made.
+    """
+    sides = [a] if b is None else [a, b]
+    sizes = [np.array([len(x) for x in side], np.int64) for side in sides]
+    held = [np.concatenate([*side, np.empty(0, np.uint64)]) for side in sides]
+    row = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    for _ in range(3):
+        if b is None:
+            _, place, df = np.unique(held[0], return_inverse=True, return_counts=True)
+            shared = [df[place] > 1]
+        else:
+            shared = [np.isin(held[0], held[1]), np.isin(held[1], held[0])]
+        before = sum(map(len, held))
+        for k, on in enumerate(shared):
+            able = np.bincount(row[k], on, minlength=len(sizes[k])) >= THRESHOLD * sizes[k] - 1e-6
+            on = on & able[row[k]]
+            held[k], row[k] = held[k][on], row[k][on]
+        if sum(map(len, held)) == before:
+            break
+    if b is None:
+        held, row, sizes = held * 2, row * 2, sizes * 2
+    left = [np.unique(r) for r in row]
+    row = [np.searchsorted(u, r) for u, r in zip(left, row)]
+    names = np.unique(held[0])
+    column = [np.searchsorted(names, x) for x in held]
+    order = [np.argsort(c, kind="stable") for c in column]
+    column, row = [c[o] for c, o in zip(column, order)], [r[o] for r, o in zip(row, order)]
+    common = np.zeros((len(left[0]), len(left[1])))
+    for at in range(0, len(names), COLUMNS):
+        parts = []
+        for k in (0, 1):
+            low, high = np.searchsorted(column[k], (at, at + COLUMNS))
+            part = np.zeros((len(left[k]), COLUMNS), np.float32)
+            part[row[k][low:high], column[k][low:high] - at] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    union = sizes[0][left[0]][:, None] + sizes[1][left[1]][None] - common
+    i, j = np.nonzero(common / np.maximum(union, 1) >= THRESHOLD)
+    i, j = left[0][i], left[1][j]
+    return (i[i < j], j[i < j]) if b is None else (i, j)
+
+
+def _cell(rows: pa.Table) -> pa.Table:
+    """Links of one cell that join different components: a spanning forest of them."""
+    key, root, second, text = (rows.column(c).to_pylist() for c in ("key", "root", "second", "text"))
+    label = np.unique(np.array([r.hex() for r in root]), return_inverse=True)[1]
+    sets = [_elements(t) for t in text]
+    one, two = (np.flatnonzero(np.array(second) == x) for x in (False, True))
+    if len(two):
+        i, j = near_pairs([sets[x] for x in one], [sets[x] for x in two])
+        i, j = one[i], two[j]
+    else:
+        i, j = near_pairs(sets)
+    found = []
+    for x in np.unique(i):
+        for y in j[i == x]:
+            if label[x] != label[y]:
+                found.append((key[x], key[y]))
+                label[label == label[y]] = label[x]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+
+def _within_hot(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """From (bucket, key, root) of buckets of several components: links (a, b) between these, a spanning forest a cell."""
+    left = cut(left.join(texts.select("key", F.octet_length("text").alias("bytes")), "key"))
+    main = left.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"))
+    sided = left.join(main.select("bucket", F.col("m.root").alias("main")), "bucket").withColumn("rest", F.col("root") != F.col("main")).drop("main")
+
+    def blocks(on: Column) -> Column:
+        n, size = F.count(F.when(on, 1)), F.coalesce(F.sum(F.when(on, F.col("bytes"))), F.lit(0))
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+
+    dealt = sided.groupBy("bucket").agg(blocks(F.col("rest")).alias("r"), blocks(~F.col("rest")).alias("m"))
+    rows = sided.join(dealt, "bucket").withColumn("i", F.pmod(F.xxhash64("key"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))))
+    rest = F.sequence(F.lit(0).cast("long"), F.col("r") - 1)
+    with_rest = F.transform(rest, lambda j: F.struct(F.lit(False).alias("main"), F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), (j < F.col("i")).alias("second")))
+    with_main = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: F.struct(F.lit(True).alias("main"), F.col("i").alias("x"), j.alias("y"), F.lit(False).alias("second"))
+    )
+    of_main = F.transform(rest, lambda j: F.struct(F.lit(True).alias("main"), j.alias("x"), F.col("i").alias("y"), F.lit(True).alias("second")))
+    cells = rows.select("bucket", "key", "root", F.explode(F.when(F.col("rest"), F.concat(with_rest, with_main)).otherwise(of_main)).alias("c"))
+    full = cells.select("bucket", "key", "root", "c.*").join(texts, "key")
+    return full.groupBy("bucket", "main", "x", "y").applyInArrow(_cell, "a binary, b binary")
+
+
 def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """A semi or anti join on `key`, by broadcast only if the keys are few."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
@@ -248,29 +349,11 @@ def components_of(drawn: DataFrame, documents: DataFrame) -> DataFrame:
     pairs = large.join(leader, "bucket").where("key <> b").select(F.col("key").alias("a"), "b").unionByName(_pairs_in(met.where(F.col("n") <= SMALL)))
     found = cut(verify(pairs.distinct(), texts))
     roots = components(found)
-    left = large.join(leader.withColumnRenamed("b", "key"), ["bucket", "key"], "left_anti").select("bucket", "key")
-    leaders = 1
-    while True:
-        # buckets whose keys are all of one component have nothing left to find
-        rows = _with_root(left, roots)
-        open_ = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
-        left = cut(rows.join(open_, "bucket").select("bucket", "key", "root", "n"))
-        if left.isEmpty():
-            return roots
-        place = F.xxhash64("key", "bucket", F.lit(leaders))
-        if leaders == 1:
-            led = left.groupBy("bucket").agg(F.min(F.struct(place.alias("h"), F.col("key"), F.col("root"))).alias("l")).select("bucket", F.col("l.key").alias("b"), F.col("l.root").alias("b_root"))
-        else:
-            share = F.pmod(place, F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), leaders / F.col("n"))
-            led = left.where(share).select("bucket", F.col("key").alias("b"), F.col("root").alias("b_root"))
-        led = cut(led)
-        tried = left.join(led, "bucket").where("root <> b_root").select(F.col("key").alias("a"), "b").distinct()
-        new = cut(verify(tried, texts))
-        if not new.isEmpty():
-            found = found.unionByName(new)
-            roots = components(found)
-        left = left.join(led.select("bucket", F.col("b").alias("key")), ["bucket", "key"], "left_anti").select("bucket", "key")
-        leaders *= 2
+    # buckets whose keys are all of one component have nothing left to find
+    rows = _with_root(large.select("bucket", "key"), roots)
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    new = cut(_within_hot(rows.join(several, "bucket"), texts).distinct())
+    return roots if new.isEmpty() else components(found.unionByName(new))
 
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

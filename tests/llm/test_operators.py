@@ -239,6 +239,41 @@ def test_hot_near_group(spark, monkeypatch):
     assert multiset(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == near_classes(rows)
 
 
+def copies_of_copies(n, length, edits, seed):
+    """Texts that each edit an earlier one, so that similarities spread around the threshold."""
+    pick = random.Random(seed)
+    texts = [[f"b{pick.randrange(5000)}" for _ in range(length)]]
+    while len(texts) < n:
+        w = list(pick.choice(texts))
+        for _ in range(pick.randrange(edits)):
+            w[pick.randrange(length)] = f"e{pick.randrange(10**6)}" if pick.random() < 0.7 else w[0]
+        texts.append(w)
+    return [" ".join(w) for w in texts]
+
+
+@pytest.mark.parametrize("block, size", [(8, 16 << 20), (1000, 3000), (1000, 16 << 20)])
+def test_hot_group_around_the_threshold(spark, monkeypatch, block, size):
+    """Cells of any size, by rows or by bytes, find every link."""
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+    rows = [(i, t) for i, t in enumerate(copies_of_copies(90, 150, 12, 5))]
+    want = near_classes(rows)
+    assert 30 < len({c for _, c, _ in want}) < 90
+    assert multiset(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
+def test_near_pairs_are_those_of_the_bags(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
+    texts = [*copies_of_copies(60, 120, 10, 6), "a b c", "a b c", "x " * 50, "x " * 45]
+    sets = [near_dedup._elements(t) for t in texts]
+    bags = [near_dedup._bag(t) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if near_dedup.overlap(bags[i], bags[j]) >= 0.8}
+    assert set(zip(*near_dedup.near_pairs(sets))) == {(i, j) for i, j in near if i < j}
+    assert set(zip(*near_dedup.near_pairs(sets[:30], sets[30:]))) == {(i, j - 30) for i, j in near if i < 30 <= j}
+    assert len(near_dedup.near_pairs([], sets)[0]) == len(near_dedup.near_pairs(sets[:1])[0]) == 0
+
+
 def test_one_of_each_group_stays(docs, crowded, rows):
     left = near_dedup.drop_duplicates(docs)
     assert left.columns == docs.columns
