@@ -101,6 +101,7 @@ def cluster_chunked(unique: DataFrame, size: int, max_divergence: int = 2, windo
     """CLU-03: representatives so far and the next chunk, round by round. The result is that of `cluster`; offered for resumable runs."""
     if size <= 0:
         raise ValueError("size must be positive")
+    unique = _cut(unique.select("gene", "seq_num", "sequence"))
     last = unique.agg(F.max("seq_num")).first()[0]
     reps, done = None, None
     for start in range(0, (last if last is not None else -1) + 1, size):

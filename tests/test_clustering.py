@@ -1,7 +1,11 @@
 """Clustering against the rule in plain Python."""
 
+import os
 import random
 
+import pytest
+
+import __spark_entry__ as entry
 from cladeflow.operators import clustering
 
 
@@ -44,3 +48,11 @@ def test_chains_and_chunks(spark):
     parts = {r.member: r.rep for r in clustering.cluster_chunked(frame(spark, ws), 15).collect()}
     assert parts == whole
     assert clustering.cluster(frame(spark, ws).limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_chunked_query_is_whole(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").where("l_orderkey % 5 = 0").write.parquet(str(tmp_path / "lineitem.parquet"))
+    whole, parts = (sorted(map(tuple, entry.queries()[n](spark, str(tmp_path)).collect())) for n in ("CLU-01_greedy_clusters", "CLU-03_chunked_clusters"))
+    assert len(whole) > 2 * 600
+    assert parts == whole
