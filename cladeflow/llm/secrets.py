@@ -6,7 +6,9 @@ places in code points.
 
 The method adds spans of kind `entropy`: candidate strings are tried by a sliding window of Shannon entropy
 over their own character class. The window moves one character at a time and keeps counts and
-sum(c * log2 c) incrementally. Allow-listed candidates are suppressed.
+sum(c * log2 c) incrementally. Allow-listed candidates are suppressed. A candidate that base spans cover in part
+is tried whole, and if it is no secret, so are those of its uncovered parts that fill a window. One that base spans
+cover entirely is not tried, as its text is found already.
 
 Defined results: a null text is empty; repeated rows and null ids keep their rows; extra columns are ignored
 by `scan` and kept by `redact`; an empty table gives an empty result. Long texts cost in proportion to their
@@ -104,6 +106,24 @@ def is_secret(value: Column, allow: tuple[str, ...] = ALLOW, window: int = WINDO
     return F.when(allowed, F.lit(False)).otherwise(high)
 
 
+def _uncovered(c: Column, base: Column) -> Column:
+    """A candidate with `tried`, whether base spans leave some of it uncovered, and those parts; no parts where no base span meets it."""
+    span = "struct<start int, rank int, end int, value string>"
+    near = F.filter(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+
+    def part(a: Column, b: Column) -> Column:
+        return F.array(F.struct(a.alias("start"), c["rank"].alias("rank"), b.alias("end"), F.substring(c["value"], a - c["start"] + 1, b - a).alias("value")).cast(span))
+
+    def step(state: Column, b: Column) -> Column:
+        parts = F.when(b["start"] > state["at"], F.concat(state["parts"], part(state["at"], b["start"]))).otherwise(state["parts"])
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), parts.alias("parts")).cast(f"struct<at int, parts array<{span}>>")
+
+    start = F.struct(c["start"].alias("at"), F.array().cast(f"array<{span}>").alias("parts")).cast(f"struct<at int, parts array<{span}>>")
+    parts = F.aggregate(near, start, step, lambda s: F.when(s["at"] < c["end"], F.concat(s["parts"], part(s["at"], c["end"]))).otherwise(s["parts"]))
+    parts = F.when(F.size(near) > 0, parts).otherwise(start["parts"])
+    return F.struct(c.alias("whole"), ((F.size(near) == 0) | (F.size(parts) > 0)).alias("tried"), parts.alias("parts"))
+
+
 def _scanned(rows: DataFrame, allow: tuple[str, ...]) -> DataFrame:
     """Adds __base and __all, sorted arrays of spans, to rows that hold __text."""
     text = F.col("__text")
@@ -113,8 +133,13 @@ def _scanned(rows: DataFrame, allow: tuple[str, ...]) -> DataFrame:
     rows = rows.withColumn("__candidates", _places(text, CANDIDATE, len(BASE), lambda x: F.length(x["hit"]) >= 0))
     rows = rows.withColumn("__base", F.array_sort(F.concat(*[F.col(f"__{k}") for k in BASE])))
     base = F.col("__base")
-    free = F.filter("__candidates", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    added = F.filter(free, lambda c: is_secret(c["value"], allow))
+    rows = rows.withColumn("__free", F.filter(F.transform("__candidates", lambda c: _uncovered(c, base)), lambda x: x["tried"]))
+
+    def passing(x: Column) -> Column:
+        parts = F.filter(x["parts"], lambda p: (F.length(p["value"]) >= WINDOW) & is_secret(p["value"], allow))
+        return F.when(is_secret(x["whole"]["value"], allow), F.array(x["whole"])).otherwise(parts)
+
+    added = F.flatten(F.transform("__free", passing))
     return rows.withColumn("__all", F.when(F.size("__candidates") > 0, F.array_sort(F.concat(base, added))).otherwise(base))
 
 
