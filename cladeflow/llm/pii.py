@@ -82,7 +82,7 @@ CACHE = 200_000
 
 def shape(token: str) -> str:
     """Digits d, letters x and X, other characters as they are; runs of 5 and more as one sign and +."""
-    return _RUN.sub(lambda m: m[1] + "+", token[:200].strip(_TRIM).translate(_SHAPES))
+    return _RUN.sub(lambda m: m[1] + "+", token.strip(_TRIM).translate(_SHAPES))
 
 
 def token_features(s: str) -> list[str]:
@@ -123,17 +123,18 @@ class Field:
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.names, self.emit, self.move = names, emit, move
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str | bytes, np.ndarray] = {}  # long shapes by their hash
 
     def emission(self, token: str) -> np.ndarray:
         s = shape(token)
-        e = self.cache.get(s)
+        key = s if len(s) <= 64 else hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()
+        e = self.cache.get(key)
         if e is None:
             rows = [self.names[f] for f in token_features(s) if f in self.names]
             e = self.emit[rows].sum(axis=0)
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            self.cache[s] = e
+            self.cache[key] = e
         return e
 
     def decode(self, lengths: np.ndarray, emissions: np.ndarray) -> np.ndarray:

@@ -175,6 +175,18 @@ def test_field_learns_and_decodes():
     assert [(a, pii.KINDS[k], b) for a, k, b in spans] == [(5, "phone", 17)]
 
 
+def test_field_reads_whole_tokens():
+    field = pii.train(pii.labelled_table())
+    for n in (5, 200, 5000):
+        (spans,) = pii.field_spans(field, ["call " + "*" * n + "555-123-4567" + "#" * n + " now"])
+        assert [(a, pii.KINDS[k], b) for a, k, b in spans] == [(5 + n, "phone", 17 + n)]
+    long = "a-1" * 400
+    assert pii.shape(long) == "x-d" * 400 and pii.shape(long + "@") != pii.shape(long)
+    assert not np.array_equal(field.emission(long), field.emission(long + "@"))
+    assert np.array_equal(field.emission(long), pii.Field(field.names, field.emit, field.move).emission(long))
+    assert max(map(len, field.cache)) <= 64
+
+
 # ---- 4 ----
 
 
