@@ -111,6 +111,12 @@ def _(s):
     return s.table("orders").where("o_orderkey BETWEEN 1000 AND 2000").select("o_orderkey", "o_totalprice")
 
 
+@query("SRC-12_parquet_whole", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(s):
+    # the reference's slices go through every row; here partitions do
+    return s.table("orders").select("o_orderkey", "o_totalprice")
+
+
 @query("SRC-14_json_summary", "SELECT gene, CAST(n_samples AS BIGINT) AS k, count(*) AS n FROM stats GROUP BY ALL")
 def _(s):
     per = s.stats.groupBy("gene", "n_samples").agg(F.count("*").alias("n")).groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_samples").cast("string"), "n"))).alias("m"))
@@ -125,6 +131,13 @@ def _(s):
     return archive.parse_archive(value).select(F.get("read_names", F.lit(0)).alias("id"), "sequence")
 
 
+@query("SRC-15_archive_batches", "SELECT concat(gene, '/', CAST(seq_num // 1000 AS VARCHAR)) AS source_file, gene, concat('seq', seq_num) AS id, sequence FROM dedup")
+def _(s):
+    every = s.dedup.select("gene", "seq_num", F.expr("concat('seq', seq_num)").alias("id"), "sequence")
+    files = archive.write_archives(every, 1000).select(F.concat_ws("/", "gene", F.col("batch").cast("string")).alias("source_file"), "value")
+    return archive.parse_archive(files).select("source_file", "gene", F.get("read_names", F.lit(0)).alias("id"), "sequence")
+
+
 @query("SRC-16_renewed_archive", "SELECT sample AS id, regexp_extract(taxonomy, 'd__[A-Za-z]+') AS domain, regexp_extract(taxonomy, 'p__[A-Za-z0-9]+') AS phylum FROM otu_hits")
 def _(s):
     return archive.representative_taxonomy(s.otu.withColumn("read_names", F.lit(None).cast("array<string>")))

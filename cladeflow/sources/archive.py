@@ -35,13 +35,29 @@ def parse_archive(raw: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(representatives: DataFrame, gene: str, sample: str = "representatives") -> DataFrame:
-    """SRC-15: (id, sequence) as one JSON value, ids carried in read_names. For batches of a bounded size: the value is one string."""
-    values = {"gene": F.lit(gene), "sample": F.lit(sample), "sequence": F.col("sequence"), "num_hits": F.lit("1"), "coverage": F.lit("1.0"), "taxonomy": F.lit(""), "nucleotides_aligned": F.lit(None).cast("string")}
-    otu = F.array(*[values.get(n, F.lit(None).cast("string")) if n != "read_names" else F.to_json(F.array("id")) for n in FIELDS])
-    packed = representatives.select("id", otu.alias("otu")).agg(F.array_sort(F.collect_list(F.struct("id", "otu"))).alias("rows"))
+def _otu(gene: Column, sample: str) -> Column:
+    values = {"gene": gene, "sample": F.lit(sample), "sequence": F.col("sequence"), "num_hits": F.lit("1"), "coverage": F.lit("1.0"), "taxonomy": F.lit(""), "nucleotides_aligned": F.lit(None).cast("string")}
+    return F.array(*[values.get(n, F.lit(None).cast("string")) if n != "read_names" else F.to_json(F.array("id")) for n in FIELDS])
+
+
+def _value() -> Column:
     whole = F.struct(F.lit(4).alias("version"), F.array(*map(F.lit, FIELDS)).alias("fields"), F.transform("rows", lambda r: r["otu"]).alias("otus"))
-    return packed.select(F.to_json(whole).alias("value"))
+    return F.to_json(whole).alias("value")
+
+
+def write_archive(representatives: DataFrame, gene: str, sample: str = "representatives") -> DataFrame:
+    """SRC-15: (id, sequence) as one JSON value, ids carried in read_names. For one batch of a bounded size: the value is one string."""
+    packed = representatives.select("id", _otu(F.lit(gene), sample).alias("otu")).agg(F.array_sort(F.collect_list(F.struct("id", "otu"))).alias("rows"))
+    return packed.select(_value())
+
+
+def write_archives(representatives: DataFrame, size: int, sample: str = "representatives") -> DataFrame:
+    """SRC-15: (gene, seq_num, id, sequence) as archives (gene, batch, value) of up to `size` sequence numbers each, in their order; every row is written."""
+    if size <= 0:
+        raise ValueError("size must be positive")
+    rows = representatives.select("gene", F.floor(F.col("seq_num") / size).alias("batch"), "seq_num", "id", _otu(F.col("gene"), sample).alias("otu"))
+    packed = rows.groupBy("gene", "batch").agg(F.array_sort(F.collect_list(F.struct("seq_num", "id", "otu"))).alias("rows"))
+    return packed.select("gene", "batch", _value())
 
 
 def representative_taxonomy(otus: DataFrame) -> DataFrame:

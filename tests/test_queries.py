@@ -31,6 +31,11 @@ def test_query(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ("SRC-12_parquet_whole", "SRC-15_archive_batches"))
+def test_whole_source_query(spark, name):
+    test_query(spark, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

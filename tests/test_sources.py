@@ -23,6 +23,16 @@ def test_archive(spark, tmp_path):
     assert [(r.sequence, r.hits, r.otu_idx, r.unknown) for r in kept] == [("ACGT", 3, 0, 1)]
 
 
+def test_archives_hold_every_row(spark):
+    rows = [(g, i, f"seq{i}", "ACGT"[i % 4] * 3) for g in ("a", "b") for i in range(11)]
+    written = archive.write_archives(spark.createDataFrame(rows, "gene string, seq_num long, id string, sequence string"), 4)
+    files = written.select(F.concat_ws("/", "gene", "batch").alias("source_file"), "value")
+    back = sorted((r.source_file, r.ordinal, r.gene, r.read_names[0], r.sequence) for r in archive.parse_archive(files).collect())
+    assert back == sorted((f"{g}/{i // 4}", i % 4, g, n, x) for g, i, n, x in rows)
+    with pytest.raises(ValueError):
+        archive.write_archives(written, 0)
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">otu0|s1|g|unknown=0|hits=5\nAC\nGT\n>otu1|s1|g|unknown=1|hits=2\n\n>otu2|s2|g|unknown=1|hits=2|n_occurrences=4|sum_hits=9\nTT-\n")
     rows = fasta.with_header(fasta.read_fasta(spark, str(tmp_path / "x.fa"))).orderBy("header").collect()
