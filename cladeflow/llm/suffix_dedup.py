@@ -1,12 +1,12 @@
-"""Removal of repeated byte strings by prefix doubling over a sparse suffix array.
+"""Removal of repeated byte strings by hash names at content-sampled anchors; it takes the place of prefix doubling.
 
 A byte goes if a string of SPAN (400) bytes that covers it also starts anywhere else, in any text, the same
-one included. Ranks stand for the strings that start at a position; equal strings have equal ranks, and a
-rank pair of neighbouring strings ranks the joined one. Rounds at growing lengths drop what has become
-unique; what is left at the threshold is repeated.
+one included. There is no suffix array, no doubling of offsets and no reranking by pairs: the strings at a position
+get hash names at three fixed lengths, called ranks below, and equal strings have equal ranks. What has become
+unique at one length is dropped before the next; what is left at the threshold is repeated.
 
-Doubling over every position would move at least 16 bytes a text byte and round. So positions are sampled
-by content: every string of SPAN bytes names one anchor in it, the start of the rarest-ranked 100-byte
+By calculation, not measured, doubling over every position would move at least 16 bytes a text byte and round.
+So positions are sampled by content: every string of SPAN bytes names one anchor in it, the start of the rarest-ranked 100-byte
 string among its 301 (a sliding minimum of their hashes). Equal strings name the same place in them, so it
 is enough to rank anchors, about one in 150 positions:
 
