@@ -5,6 +5,10 @@ pieces that are popped when the link is taken, both computed beforehand: leaving
 pieces that cover v's string up to where the link continues. So a word is read once, its pieces are counted
 and never built. Words repeat, so each is looked up in a bounded cache of its worker first.
 
+Words are what ASCII white space parts, with A-Z lower-cased. The vocabulary file's own normaliser (NFC, Unicode
+lower case) and pre-tokeniser (letters, single digits, other signs apart) are not applied, so counts are not that
+tokenizer's where capitals beyond ASCII, digits or punctuation occur.
+
 The count of a word that greedy longest-match cannot cover is one unknown piece. Vocabularies that have all
 256 bytes, plain and with the end mark, cover everything.
 
