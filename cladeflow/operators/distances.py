@@ -45,12 +45,18 @@ def sampled(df: DataFrame, keys: list[str], by: str, n: int, seed: int = 0) -> D
     return df.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
 
 
+def _words(unique: DataFrame) -> int:
+    """The words of 30 bases that hold the longest window."""
+    return max(1, -(-(unique.agg(F.max(F.length("sequence"))).first()[0] or 0) // 30))
+
+
 def intra(unique: DataFrame, most: int = 1000, seed: int = 0) -> DataFrame:
     """JOIN-20, AGG-28: (marker, metric, distance, count) of pairs of a species and of species' diameters; at most `most` windows a species are compared, by hash."""
-    s = sampled(unique, ["marker", "species"], "sequence", most, seed).select("marker", "species", "sequence", packed_bases("sequence").alias("bits"))
+    words = _words(unique)
+    s = sampled(unique, ["marker", "species"], "sequence", most, seed).select("marker", "species", "sequence", packed_bases("sequence", words).alias("bits"))
     a, b = s.alias("a"), s.alias("b")
     pairs = a.join(b, (F.col("a.marker") == F.col("b.marker")) & (F.col("a.species") == F.col("b.species")) & (F.col("a.sequence") < F.col("b.sequence")))
-    d = F.least(packed_hamming("a.bits", "b.bits"), F.lit(MAX_DISTANCE))
+    d = F.least(packed_hamming("a.bits", "b.bits", words), F.lit(MAX_DISTANCE))
     per = pairs.groupBy("a.marker", "a.species", d.alias("distance")).agg(F.count("*").alias("n"))
     pair = per.groupBy("marker", "distance").agg(F.sum("n").alias("count")).select("marker", F.lit("intra_pair").alias("metric"), "distance", "count")
     diameter = unique.select("marker", "species").distinct().join(per.groupBy("marker", "species").agg(F.max("distance").alias("m")), ["marker", "species"], "left")
@@ -64,12 +70,14 @@ def species_representative(unique: DataFrame) -> DataFrame:
 
 
 def inter(unique: DataFrame, n_species: int = 100, seed: int = 0) -> DataFrame:
-    """JOIN-21, AGG-29: sampled species against all others, one window each; a stated number of queries against all rows."""
-    reps = species_representative(unique).select("marker", "species", packed_bases("sequence").alias("bits"))
+    """JOIN-21, AGG-29: sampled species against all others, one window each. Queries are broadcast up to n_species * MAX_MARKER, as counted, and shuffled beyond."""
+    words = _words(unique)
+    reps = species_representative(unique).select("marker", "species", packed_bases("sequence", words).alias("bits"))
     queries = sampled(reps, ["marker"], "species", n_species, seed)
-    q, r = F.broadcast(queries.limit(n_species * MAX_MARKER)).alias("q"), reps.alias("r")
+    few = queries.count() <= n_species * MAX_MARKER
+    q, r = (F.broadcast(queries) if few else queries).alias("q"), reps.alias("r")
     pairs = r.join(q, (F.col("q.marker") == F.col("r.marker")) & (F.col("q.species") != F.col("r.species")))
-    d = packed_hamming("q.bits", "r.bits")
+    d = packed_hamming("q.bits", "r.bits", words)
     per = pairs.groupBy(F.col("q.marker").alias("marker"), F.col("q.species").alias("species"), d.alias("distance")).agg(F.count("*").alias("n"))
     capped = F.least(F.col("distance"), F.lit(MAX_DISTANCE))
     every = per.groupBy("marker", capped.alias("distance")).agg(F.sum("n").alias("count")).select("marker", F.lit("inter_sampled_all").alias("metric"), "distance", "count")
