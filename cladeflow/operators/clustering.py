@@ -1,118 +1,136 @@
 """Greedy clustering of windows by Hamming distance, as joins.
 
 A window is a centroid if no earlier centroid is within the distance; others join their nearest earlier
-centroid, the earliest of equals. Candidates share one of max_divergence + 1 blocks (pigeonhole), so no
-theta join is needed. The order-dependent rule is solved in rounds over the graph of near pairs: what has no
-undecided or chosen earlier neighbour becomes a centroid, and its later neighbours become members.
+centroid, the earliest of equals. Candidates share two of max_divergence + 2 blocks (pigeonhole), so no
+theta join is needed.
+
+The order-dependent rule is solved in growing chunks of the order. A chunk is joined with the centroids so far;
+what they reach is a member and takes no part in choosing, so groups of like windows shrink to their centroids
+before they meet each other. The rest of a chunk is solved in rounds over its graph of near pairs: what has no
+undecided or chosen earlier neighbour becomes a centroid, its later neighbours become members, and the edges of
+both are dropped.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise_gaps, packed_bases, packed_hamming
+from ..sources.shared import cut
 
+#: Sequence numbers a marker in the first chunk, and how many times as many each next one has.
+FIRST, GROWTH = 4096, 4
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage is cut by the shared checkpoint folder, which survives executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
 
+def _edges(max_divergence: int, window: int) -> list[int]:
+    n = max_divergence + 2
+    return [window * i // n for i in range(n + 1)]
 
-def _blocks(df: DataFrame, max_divergence: int, window: int) -> DataFrame:
-    n = max_divergence + 1
-    edges = [window * i // n for i in range(n + 1)]
-    parts = F.array(*[F.struct(F.lit(i).alias("block"), F.substring("sequence", a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-    return df.withColumn("x", F.explode(parts)).select("*", "x.block", "x.part").drop("x")
+
+def _keys(max_divergence: int, window: int) -> Column:
+    """Of each pair of blocks its place and a hash of both."""
+    edges = _edges(max_divergence, window)
+    part = [F.substring("sequence", a + 1, b - a) for a, b in zip(edges, edges[1:])]
+    pairs = combinations(range(max_divergence + 2), 2)
+    return F.array(*[F.struct(F.lit(k).alias("combo"), F.xxhash64(part[i], part[j]).alias("part")) for k, (i, j) in enumerate(pairs)])
+
+
+def _same(a: str, b: str, low: int, high: int) -> Column:
+    """Whether two packed windows agree from one base to another."""
+    out = F.lit(True)
+    for w in range(low // 30, -(-high // 30)):
+        bits = sum(3 << 2 * (29 - p % 30) for p in range(max(low, 30 * w), min(high, 30 * w + 30)))
+        for x in (2 * w, 2 * w + 1):
+            out = out & (F.col(a)[x].bitwiseXOR(F.col(b)[x]).bitwiseAND(F.lit(bits).cast("bigint")) == 0)
+    return out
 
 
 def near_pairs(left: DataFrame, right: DataFrame, max_divergence: int = 2, window: int = 60) -> DataFrame:
     """CLU-02, JOIN-22: pairs (gene, a, b, divergence) within a distance; left and right: (gene, id, sequence), gaps as N.
 
-    A pair meets in every block that it shares and is kept in the first only, so there is nothing to
-    deduplicate. Hot blocks are left to adaptive skew joins.
+    Windows meet by id and packed bases in every pair of blocks that they share. A pair is kept in the first only,
+    so there is nothing to deduplicate.
     """
     if max_divergence < 0:
         raise ValueError("max_divergence must not be negative")
     words = -(-window // 30)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return _blocks(df.where(F.length("sequence") == window).select("gene", F.col("id"), "sequence", packed_bases("sequence", words).alias("bits")), max_divergence, window).select(
-            "gene", "block", "part", F.col("id").alias(name), F.col("sequence").alias(f"{name}_seq"), F.col("bits").alias(f"{name}_bits")
-        )
-
-    met = side(left, "a").join(side(right, "b"), ["gene", "block", "part"])
+        rows = df.where(F.length("sequence") == window).select("gene", F.col("id").alias(name), packed_bases("sequence", words).alias(f"{name}_bits"), F.explode(_keys(max_divergence, window)).alias("x"))
+        return rows.select("gene", "x.combo", "x.part", name, f"{name}_bits")
+
+    met = side(left, "a").join(side(right, "b"), ["gene", "combo", "part"])
+    edges = _edges(max_divergence, window)
+    same = [_same("a_bits", "b_bits", a, b) for a, b in zip(edges, edges[1:])]
+    first = F.lit(False)
+    for k, (i, j) in enumerate(combinations(range(max_divergence + 2), 2)):
+        earlier = [~same[x] for x in range(j) if x != i]
+        first = first | ((F.col("combo") == k) & reduce(lambda x, y: x & y, earlier, same[i] & same[j]))
     d = packed_hamming("a_bits", "b_bits", words)
-    n = max_divergence + 1
-    edges = [window * i // n for i in range(n + 1)]
-    earlier = F.lit(False)
-    for i in range(n - 1):
-        x, y = (F.substring(c, edges[i] + 1, edges[i + 1] - edges[i]) for c in ("a_seq", "b_seq"))
-        earlier = earlier | ((F.col("block") > i) & (x == y))
-    return met.where(~earlier).select("gene", "a", "b", d.alias("divergence")).where(F.col("divergence") <= max_divergence)
+    return met.where(d <= max_divergence).where(first).select("gene", "a", "b", d.alias("divergence"))
 
 
-def cluster(unique: DataFrame, max_divergence: int = 2, window: int = 60) -> DataFrame:
-    """CLU-01: (gene, member, rep, divergence) of every window; unique: (gene, seq_num, sequence), earlier numbers first."""
-    rows = unique.select("gene", F.col("seq_num").alias("id"), normalise_gaps("sequence").alias("sequence"))
-    pairs = near_pairs(rows, rows, max_divergence, window)
-    # edge from an earlier to a later window
-    edges = _cut(pairs.where("a < b"))
-    state = _cut(rows.select("gene", "id", F.lit(None).cast("boolean").alias("centroid")))
+def _chosen(rows: DataFrame, max_divergence: int, window: int) -> DataFrame:
+    """The centroids (gene, id) that the rule picks among rows alone."""
+    edges = cut(near_pairs(rows, rows, max_divergence, window).where("a < b").select("gene", "a", "b"))
+    open_, chosen = rows.select("gene", "id"), []
     while True:
-        at = edges.alias("e").join(state.alias("s"), (F.col("e.gene") == F.col("s.gene")) & (F.col("e.a") == F.col("s.id"))).select(
-            F.col("e.gene").alias("gene"), F.col("e.b").alias("id"), F.col("s.centroid").alias("before")
-        )
-        seen = at.groupBy("gene", "id").agg(F.max("before").alias("chosen"), F.max(F.col("before").isNull()).alias("waiting"))
-        decided = F.when(F.col("centroid").isNotNull(), F.col("centroid")).when(F.coalesce("chosen", F.lit(False)), False).when(~F.coalesce("waiting", F.lit(False)), True)
-        state = _cut(state.join(seen, ["gene", "id"], "left").select("gene", "id", decided.alias("centroid")))
-        if state.where("centroid IS NULL").isEmpty():
-            break
-    centroids = state.where("centroid").select("gene", F.col("id").alias("a"))
-    reached = edges.join(centroids, ["gene", "a"]).join(state.where("NOT centroid").select("gene", F.col("id").alias("b")), ["gene", "b"])
-    best = reached.groupBy("gene", "b").agg(F.min(F.struct("divergence", "a")).alias("m"))
-    found = best.select("gene", F.col("b").alias("id"), F.col("m.a").alias("rep_id"), F.col("m.divergence").alias("divergence")).unionByName(
-        centroids.select("gene", F.col("a").alias("id"), F.col("a").alias("rep_id"), F.lit(0).alias("divergence"))
-    )
-    names = rows.select("gene", F.col("id").alias("rep_id"), F.col("sequence").alias("rep"))
-    members = unique.select("gene", F.col("seq_num").alias("id"), F.col("sequence").alias("member"))
+        heads = cut(open_.join(edges.select("gene", F.col("b").alias("id")), ["gene", "id"], "left_anti"))
+        chosen.append(heads)
+        members = edges.join(heads.withColumnRenamed("id", "a"), ["gene", "a"], "left_semi").select("gene", F.col("b").alias("id"))
+        gone = cut(heads.unionByName(members).distinct())
+        open_ = cut(open_.join(gone, ["gene", "id"], "left_anti"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, chosen)
+        for end in ("a", "b"):
+            edges = edges.join(gone.withColumnRenamed("id", end), ["gene", end], "left_anti")
+        edges = cut(edges)
+
+
+def cluster(unique: DataFrame, max_divergence: int = 2, window: int = 60, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
+    """CLU-01: (gene, member, rep, divergence) of every window; unique: (gene, seq_num, sequence), earlier numbers first."""
+    rows = cut(unique.select("gene", F.col("seq_num").alias("id"), normalise_gaps("sequence").alias("sequence"), F.col("sequence").alias("member")))
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    centroids, found = rows.limit(0).select("gene", "id", "sequence"), rows.limit(0).select("gene", "id", F.col("id").alias("rep_id"), F.lit(0).alias("divergence"))
+    size = first
+    while low is not None and low <= high:
+        part = rows.where(F.col("id").between(low, low + size - 1)).select("gene", "id", "sequence")
+        old = cut(near_pairs(centroids, part, max_divergence, window))
+        rest = part.join(old.select("gene", F.col("b").alias("id")), ["gene", "id"], "left_anti")
+        new = cut(part.join(_chosen(rest, max_divergence, window), ["gene", "id"], "left_semi"))
+        own = new.select("gene", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("divergence"))
+        met = old.unionByName(near_pairs(new, part, max_divergence, window).where("a < b")).unionByName(own)
+        best = met.groupBy("gene", "b").agg(F.min(F.struct("divergence", "a")).alias("m"))
+        found = found.unionByName(cut(best.select("gene", F.col("b").alias("id"), F.col("m.a").alias("rep_id"), F.col("m.divergence").alias("divergence"))))
+        centroids = centroids.unionByName(new)
+        low, size = low + size, size * growth
+    names = centroids.select("gene", F.col("id").alias("rep_id"), F.col("sequence").alias("rep"))
+    members = rows.select("gene", "id", "member")
     return found.join(names, ["gene", "rep_id"]).join(members, ["gene", "id"]).select("gene", "member", "rep", F.col("divergence").cast("int"))
 
 
 def resolve_chains(rounds: DataFrame) -> DataFrame:
-    """CLU-04: (member, rep) with reps followed to the end, by pointer doubling; a rep that is no member is an end."""
-    now = _cut(rounds.select("member", "rep"))
-    while True:
+    """CLU-04: (member, rep) with reps followed to the end, by pointer doubling; a rep that is no member is an end. A ring is an error."""
+    now = cut(rounds.select("member", "rep"))
+    for _ in range(now.count().bit_length() + 1):
         nxt = now.select(F.col("member").alias("rep"), F.col("rep").alias("next"))
         moved = now.join(nxt, "rep", "left").select("member", F.coalesce("next", "rep").alias("rep"), (F.col("next") != F.col("rep")).alias("moved"))
-        moved = _cut(moved)
+        moved = cut(moved)
         if moved.where("moved").isEmpty():
             return moved.select("member", "rep")
         now = moved.select("member", "rep")
+    raise ValueError("representatives form a ring")
 
 
 def cluster_chunked(unique: DataFrame, size: int, max_divergence: int = 2, window: int = 60) -> DataFrame:
-    """CLU-03: representatives so far and the next chunk, round by round. The result is that of `cluster`; offered for resumable runs."""
+    """CLU-03: representatives so far and the next chunk of one size, round by round. The result is that of `cluster`."""
     if size <= 0:
         raise ValueError("size must be positive")
-    unique = _cut(unique.select("gene", "seq_num", "sequence"))
-    last = unique.agg(F.max("seq_num")).first()[0]
-    reps, done = None, None
-    for start in range(0, (last if last is not None else -1) + 1, size):
-        part = unique.where(F.col("seq_num").between(start, start + size - 1)).select("gene", "seq_num", "sequence")
-        found = _cut(cluster(part if reps is None else reps.unionByName(part), max_divergence, window))
-        fresh = found.join(part.select("gene", F.col("sequence").alias("member")), ["gene", "member"], "left_semi")
-        done = fresh if done is None else done.unionByName(fresh)
-        heads = found.where(normalise_gaps("member") == F.col("rep")).where("divergence = 0").select("gene", "rep").distinct()
-        normal = unique.select("gene", "seq_num", "sequence", normalise_gaps("sequence").alias("rep"))
-        reps = _cut(normal.join(heads, ["gene", "rep"], "left_semi").groupBy("gene", "rep").agg(F.min(F.struct("seq_num", "sequence")).alias("s")).select("gene", "s.seq_num", "s.sequence"))
-    return done if done is not None else unique.select("gene", F.col("sequence").alias("member"), F.col("sequence").alias("rep"), F.lit(0).alias("divergence")).limit(0)
+    return cluster(unique, max_divergence, window, size, 1)
 
 
 def greedy(windows: list[str], max_divergence: int = 2) -> list[int]:

@@ -17,7 +17,9 @@ def rep_sample_counts(hits: DataFrame, clusters: DataFrame, strict_raw_members:
     """
     member = F.col("member") if strict_raw_members else normalise_gaps("member")
     map_ = clusters.select("gene", member.alias("sequence"), "rep").distinct()
-    found = hits.select("gene", "sample", normalise_gaps("sequence").alias("sequence")).join(map_, ["gene", "sequence"])
+    # a sample has a window often; it is joined once
+    windows = hits.select("gene", "sample", normalise_gaps("sequence").alias("sequence")).distinct()
+    found = windows.join(map_, ["gene", "sequence"])
     return found.groupBy("gene", "rep").agg(F.countDistinct("sample").alias("n_samples"))
 
 

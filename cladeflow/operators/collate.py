@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import domain_of, normalise_gaps, safe_int
+from .numbering import numbered
 
 KNOWN_METHOD = "singlem_query_based"  # fixed value: how the archive marks a taxonomy that came from a known sequence
 
@@ -48,7 +49,7 @@ def dedup(hits: DataFrame, position: Column) -> DataFrame:
     unique = hits.groupBy("gene", "sequence").agg(
         F.min(position).alias("first_pos"), F.min("unknown").alias("unknown"), F.max("hits").alias("hits"), F.count("*").alias("n_occurrences"), F.sum("hits").cast("bigint").alias("sum_hits")
     )
-    return unique.withColumn("seq_num", (F.row_number().over(W.partitionBy("gene").orderBy("first_pos")) - 1).cast("bigint")).drop("first_pos")
+    return numbered(unique, ["first_pos"], ("gene",), "seq_num", 0).drop("first_pos")
 
 
 def counts_table(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -40,8 +40,8 @@ def species_windows(windows: DataFrame) -> DataFrame:
 
 
 def sampled(df: DataFrame, keys: list[str], by: str, n: int, seed: int = 0) -> DataFrame:
-    """SRT-09: n rows of each group by a seeded hash, the same ones every time."""
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), F.col(by)), by))
+    """SRT-09: n rows of each group by a seeded hash that SQL engines share, the same ones every time."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(by))), by))
     return df.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
 
 

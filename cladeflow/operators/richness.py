@@ -56,51 +56,118 @@ def chao_bunge(k: np.ndarray, f: np.ndarray, cutoff: int = CUTOFF) -> float:
     return float(top + f[low & (k > 1)].sum() / coverage) if coverage > 0 else np.nan
 
 
-def weighted_ratio(k: np.ndarray, f: np.ndarray) -> float:
-    """Ratios of neighbouring frequencies as a line in log space, weighted by their precision (Willis and Bunge 2015)."""
+def _ratios(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the unbroken run of counts from 1: j, f(j), the ratio f(j + 1) / f(j) and the relative variance of that ratio."""
     order = np.argsort(k)
     k, f = k[order], f[order]
-    run = np.flatnonzero(np.diff(k) != 1)
-    n = run[0] + 1 if len(run) else len(k)
-    k, f = k[:n], f[:n]
-    if n < 3 or k[0] != 1:
-        return np.nan
-    y, w = np.log(f[1:] * (k[:-1] + 1) / f[:-1]), 1 / (1 / f[1:] + 1 / f[:-1])
-    x = k[:-1]
-    design = np.stack([np.ones_like(x, float), x], 1)
-    b = np.linalg.lstsq(design * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
-    return float(f.sum() + f[0] * np.exp(-b[0]))
+    gap = np.flatnonzero((k != np.arange(1, len(k) + 1)) | (f <= 0))
+    f = f[: gap[0]] if len(gap) else f
+    return np.arange(1.0, len(f)), f, f[1:] / f[:-1], 1 / f[1:] + 1 / f[:-1]
 
 
-MODELS = ("observed", "poisson", "chao_bunge", "weighted_ratio", "no_f1")
+def weighted_ratio(k: np.ndarray, f: np.ndarray) -> tuple[float, float]:
+    """Ratios of neighbouring frequencies as a line in log space, weighted by their precision (Rocchetti and others 2011); the estimate and its standard error."""
+    j, run, ratio, spread = _ratios(k, f)
+    if len(j) < 2:
+        return np.nan, np.nan
+    design, y, w = np.stack([np.ones_like(j), j], 1), np.log(ratio * (j + 1)), np.sqrt(1 / spread)
+    b = np.linalg.lstsq(design * w[:, None], y * w, rcond=None)[0]
+    cover = np.linalg.pinv((design * w[:, None]).T @ (design * w[:, None]))
+    return _with_unseen(f, run[0] * np.exp(-b[0]), run[0], cover[0, 0])
+
+
+def _with_unseen(f: np.ndarray, unseen: float, singles: float, relative: float) -> tuple[float, float]:
+    """Observed and unseen species, and the error from singletons, the ratio at 0 and the draw of species."""
+    n = f.sum()
+    if not np.isfinite(unseen) or unseen < 0:
+        return np.nan, np.nan
+    return float(n + unseen), float(np.sqrt(unseen**2 * (1 / singles + relative) + n * unseen / (n + unseen)))
+
+
+def kemp(k: np.ndarray, f: np.ndarray) -> tuple[float, float]:
+    """Ratios of neighbouring frequencies as a line, or as a quotient of lines, of j (Willis and Bunge 2015).
+
+    The value at 0 is the ratio of singletons to unseen species. Of the forms that are positive throughout, the one of
+    least weighted squares plus twice its parameters is taken.
+    """
+    j, run, y, spread = _ratios(k, f)
+    w = 1 / (y * np.sqrt(spread))
+    best = (np.inf, np.nan, np.nan)
+    for quotient in (False, True):
+        terms = 3 if quotient else 2
+        if len(j) <= terms:
+            continue
+        columns = [np.ones_like(j), j] + ([-j * y] if quotient else [])
+        b = np.linalg.lstsq(np.stack(columns, 1) * w[:, None], y * w, rcond=None)[0]
+        for _ in range(50):
+            under = 1 + b[2] * j if quotient else np.ones_like(j)
+            fitted = (b[0] + b[1] * j) / under
+            slope = np.stack([1 / under, j / under] + ([-j * fitted / under] if quotient else []), 1) * w[:, None]
+            step = np.linalg.lstsq(slope, (y - fitted) * w, rcond=None)[0]
+            b = b + step
+            if np.abs(step).max() < 1e-10 * (1 + np.abs(b).max()):
+                break
+        under = 1 + b[2] * j if quotient else np.ones_like(j)
+        fitted = (b[0] + b[1] * j) / under
+        if not np.isfinite(b).all() or b[0] <= 0 or (under <= 0).any() or (fitted <= 0).any():
+            continue
+        squares = float((((y - fitted) * w) ** 2).sum())
+        if squares + 2 * terms < best[0]:
+            cover = np.linalg.pinv(slope.T @ slope) * max(1.0, squares / (len(j) - terms))
+            best = (squares + 2 * terms, run[0] / b[0], cover[0, 0] / b[0] ** 2)
+    return _with_unseen(f, best[1], run[0], best[2]) if np.isfinite(best[0]) else (np.nan, np.nan)
+
+
+def truncated_poisson(k: np.ndarray, f: np.ndarray, cutoff: int = CUTOFF) -> tuple[float, float]:
+    """The zero-truncated Poisson over the low counts, and its standard error."""
+    low = k <= cutoff
+    n, total = f[low].sum(), (k * f)[low].sum()
+    if not n or total <= n:
+        return np.nan, np.nan
+    a = m = total / n
+    for _ in range(STEPS):
+        a = m * (1 - np.exp(-a))
+    c = n / (1 - np.exp(-a))
+    return float(c + f[~low].sum()), float(np.sqrt(c / (np.exp(a) - 1 - a)))
+
+
+MODELS = ("observed", "kemp", "weighted_ratio", "chao_bunge", "poisson", "no_f1")
+#: In this order a fit is selected: the first that has an estimate and, if it has one, a finite error.
+SELECTED = ("kemp", "weighted_ratio", "chao_bunge", "poisson")
 
 
 def fit_models(histogram: DataFrame, keys: tuple[str, ...], cutoff: int = CUTOFF) -> DataFrame:
-    """DOM-07, DOM-08: a row for each model that can be fitted; others have a null estimate. A group is a histogram, bounded by the number of distinct counts."""
-
-    def poisson(k: np.ndarray, f: np.ndarray) -> float:
-        low = k <= cutoff
-        n, total = f[low].sum(), (k * f)[low].sum()
-        if not n or total <= n:
-            return np.nan
-        a = m = total / n
-        for _ in range(STEPS):
-            a = m * (1 - np.exp(-a))
-        return float(n / (1 - np.exp(-a)) + f[~low].sum())
+    """DOM-07, DOM-08: (keys, model, estimate, error), null where a model can't be fitted. A group is a histogram, bounded by the number of distinct counts."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf.groupby("sample_count").species_count.sum()
         k, f = g.index.to_numpy(float), g.to_numpy(float)
         rest = k > 1
-        values = [f.sum(), poisson(k, f), chao_bunge(k, f, cutoff), weighted_ratio(k, f), poisson(k[rest] - 1, f[rest]) if rest.any() else np.nan]
-        out = pd.DataFrame({"model": MODELS, "estimate": values})
+        values = [
+            (f.sum(), 0.0), kemp(k, f), weighted_ratio(k, f), (chao_bunge(k, f, cutoff), np.nan), truncated_poisson(k, f, cutoff),
+            truncated_poisson(k[rest] - 1, f[rest], cutoff) if rest.any() else (np.nan, np.nan),
+        ]
+        out = pd.DataFrame({"model": MODELS, "estimate": [v[0] for v in values], "error": [v[1] for v in values]})
         for i, c in enumerate(keys):
             out.insert(i, c, pdf[c].iloc[0])
         return out
 
     kinds = ", ".join(f"{c} {histogram.schema[c].dataType.simpleString()}" for c in keys)
-    fitted = histogram.select(*keys, "sample_count", "species_count").groupBy(*keys).applyInPandas(one, f"{kinds}, model string, estimate double")
-    return fitted.withColumn("estimate", F.nanvl("estimate", F.lit(None).cast("double")))
+    fitted = histogram.select(*keys, "sample_count", "species_count").groupBy(*keys).applyInPandas(one, f"{kinds}, model string, estimate double, error double")
+    return fitted.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("estimate", "error")})
+
+
+def select_model(fits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """DOM-07, AGG-32: (keys, model, estimate, error) of the first model that fits; null in a group of none."""
+    rank = F.array_position(F.array(*map(F.lit, SELECTED)), F.col("model"))
+    ok = (rank > 0) & F.col("estimate").isNotNull()
+    first = fits.groupBy(*keys).agg(F.min(F.when(ok, F.struct(rank.alias("rank"), "model", "estimate", "error"))).alias("m"))
+    return first.select(*keys, "m.model", "m.estimate", "m.error")
+
+
+def without_model(fits: DataFrame, model: str = "kemp") -> DataFrame:
+    """FIL-22: rows of other models, and of none."""
+    return fits.where(~F.col("model").eqNullSafe(F.lit(model)))
 
 
 def corrected_histogram(histogram: DataFrame, single_read: DataFrame, errors: DataFrame, keys: tuple[str, ...] = ("marker", "cohort")) -> DataFrame:

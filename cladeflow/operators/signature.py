@@ -19,7 +19,8 @@ def build_pairs(counts: DataFrame, clusters: DataFrame, keys: tuple[str, ...] =
     """DOM-03, JOIN-01, JOIN-02, FIL-11, FIL-24: members less abundant than their representative, gaps as N, and a hash sample of them."""
     c = clusters.select(*keys, normalise_gaps("member").alias("member"), F.col("rep")).where("rep <> member")
     if fraction < 1:
-        c = c.where(F.pmod(F.xxhash64("member", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1e6))
+        # the first 32 bits of a hash that SQL engines share
+        c = c.where(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "member")), 1, 8) < f"{int(fraction * 2**32):08x}")
     of_member = counts.select(*keys, F.col("sequence").alias("member"), "n_occurrences", "sum_hits")
     of_rep = counts.select(*keys, F.col("sequence").alias("rep"), F.col("n_occurrences").alias("rep_n_occurrences"))
     joined = c.join(of_member, [*keys, "member"]).join(of_rep, [*keys, "rep"])

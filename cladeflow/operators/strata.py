@@ -47,21 +47,17 @@ def histogram(tags: DataFrame, metadata: DataFrame) -> DataFrame:
     """
     per = tags.groupBy("gene", "rep", "stratum", "value").agg(F.count("*").alias("n"))
     over = W.partitionBy("gene", "rep", "stratum").orderBy("value")
-    flat = per.where("value IS NULL").select("gene", "stratum", F.lit("all").alias("stratum_value"), F.col("n").alias("sample_count"))
-    steps = per.where("value IS NOT NULL").select(
+    steps = per.select(
         "gene", "stratum", "value", F.sum("n").over(over.rowsBetween(W.unboundedPreceding, 0)).alias("sample_count"), F.lead("value").over(over).alias("until")
     )
-    # steps that share all of this are counted before they are spread over years
+    # steps that share all of this are counted before they are spread over years; a stratum has either years or none
     steps = steps.groupBy("gene", "stratum", "value", "until", "sample_count").agg(F.count("*").alias("reps"))
     years = metadata.select(valid_year().alias("cut")).where("cut IS NOT NULL").distinct()
     all_years = years.agg(F.array_sort(F.collect_set("cut")).alias("years"))
-    spread = steps.crossJoin(F.broadcast(all_years)).select(
-        "gene", "stratum", "sample_count", "reps",
-        F.explode(F.filter("years", lambda y: (y >= F.col("value")) & (F.col("until").isNull() | (y < F.col("until"))))).alias("cut"),
-    )
-    cumulative = spread.select("gene", "stratum", F.col("cut").cast("string").alias("stratum_value"), "sample_count", "reps")
-    every = flat.withColumn("reps", F.lit(1).cast("bigint")).unionByName(cumulative)
-    return every.groupBy("gene", "stratum", "stratum_value", "sample_count").agg(F.sum("reps").alias("species_count"))
+    covered = F.filter("years", lambda y: (y >= F.col("value")) & (F.col("until").isNull() | (y < F.col("until"))))
+    values = F.when(F.col("value").isNull(), F.array(F.lit("all"))).otherwise(covered.cast("array<string>"))
+    spread = steps.crossJoin(F.broadcast(all_years)).select("gene", "stratum", "sample_count", "reps", F.explode(values).alias("stratum_value"))
+    return spread.groupBy("gene", "stratum", "stratum_value", "sample_count").agg(F.sum("reps").alias("species_count"))
 
 
 def taxonomy_histogram(reps: DataFrame) -> DataFrame:

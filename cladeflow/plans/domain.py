@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codons as C
 from ..operators import clusterstats, clustering, distances, estimates, refmatch, report, richness
+from ..sources import logs
 from .registry import query
-from .relational import BEST, PHYLA, POISSON, UNIQUE, WIDE, corrected, errors, hits, nearest, phyla, reps, single_reads, wide_types
+from .relational import BEST, CORRECTED, LEAST, PHYLA, POISSON, UNIQUE, WIDE, corrected, errors, hits, nearest, phyla, reps, single_reads, wide_types
 
 # ---- reshapes ----
 
@@ -43,11 +44,17 @@ def _(s):
 
 @query("RSH-06_complete_sequence", f"SELECT m.marker, CAST(d.distance AS INT) AS distance, coalesce(count, 0) AS count FROM (SELECT DISTINCT marker FROM ref_windows) m CROSS JOIN range(16) d(distance) LEFT JOIN (SELECT a.marker, least(hamming(a.sequence, b.sequence), 15) AS distance, count(*) AS count FROM ({UNIQUE}) a JOIN ({UNIQUE}) b ON a.marker = b.marker AND a.species = b.species AND a.sequence < b.sequence GROUP BY ALL) t ON t.marker = m.marker AND t.distance = d.distance")
 def _(s):
-    n = distances.intra(distances.species_windows(s.ref_windows), most=1 << 30).where("metric = 'intra_pair'").select("marker", F.col("distance").cast("int").alias("distance"), "count")
+    n = distances.intra(distances.species_windows(s.ref_windows), seed=0).where("metric = 'intra_pair'").select("marker", F.col("distance").cast("int").alias("distance"), "count")
     every = s.spark.range(16).select(F.col("id").cast("int").alias("distance"))
     return report.complete(n, s.ref_windows.select("marker"), every, {"count": 0})
 
 
+@query("RSH-07_file_rows", "SELECT concat('SRR', CAST(c_nationkey AS STRING)) AS sample, c_custkey, c_acctbal FROM customer")
+def _(s):
+    # one scan of all files stands for a frame a file and its unnesting
+    return logs.read_benchmarks(s.spark, s.sample_files(), "c_custkey bigint, c_acctbal double")
+
+
 @query("RSH-07_nested_files", "SELECT c_custkey AS id, concat('SRR', CAST(c_custkey AS STRING)) AS sample, c_acctbal FROM customer")
 def _(s):
     path = F.expr("concat('/b/SRR', CAST(c_custkey AS STRING), '.txt')")
@@ -82,12 +89,12 @@ def _(s):
 
 @query("DOM-02_signature", "SELECT gene, f_class, single_read, parent_class, n_pairs, n_pairs_ambiguous, n_single_nt, pos1, pos2, pos3, syn, nonsyn, stop, round(exp_syn, 9) AS exp_syn, round(exp_nonsyn, 9) AS exp_nonsyn, round(exp_stop, 9) AS exp_stop, transitions, n_codons_multi_nt FROM sig")
 def _(s):
-    return s.sig.withColumns({c: F.round(c, 9) for c in ("exp_syn", "exp_nonsyn", "exp_stop")})
+    return s.make_sig().withColumns({c: F.round(c, 9) for c in ("exp_syn", "exp_nonsyn", "exp_stop")})
 
 
 @query("DOM-03_pairs", "SELECT gene, rep, member, n_occurrences, sum_hits, rep_n_occurrences FROM pairs")
 def _(s):
-    return s.pairs
+    return s.make_pairs()
 
 
 EST = "round(p_obs, 9) AS p_obs, round(p_ref, 9) AS p_ref, round(p_err, 9) AS p_err, round(error_fraction, 7) + 0.0::DOUBLE AS error_fraction, round(error_fraction_se, 7) AS error_fraction_se"
@@ -128,6 +135,11 @@ def _(s):
     return richness.fit_models(s.cohort_hist, ("marker", "cohort"))
 
 
+@query("DOM-07_selected_models")
+def _(s):
+    return richness.select_model(richness.fit_models(s.cohort_hist, ("marker", "cohort")), ("marker", "cohort"))
+
+
 @query("DOM-08_richness_by_taxon")
 def _(s):
     return richness.fit_models(s.tax_hist, ("marker", "stratum", "stratum_value"))
@@ -139,9 +151,10 @@ def _(s):
     return c.where("estimator = 'Synonymous'").select("marker", "cohort", "sample_count", "species_count")
 
 
-@query("DOM-09_corrected_richness")
+@query("DOM-09_corrected_richness", f"SELECT marker, cohort, estimator, obs AS observed, round(lam, 6) AS poisson_lambda, round(low / (1 - exp(-lam)) + (obs - low), 4) AS poisson_estimate FROM ({CORRECTED})")
 def _(s):
-    return corrected(s)
+    r = corrected(s)
+    return r.select("marker", "cohort", "estimator", "observed", F.round("poisson_lambda", 6).alias("poisson_lambda"), F.round("poisson_estimate", 4).alias("poisson_estimate"))
 
 
 @query("DOM-10_mismatch_rates", "SELECT marker, f_class, round(syn / n, 9) AS syn_rate, round(stop / n, 9) AS stop_rate, round(pos3 / n, 9) AS pos3_rate FROM (SELECT marker, f_class, sum(n_single_nt) AS n, sum(syn) AS syn, sum(stop) AS stop, sum(pos3) AS pos3 FROM sig_all GROUP BY ALL) WHERE n > 0")
@@ -191,6 +204,9 @@ def _(s):
 
 # ---- clustering ----
 
+#: Windows a marker in a chunk of CLU-03.
+CHUNK = 2_000_000
+
 
 @query("CLU-01_greedy_clusters")
 def _(s):
@@ -205,7 +221,7 @@ def _(s):
 
 @query("CLU-03_chunked_clusters")
 def _(s):
-    return clustering.cluster_chunked(s.dedup.select("gene", "seq_num", "sequence"), 300)
+    return clustering.cluster_chunked(s.dedup.select("gene", "seq_num", "sequence"), CHUNK)
 
 
 @query("CLU-04_chains", "SELECT CAST(p_partkey AS VARCHAR) AS member, CAST((p_partkey - 1) % 100 + 1 AS VARCHAR) AS rep FROM part")
@@ -235,9 +251,20 @@ def _(s):
     return nearest(s).groupBy("gene", "divergence").agg(F.count("*").alias("n"))
 
 
-@query("CLU-08_distances")
+HAMMING = "least(hamming(a.sequence, b.sequence), 15)"
+SIX = (
+    "SELECT marker, 'n_genome_windows' AS metric, 0 AS distance, count(*) AS count FROM ref_windows GROUP BY marker",
+    "SELECT marker, 'n_species', 0, count(DISTINCT species) FROM ref_windows GROUP BY marker",
+    f"SELECT a.marker, 'intra_pair', {HAMMING} AS d, count(*) FROM ({UNIQUE}) a JOIN ({UNIQUE}) b ON a.marker = b.marker AND a.species = b.species AND a.sequence < b.sequence GROUP BY a.marker, d",
+    f"SELECT marker, 'intra_diameter', d, count(*) FROM (SELECT u.marker, u.species, least(coalesce(max(hamming(a.sequence, b.sequence)), 0), 15) AS d FROM (SELECT DISTINCT marker, species FROM ref_windows) u LEFT JOIN ({UNIQUE}) a ON a.marker = u.marker AND a.species = u.species LEFT JOIN ({UNIQUE}) b ON a.marker = b.marker AND a.species = b.species AND a.sequence < b.sequence GROUP BY ALL) GROUP BY marker, d",
+    f"SELECT a.marker, 'inter_sampled_all', {HAMMING} AS d, count(*) FROM ({LEAST}) a JOIN ({LEAST}) b ON a.marker = b.marker AND a.species <> b.species GROUP BY a.marker, d",
+    f"SELECT marker, 'inter_sampled_nearest', least(d, 15) AS d, count(*) FROM (SELECT a.marker, a.species, min(hamming(a.sequence, b.sequence)) AS d FROM ({LEAST}) a JOIN ({LEAST}) b ON a.marker = b.marker AND a.species <> b.species GROUP BY ALL) GROUP BY marker, least(d, 15)",
+)
+
+
+@query("CLU-08_distances", "SELECT marker, metric, CAST(distance AS INT) AS distance, count FROM (" + " UNION ALL ".join(SIX) + ")")
 def _(s):
-    return distances.distances(s.ref_windows)
+    return distances.distances(s.ref_windows).withColumn("distance", F.col("distance").cast("int"))
 
 
 # ---- many files ----
@@ -245,12 +272,11 @@ def _(s):
 
 @query("SRC-24_benchmarks", "SELECT sample, round(sum(c_acctbal), 2) AS s FROM (SELECT concat('SRR', CAST(c_nationkey AS STRING)) AS sample, c_acctbal FROM customer) GROUP BY sample")
 def _(s):
-    path = F.expr("concat('/b/SRR', CAST(c_nationkey AS STRING), '.txt')")
-    rows = s.table("customer").select(F.regexp_extract(path, r"([^/.]+)[^/]*$", 1).alias("sample"), "c_acctbal")
+    rows = logs.read_benchmarks(s.spark, s.sample_files(), "c_custkey bigint, c_acctbal double")
     return rows.groupBy("sample").agg(F.round(F.sum("c_acctbal"), 2).alias("s"))
 
 
 @query("SRC-25_collate", "SELECT gene, count(*) AS n, count(DISTINCT sample) AS samples FROM indexed GROUP BY gene")
 def _(s):
-    return s.indexed.groupBy("gene").agg(F.count("*").alias("n"), F.countDistinct("sample").alias("samples"))
+    return s.make_indexed().groupBy("gene").agg(F.count("*").alias("n"), F.countDistinct("sample").alias("samples"))
 

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise_gaps
+from ..sources.publish import complete, file_system
+from ..sources.shared import shared_folder
+
+#: Tables of a Fixture that are written before they are read, each after those that it is made from.
+STORED = (
+    "otu", "meta", "counts", "clusters", "raw_clusters", "pairs", "indexed", "dedup", "samples", "stats", "sig", "tags", "histo", "per_seq",
+    "cohort_hist", "ref_windows", "tax_hist",
+)
 
 OTU_HITS = """
 WITH k AS (
@@ -101,72 +111,115 @@ def oracle(sql: str) -> str:
 
 
 class Fixture:
-    """The tables of one run as DataFrames, made when first asked for."""
+    """The tables of one run as DataFrames, made when first asked for.
+
+    Those in STORED are written once a session and folder of tables, as the stages of a run are, and read from there;
+    queries of the operators that make them call `make_` and what it needs.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def folder(self) -> str:
+        """Where this session keeps what is made from these tables."""
+        key = hashlib.md5(self.sf_dir.encode()).hexdigest()[:12]
+        return f"{shared_folder(self.spark).rstrip('/')}/tables-{self.spark.sparkContext.applicationId}/{key}"
+
+    def written(self, name: str, write: Callable[[str], None]) -> str:
+        """The path of files that `write` makes once."""
+        path = f"{self.folder()}/{name}"
+        if not complete(self.spark, path):
+            write(path)
+        return path
+
+    def stored(self, name: str) -> DataFrame:
+        make = getattr(self, f"make_{name}")
+        path = self.written(name, lambda to: make().write.mode("overwrite").parquet(to))
+        self.__dict__[name] = self.spark.read.parquet(path)
+        return self.__dict__[name]
+
+    def tsv(self, name: str, df: DataFrame, header: bool = True) -> str:
+        """The path of a folder of tab-separated files that hold the rows."""
+        return self.written(name, lambda to: df.write.mode("overwrite").csv(to, sep="\t", header=header))
+
+    def sample_files(self) -> str:
+        """A pattern of tab-separated files, one a nation, named by a sample: customers' keys and balances."""
+
+        def write(to: str) -> None:
+            rows = self.table("customer").select(F.expr("concat('SRR', CAST(c_nationkey AS STRING))").alias("sample"), "c_custkey", "c_acctbal")
+            made = f"{to}/by"
+            rows.repartition("sample").write.mode("overwrite").partitionBy("sample").csv(made, sep="\t", header=True)
+            fs, _ = file_system(self.spark, made)
+            for folder in fs.listStatus(file_system(self.spark, made)[1]):
+                name = folder.getPath().getName()
+                if "=" in name:
+                    for part in fs.listStatus(folder.getPath()):
+                        if part.getPath().getName().startswith("part-"):
+                            fs.rename(part.getPath(), file_system(self.spark, f"{to}/{name.split('=')[1]}.txt")[1])
+            fs.create(file_system(self.spark, f"{to}/_SUCCESS")[1]).close()
+
+        return f"{self.written('sample_files', write)}/*.txt"
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in STORED:
+            raise AttributeError(name)
+        return self.stored(name)
+
+    def store(self) -> None:
+        """Everything in STORED, for timings that leave it out."""
+        for name in STORED:
+            self.stored(name)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @cached_property
-    def otu(self) -> DataFrame:
+    def make_otu(self) -> DataFrame:
         return self.spark.sql(OTU_HITS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=self.table("lineitem"))
 
-    @cached_property
-    def meta(self) -> DataFrame:
+    def make_meta(self) -> DataFrame:
         return self.spark.sql(SAMPLE_METADATA.replace("FROM orders", "FROM {orders}"), orders=self.table("orders"))
 
     @cached_property
     def seqs(self) -> DataFrame:
         return self.otu.withColumn("seq", normalise_gaps("sequence"))
 
-    @cached_property
-    def counts(self) -> DataFrame:
+    def make_counts(self) -> DataFrame:
         from ..operators.collate import counts_table, rows_of
 
         return counts_table(rows_of(self.otu, ("gene",)), ("gene",))
 
-    @cached_property
-    def clusters(self) -> DataFrame:
+    def make_clusters(self) -> DataFrame:
         return self.seqs.select("gene", F.col("seq").alias("member"), F.col("planted_rep").alias("rep")).distinct()
 
-    @cached_property
-    def raw_clusters(self) -> DataFrame:
+    def make_raw_clusters(self) -> DataFrame:
         return self.otu.select("gene", F.col("sequence").alias("member"), F.col("planted_rep").alias("rep")).distinct()
 
-    @cached_property
-    def pairs(self) -> DataFrame:
+    def make_pairs(self) -> DataFrame:
         from ..operators.signature import build_pairs
 
         return build_pairs(self.counts, self.clusters, ("gene",))
 
-    @cached_property
-    def indexed(self) -> DataFrame:
+    def make_indexed(self) -> DataFrame:
         from ..operators.collate import indexed
 
         return indexed(self.otu, ordinal=("sequence", "taxonomy"))
 
-    @cached_property
-    def dedup(self) -> DataFrame:
+    def make_dedup(self) -> DataFrame:
         from ..operators.collate import dedup
 
         return dedup(self.indexed, F.struct("sample", "otu_idx"))
 
-    @cached_property
-    def samples(self) -> DataFrame:
+    def make_samples(self) -> DataFrame:
         from ..operators.clusterstats import rep_sample_counts
 
         return rep_sample_counts(self.otu, self.raw_clusters)
 
-    @cached_property
-    def stats(self) -> DataFrame:
+    def make_stats(self) -> DataFrame:
         from ..operators.clusterstats import cluster_stats
 
         return cluster_stats(self.raw_clusters, self.dedup, self.samples)
 
-    @cached_property
-    def sig(self) -> DataFrame:
+    def make_sig(self) -> DataFrame:
         from ..operators.signature import signature
 
         return signature(self.pairs, ("gene",))
@@ -183,20 +236,17 @@ class Fixture:
 
         return estimate(self.sig_all)
 
-    @cached_property
-    def tags(self) -> DataFrame:
+    def make_tags(self) -> DataFrame:
         from ..operators.strata import tagged
 
         return tagged(self.otu, self.clusters, self.meta)
 
-    @cached_property
-    def histo(self) -> DataFrame:
+    def make_histo(self) -> DataFrame:
         from ..operators.strata import histogram
 
         return histogram(self.tags, self.meta)
 
-    @cached_property
-    def per_seq(self) -> DataFrame:
+    def make_per_seq(self) -> DataFrame:
         return self.seqs.groupBy("gene", F.col("seq").alias("rep")).agg(F.countDistinct("sample").alias("n_samples"), F.sum("num_hits").cast("bigint").alias("total_hits"))
 
     @cached_property
@@ -206,8 +256,7 @@ class Fixture:
         a = F.length("rep") - F.length(F.replace("rep", F.lit("A"), F.lit("")))
         return with_cluster_type(self.per_seq.withColumn("globdb_status", F.when(a > 16, "confirmed")))
 
-    @cached_property
-    def cohort_hist(self) -> DataFrame:
+    def make_cohort_hist(self) -> DataFrame:
         def of(hits: DataFrame, name: str) -> DataFrame:
             n = hits.groupBy("gene", "seq").agg(F.countDistinct("sample").alias("sample_count"))
             return n.groupBy(F.col("gene").alias("marker"), F.lit(name).alias("cohort"), "sample_count").agg(F.count("*").alias("species_count"))
@@ -221,14 +270,12 @@ class Fixture:
         human = F.count_if(F.col("organism") == "human gut metagenome").alias("human-gut")
         return self.meta.agg(F.count("*").alias("all"), human).unpivot([], ["all", "human-gut"], "cohort", "n_samples")
 
-    @cached_property
-    def ref_windows(self) -> DataFrame:
+    def make_ref_windows(self) -> DataFrame:
         from ..functions.scalars import species_of
 
         return self.seqs.where("num_hits >= 48").select(F.col("gene").alias("marker"), species_of("taxonomy").alias("species"), F.col("seq").alias("sequence"))
 
-    @cached_property
-    def tax_hist(self) -> DataFrame:
+    def make_tax_hist(self) -> DataFrame:
         from ..functions.scalars import taxonomy_token
         from ..operators.strata import taxonomy_histogram
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import clusterstats, collate, distances, estimates, refmatch, report, richness, strata
 from ..operators import signature as sig
+from ..operators.numbering import numbered
 from .registry import query
 
 # ---- joins ----
@@ -48,7 +49,7 @@ def _(s):
 
 @query("JOIN-07_member_to_rep", "SELECT gene, rep, n_samples FROM rep_samples")
 def _(s):
-    return s.samples.select("gene", "rep", "n_samples")
+    return s.make_samples().select("gene", "rep", "n_samples")
 
 
 @query("JOIN-08_stats_default", "SELECT c.gene, c.rep, CAST(sum(coalesce(d.n_occurrences, 1)) AS BIGINT) AS cluster_size, CAST(sum(CASE WHEN coalesce(d.unknown, 1) = 0 THEN coalesce(d.n_occurrences, 1) ELSE 0 END) AS BIGINT) AS n_query, CAST(max(coalesce(d.hits, 0)) AS BIGINT) AS max_hits, CAST(sum(coalesce(d.sum_hits, 0)) AS BIGINT) AS total_hits FROM raw_clusters c LEFT JOIN (SELECT * FROM dedup WHERE seq_num % 3 > 0) d ON c.gene = d.gene AND c.member = d.sequence GROUP BY ALL")
@@ -155,7 +156,7 @@ UNIQUE = "SELECT DISTINCT marker, species, sequence FROM ref_windows"
 
 @query("JOIN-20_intra_pairs", f"SELECT a.marker, CAST(least(hamming(a.sequence, b.sequence), 15) AS INT) AS distance, count(*) AS count FROM ({UNIQUE}) a JOIN ({UNIQUE}) b ON a.marker = b.marker AND a.species = b.species AND a.sequence < b.sequence GROUP BY ALL")
 def _(s):
-    return distances.intra(distances.species_windows(s.ref_windows), most=1 << 30).where("metric = 'intra_pair'").select("marker", F.col("distance").cast("int").alias("distance"), "count")
+    return distances.intra(distances.species_windows(s.ref_windows), seed=0).where("metric = 'intra_pair'").select("marker", F.col("distance").cast("int").alias("distance"), "count")
 
 
 LEAST = f"SELECT marker, species, min(sequence) AS sequence FROM ({UNIQUE}) GROUP BY ALL"
@@ -189,7 +190,7 @@ def _(s):
 
 @query("JOIN-24_rep_taxonomy", "SELECT stratum, stratum_value, CAST(sum(species_count) AS BIGINT) AS n FROM tax_hist GROUP BY ALL")
 def _(s):
-    return s.tax_hist.groupBy("stratum", "stratum_value").agg(F.sum("species_count").alias("n"))
+    return s.make_tax_hist().groupBy("stratum", "stratum_value").agg(F.sum("species_count").alias("n"))
 
 
 @query("JOIN-25_unmatched", f"SELECT id FROM ({BEST}) WHERE divergence IS NULL")
@@ -207,22 +208,22 @@ def _(s):
 
 @query("AGG-01_counts_table", "SELECT gene, sequence, n_occurrences, sum_hits FROM counts")
 def _(s):
-    return s.counts
+    return s.make_counts()
 
 
 @query("AGG-02_dedup", "SELECT gene, sequence, unknown, hits, n_occurrences, sum_hits, seq_num FROM dedup")
 def _(s):
-    return s.dedup
+    return s.make_dedup()
 
 
 @query("AGG-03_rep_samples", "SELECT gene, rep, n_samples FROM rep_samples")
 def _(s):
-    return s.samples
+    return s.make_samples()
 
 
 @query("AGG-04_cluster_stats", "SELECT gene, rep, cluster_size, n_query, max_hits, total_hits, n_samples FROM stats")
 def _(s):
-    return s.stats
+    return s.make_stats()
 
 
 @query("AGG-05_single_read", "SELECT gene, count(*) AS n_clusters, count(*) FILTER (WHERE h = 1) AS n_single_read_clusters, count(*) FILTER (WHERE o = 1) AS n_single_occurrence_clusters FROM (SELECT gene, sequence, sum(sum_hits) AS h, sum(n_occurrences) AS o FROM counts GROUP BY ALL) GROUP BY gene")
@@ -238,7 +239,7 @@ def _(s):
 
 @query("AGG-07_distinct_tags", "SELECT gene, rep, sample, stratum, CAST(value AS VARCHAR) AS value FROM tags")
 def _(s):
-    return s.tags.withColumn("value", F.col("value").cast("string"))
+    return s.make_tags().withColumn("value", F.col("value").cast("string"))
 
 
 @query("AGG-08_strata_counts", "SELECT gene, stratum, CAST(value AS VARCHAR) AS value, n, count(*) AS reps FROM (SELECT gene, rep, stratum, value, count(*) AS n FROM tags GROUP BY ALL) GROUP BY ALL")
@@ -249,12 +250,12 @@ def _(s):
 
 @query("AGG-09_cumulative_years", "SELECT gene, stratum, stratum_value, sample_count, species_count FROM histo")
 def _(s):
-    return s.histo
+    return s.make_histo()
 
 
 @query("AGG-10_taxonomy_histogram", "SELECT marker, stratum, stratum_value, sample_count, species_count FROM tax_hist")
 def _(s):
-    return s.tax_hist
+    return s.make_tax_hist()
 
 
 @query("AGG-11_merge_parts", "SELECT gene, stratum, stratum_value, sample_count, 2 * species_count AS species_count FROM histo")
@@ -267,18 +268,18 @@ SIG = "SELECT gene, f_class, single_read, parent_class"
 
 @query("AGG-12_pair_counts", f"{SIG}, n_pairs, n_pairs_ambiguous FROM sig")
 def _(s):
-    return s.sig.select("gene", "f_class", "single_read", "parent_class", "n_pairs", "n_pairs_ambiguous")
+    return s.make_sig().select("gene", "f_class", "single_read", "parent_class", "n_pairs", "n_pairs_ambiguous")
 
 
 @query("AGG-13_multi_codons", f"{SIG}, n_codons_multi_nt FROM sig")
 def _(s):
-    return s.sig.select("gene", "f_class", "single_read", "parent_class", "n_codons_multi_nt")
+    return s.make_sig().select("gene", "f_class", "single_read", "parent_class", "n_codons_multi_nt")
 
 
 @query("AGG-14_single_codons", f"{SIG}, n_single_nt, pos1, pos2, pos3, syn, nonsyn, stop, round(exp_syn, 9) AS exp_syn, round(exp_nonsyn, 9) AS exp_nonsyn, round(exp_stop, 9) AS exp_stop, transitions FROM sig")
 def _(s):
     cols = ["gene", "f_class", "single_read", "parent_class", "n_single_nt", "pos1", "pos2", "pos3", "syn", "nonsyn", "stop", "transitions"]
-    return s.sig.select(*cols, *[F.round(c, 9).alias(c) for c in ("exp_syn", "exp_nonsyn", "exp_stop")])
+    return s.make_sig().select(*cols, *[F.round(c, 9).alias(c) for c in ("exp_syn", "exp_nonsyn", "exp_stop")])
 
 
 @query("AGG-15_combine", f"{SIG}, 2 * n_pairs AS n_pairs, 2 * pos3 AS pos3 FROM sig")
@@ -362,7 +363,7 @@ def _(s):
 
 @query("AGG-28_diameter", f"SELECT marker, CAST(distance AS INT) AS distance, count(*) AS count FROM (SELECT u.marker, u.species, least(coalesce(max(hamming(a.sequence, b.sequence)), 0), 15) AS distance FROM (SELECT DISTINCT marker, species FROM ref_windows) u LEFT JOIN ({UNIQUE}) a ON a.marker = u.marker AND a.species = u.species LEFT JOIN ({UNIQUE}) b ON a.marker = b.marker AND a.species = b.species AND a.sequence < b.sequence GROUP BY ALL) GROUP BY ALL")
 def _(s):
-    return distances.intra(distances.species_windows(s.ref_windows), most=1 << 30).where("metric = 'intra_diameter'").select("marker", F.col("distance").cast("int").alias("distance"), "count")
+    return distances.intra(distances.species_windows(s.ref_windows), seed=0).where("metric = 'intra_diameter'").select("marker", F.col("distance").cast("int").alias("distance"), "count")
 
 
 @query("AGG-29_inter_nearest", f"SELECT marker, CAST(least(d, 15) AS INT) AS distance, count(*) AS count FROM (SELECT a.marker, a.species, min(hamming(a.sequence, b.sequence)) AS d FROM ({LEAST}) a JOIN ({LEAST}) b ON a.marker = b.marker AND a.species <> b.species GROUP BY ALL) GROUP BY ALL")
@@ -376,12 +377,21 @@ def _(s):
     return rows.groupBy("gene").agg(F.median("v").alias("middle"), F.round(F.avg("v"), 9).alias("mean"))
 
 
-POISSON = "SELECT marker, cohort, obs, low, CASE WHEN low_sum > low THEN list_reduce(list_prepend(low_sum / low, list_transform(range(300), lambda i: low_sum / low)), lambda a, m: m * (1 - exp(-a))) END AS lam FROM (SELECT marker, cohort, sum(species_count)::BIGINT AS obs, sum(species_count) FILTER (WHERE sample_count <= 10)::BIGINT AS low, sum(species_count * sample_count) FILTER (WHERE sample_count <= 10)::BIGINT AS low_sum FROM cohort_hist GROUP BY ALL)"
+def poisson(table: str, keys: str) -> str:
+    """SQL for the truncated Poisson's rate, by fixed point, of histograms."""
+    return f"SELECT {keys}, obs, low, CASE WHEN low_sum > low THEN list_reduce(list_prepend(low_sum / low, list_transform(range(300), lambda i: low_sum / low)), lambda a, m: m * (1 - exp(-a))) END AS lam FROM (SELECT {keys}, sum(species_count)::BIGINT AS obs, sum(species_count) FILTER (WHERE sample_count <= 10)::BIGINT AS low, sum(species_count * sample_count) FILTER (WHERE sample_count <= 10)::BIGINT AS low_sum, sum(species_count) FILTER (WHERE sample_count = 1)::BIGINT AS f1 FROM {table} GROUP BY {keys})"
 
 
-@query("AGG-31_against_uncorrected")
+POISSON = poisson("cohort_hist", "marker, cohort")
+ERRORS = "SELECT marker, 'Synonymous' AS estimator, least(greatest(error_fraction, 0), 1) AS pi FROM est WHERE f_class = 'f1' AND single_read AND parent_class = 'all' AND statistic = 'synonymous'"
+CORRECTED_HIST = f"SELECT h.marker, h.cohort, estimator, sample_count, CAST(species_count - CASE WHEN sample_count = 1 THEN least(CAST(round_even(pi * r.n, 0) AS BIGINT), species_count) ELSE 0 END AS BIGINT) AS species_count FROM cohort_hist h JOIN ({ERRORS} UNION ALL SELECT marker, 'Uncorrected', 0.0 FROM ({ERRORS})) e ON e.marker = h.marker JOIN (SELECT gene, count(*) FILTER (WHERE sum_hits = 1) AS n FROM counts GROUP BY gene) r ON r.gene = h.marker"
+CORRECTED = poisson(f"({CORRECTED_HIST})", "marker, cohort, estimator").replace("obs, low, CASE", "obs, low, f1, CASE")
+
+
+@query("AGG-31_against_uncorrected", f"SELECT marker, cohort, estimator, coalesce(f1, 0) AS f1, round(e, 4) AS poisson_estimate, round(e / nullif(max(e) FILTER (WHERE estimator = 'Uncorrected') OVER (PARTITION BY marker, cohort), 0), 7) AS ratio FROM (SELECT *, low / (1 - exp(-lam)) + (obs - low) AS e FROM ({CORRECTED}))")
 def _(s):
-    return richness.against_uncorrected(corrected(s)).select("marker", "cohort", "estimator", "f1", "poisson_estimate", "ratio")
+    r = richness.against_uncorrected(corrected(s))
+    return r.select("marker", "cohort", "estimator", "f1", F.round("poisson_estimate", 4).alias("poisson_estimate"), F.round("ratio", 7).alias("ratio"))
 
 
 def errors(s):
@@ -405,6 +415,12 @@ def _(s):
     return richness.fit_models(s.cohort_hist, ("marker", "cohort")).where("model = 'poisson'").groupBy("cohort", "model").agg(F.count("*").alias("n"))
 
 
+@query("AGG-32_selected_models")
+def _(s):
+    chosen = richness.select_model(richness.fit_models(s.cohort_hist, ("marker", "cohort")), ("marker", "cohort"))
+    return chosen.groupBy("cohort", F.lit("default").alias("estimator"), "model").agg(F.count("*").alias("n"))
+
+
 @query("AGG-33_run_summary", "SELECT gene AS marker, (SELECT count(*) FROM otu_hits o WHERE o.gene = s.gene) AS num_otus, count(*) AS num_clusters FROM stats s GROUP BY gene")
 def _(s):
     return clusterstats.run_summary(s.otu, s.stats)
@@ -442,12 +458,12 @@ def _(s):
 
 @query("WIN-03_first_ordinal", "SELECT gene, sequence, seq_num FROM dedup")
 def _(s):
-    return s.dedup.select("gene", "sequence", "seq_num")
+    return s.make_dedup().select("gene", "sequence", "seq_num")
 
 
 @query("WIN-04_otu_index", "SELECT sample, gene, sequence, num_hits, otu_idx FROM indexed")
 def _(s):
-    return s.indexed.select("sample", "gene", "sequence", "num_hits", F.col("otu_idx").cast("bigint").alias("otu_idx"))
+    return s.make_indexed().select("sample", "gene", "sequence", "num_hits", F.col("otu_idx").cast("bigint").alias("otu_idx"))
 
 
 @query("WIN-05_best_hit", "SELECT sample AS query, CAST(num_hits AS INT) AS divergence, sequence AS taxonomy FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY num_hits, concat(sequence, gene)) AS p FROM otu_hits) WHERE p = 1")
@@ -468,16 +484,21 @@ def _(s):
     return s.cohort_hist.select("marker", "cohort", "sample_count", one.alias("singles"))
 
 
+@query("WIN-08_pair_ids", "SELECT gene, rep, member, row_number() OVER (ORDER BY gene, rep, member) - 1 AS pair_id FROM pairs")
+def _(s):
+    return numbered(s.pairs.select("gene", "rep", "member"), ["gene", "rep", "member"], name="pair_id", start=0)
+
+
 @query("SRT-01_otu_order", "SELECT sample, gene, string_agg(sequence, ',' ORDER BY otu_idx) AS sequences FROM indexed GROUP BY ALL")
 def _(s):
     ordered = F.array_sort(F.collect_list(F.struct("otu_idx", "sequence")))
-    return s.indexed.groupBy("sample", "gene").agg(F.array_join(F.transform(ordered, lambda x: x["sequence"]), ",").alias("sequences"))
+    return s.make_indexed().groupBy("sample", "gene").agg(F.array_join(F.transform(ordered, lambda x: x["sequence"]), ",").alias("sequences"))
 
 
 @query("SRT-02_external_sort", "SELECT member, rep, row_number() OVER (ORDER BY member, rep) AS place FROM (SELECT DISTINCT member, rep FROM clusters)")
 def _(s):
     d = s.clusters.select("member", "rep").distinct()
-    return d.select("member", "rep", F.row_number().over(W.orderBy("member", "rep")).cast("bigint").alias("place"))
+    return numbered(d, ["member", "rep"])
 
 
 @query("SRT-03_class_order", "SELECT f_class, row_number() OVER (ORDER BY f_class) AS place FROM (SELECT DISTINCT f_class FROM classed)")
@@ -520,7 +541,7 @@ def _(s):
     return collate.chunk(s.dedup, 100, 200).select("gene", "seq_num", "sequence")
 
 
-@query("SRT-09_seeded_sample")
+@query("SRT-09_seeded_sample", f"SELECT marker, species, sequence FROM (SELECT *, row_number() OVER (PARTITION BY marker, species ORDER BY md5(concat('5|', sequence)), sequence) AS p FROM ({UNIQUE})) WHERE p <= 3")
 def _(s):
     return distances.sampled(distances.species_windows(s.ref_windows), ["marker", "species"], "sequence", 3, seed=5)
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codons as C
 from ..functions import scalars as S
-from ..operators import collate, distances, report
+from ..operators import collate, distances, report, richness
 from ..operators.strata import valid_year
-from ..sources import archive, fasta, logs, tables
+from ..sources import archive, fasta, logs, publish, tables
 from .registry import query
 
 HEADER = "concat('otu', otu_idx, '|', sample, '|', gene, '|unknown=', unknown, '|hits=', num_hits)"
@@ -67,12 +67,13 @@ def _(s):
 
 @query("SRC-07_scan_projection", "SELECT sequence, n_occurrences, sum_hits FROM counts")
 def _(s):
-    return s.counts.select("sequence", "n_occurrences", "sum_hits")
+    path = s.tsv("counts_tsv", s.counts)
+    return tables.read_tsv(s.spark, path, f"gene string, {tables.COUNTS}", columns=["sequence", "n_occurrences", "sum_hits"])
 
 
 @query("SRC-08_headerless_clusters", "SELECT member, rep FROM clusters")
 def _(s):
-    return s.clusters.select("member", "rep")
+    return tables.read_clusters(s.spark, s.tsv("clusters_tsv", s.clusters.select("member", "rep"), header=False))
 
 
 @query("SRC-09_reference_join", "SELECT marker, species, count(*) AS n, count(DISTINCT sequence) AS n_distinct FROM ref_windows GROUP BY ALL")
@@ -106,15 +107,18 @@ def _(s):
     return tables.load_metadata(rows, "o_orderkey")
 
 
+def intermediate(s):
+    return s.written("orders_zstd", lambda to: tables.write_intermediate(s.table("orders"), to, "o_orderkey"))
+
+
 @query("SRC-12_parquet_slice", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 1000 AND 2000")
 def _(s):
-    return s.table("orders").where("o_orderkey BETWEEN 1000 AND 2000").select("o_orderkey", "o_totalprice")
+    return tables.read_slice(s.spark, intermediate(s), ["o_orderkey", "o_totalprice"], "o_orderkey", 1000, 2000)
 
 
 @query("SRC-12_parquet_whole", "SELECT o_orderkey, o_totalprice FROM orders")
 def _(s):
-    # the reference's slices go through every row; here partitions do
-    return s.table("orders").select("o_orderkey", "o_totalprice")
+    return tables.read_slice(s.spark, intermediate(s), ["o_orderkey", "o_totalprice"], "o_orderkey")
 
 
 @query("SRC-14_json_summary", "SELECT gene, CAST(n_samples AS BIGINT) AS k, count(*) AS n FROM stats GROUP BY ALL")
@@ -145,8 +149,30 @@ def _(s):
 
 @query("SRC-17_concatenate", "SELECT gene, 'a' AS part, n_samples FROM stats UNION ALL SELECT gene, 'b', n_samples FROM stats")
 def _(s):
-    one = s.stats.select("gene", F.lit("a").alias("part"), "n_samples")
-    return one.unionByName(s.stats.select("gene", F.lit("b").alias("part"), "n_samples"))
+    parts = [s.tsv(f"stats_{p}_tsv", s.stats.select("gene", F.lit(p).alias("part"), "n_samples")) for p in "ab"]
+    schema = "gene string, part string, n_samples bigint"
+    whole = s.written("stats_tsv", lambda to: tables.concatenate(s.spark, parts, schema, to))
+    return tables.read_tsv(s.spark, whole, schema)
+
+
+@query("SRC-13_publish", "SELECT gene, sequence, n_occurrences FROM counts")
+def _(s):
+    # published twice: the second table takes the first one's place
+    path = f"{s.folder()}/published"
+    for df in (s.counts.limit(0), s.counts):
+        publish.publish(df.select("gene", "sequence", "n_occurrences"), path)
+    return s.spark.read.parquet(path)
+
+
+@query("ORC-02_resume", "SELECT gene, n_samples, 1 AS made FROM stats")
+def _(s):
+    # the stage is asked for twice and made at most once; other facts would make it anew
+    made, path, facts = [], f"{s.folder()}/staged", {"max_divergence": 2, "tables": s.sf_dir}
+    for _ in range(2):
+        rows = publish.stage_table(lambda: made.append(1) or s.stats.select("gene", "n_samples"), s.spark, path, facts)
+    if len(made) > 1 or not publish.is_current(s.spark, path, facts) or publish.is_current(s.spark, path, {**facts, "max_divergence": 3}):
+        raise RuntimeError("the stage was made again or its manifest does not hold")
+    return rows.select("gene", "n_samples", F.lit(1).alias("made"))
 
 
 @query("SRC-18_fasta_rows", "SELECT translate(sequence, '-', 'N') AS sequence, CAST(1 AS BIGINT) AS n_occurrences, CAST(num_hits AS BIGINT) AS sum_hits FROM indexed")
@@ -323,7 +349,7 @@ def _(s):
 @query("FIL-22_model_filter", "SELECT p_partkey FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Kemp' WHEN 1 THEN 'Poisson' END AS model FROM part) WHERE model IS NULL OR model <> 'Kemp'")
 def _(s):
     m = s.table("part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "Kemp").when(F.col("p_partkey") % 3 == 1, "Poisson").alias("model"))
-    return m.where("model IS NULL OR model <> 'Kemp'").select("p_partkey")
+    return richness.without_model(m, "Kemp").select("p_partkey")
 
 
 LABELS = "concat('S3.', CAST(p_size AS STRING), '.', CASE p_partkey % 3 WHEN 0 THEN 'ribosomal_protein_L2' WHEN 1 THEN 'ribosomal_S5_ribosomal_protein' ELSE 'rpoB' END)"
@@ -335,7 +361,7 @@ def _(s):
     return m.select("marker", report.marker_label().alias("label"), report.marker_number().alias("number"))
 
 
-@query("FIL-24_hash_sample")
+@query("FIL-24_hash_sample", "SELECT gene, count(*) AS n FROM pairs WHERE substr(md5(concat('1|', member)), 1, 8) < '40000000' GROUP BY gene")
 def _(s):
     from ..operators.signature import build_pairs
 

@@ -9,29 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def publish(df: DataFrame, path: str, fmt: str = "parquet", **options) -> None:
-    """SRC-13, ORC-07: written beside `path` and moved there once complete; a failure leaves what was there."""
+    """SRC-13, ORC-07: written beside `path` and moved there once complete; a failure leaves what was there.
+
+    The old table is moved aside first and deleted last, and moved back if the new one cannot take its place.
+    """
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    fs, target = _fs(spark, path)
-    _, temporary = _fs(spark, staged)
+    run = uuid.uuid4().hex
+    staged, aside = (f"{path.rstrip('/')}.{what}-{run}" for what in ("staged", "aside"))
+    fs, target = file_system(spark, path)
+    (_, temporary), (_, old) = file_system(spark, staged), file_system(spark, aside)
     try:
         df.write.format(fmt).options(**options).save(staged)
-        fs.delete(target, True)
-        if not fs.rename(temporary, target):
+        replaces = fs.exists(target)
+        if replaces and not _moved(fs, target, old):
+            raise OSError(f"could not move {path} aside")
+        try:
+            done = _moved(fs, temporary, target)
+        except Exception:
+            done = False
+        if not done:
+            if replaces and not _moved(fs, old, target):
+                raise OSError(f"could not move {staged} to {path}; the old table is at {aside}")
             raise OSError(f"could not move {staged} to {path}")
+        fs.delete(old, True)
     finally:
         fs.delete(temporary, True)
 
 
+def _moved(fs, source, target) -> bool:
+    return fs.rename(source, target)
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """ORC-02: whether a table is there and was committed."""
-    fs, p = _fs(spark, f"{path.rstrip('/')}/_SUCCESS")
+    fs, p = file_system(spark, f"{path.rstrip('/')}/_SUCCESS")
     return fs.exists(p)
 
 
@@ -43,7 +61,7 @@ def write_manifest(spark: SparkSession, path: str, facts: dict) -> None:
 
 def is_current(spark: SparkSession, path: str, facts: dict) -> bool:
     """Whether the table at `path` is complete and was made from these facts."""
-    fs, p = _fs(spark, f"{path.rstrip('/')}.manifest")
+    fs, p = file_system(spark, f"{path.rstrip('/')}.manifest")
     if not complete(spark, path) or not fs.exists(p):
         return False
     row = spark.read.text(f"{path.rstrip('/')}.manifest").first()

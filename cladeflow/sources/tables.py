@@ -21,6 +21,25 @@ def read_clusters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_tsv(spark, paths, CLUSTERS, header=False)
 
 
+def concatenate(spark: SparkSession, paths: list[str], schema: str, to: str) -> None:
+    """SRC-17: files of one schema with a header each as one table with one header a part file; a missing path is an error."""
+    read_tsv(spark, paths, schema).write.csv(to, sep="\t", header=True)
+
+
+def write_intermediate(df: DataFrame, path: str, order: str | None = None) -> None:
+    """SRC-12: Parquet with zstd; rows that belong together by `order` lie together, so that slices skip most row groups."""
+    rows = df.repartitionByRange(order).sortWithinPartitions(order) if order else df
+    rows.write.option("compression", "zstd").parquet(path)
+
+
+def read_slice(spark: SparkSession, path: str, columns: list[str], by: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """SRC-12: some columns of the rows of a range, ends included; without ends, all rows. Range and columns reach the scan."""
+    df = spark.read.parquet(path)
+    for keep in (F.col(by) >= low if low is not None else None, F.col(by) <= high if high is not None else None):
+        df = df.where(keep) if keep is not None else df
+    return df.select(*columns)
+
+
 def export_metadata(metadata: DataFrame, attributes: DataFrame) -> DataFrame:
     """SRC-10, JOIN-19: acc, year, organism of every sample."""
     m, a = metadata.alias("m"), attributes.alias("a")

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from cladeflow.operators import clustering
+from cladeflow.plans import domain
 
 
 def windows(n, seed=1):
@@ -48,11 +49,30 @@ def test_chains_and_chunks(spark):
     parts = {r.member: r.rep for r in clustering.cluster_chunked(frame(spark, ws), 15).collect()}
     assert parts == whole
     assert clustering.cluster(frame(spark, ws).limit(0)).count() == 0
+    growing = {r.member: r.rep for r in clustering.cluster(frame(spark, ws), first=4, growth=2).collect()}
+    assert growing == whole
+
+
+def test_a_ring_ends(spark):
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "member string, rep string")
+    with pytest.raises(ValueError, match="ring"):
+        clustering.resolve_chains(ring)
+
+
+@pytest.mark.parametrize("d,window", [(0, 60), (1, 45), (3, 60), (2, 90)])
+def test_near_pairs_of_other_lengths(spark, d, window):
+    pick = random.Random(d)
+    ws = sorted({"".join(c if pick.random() > 0.03 else pick.choice("ACGTN") for c in ("ACGTTGCA" * 12)[:window]) for _ in range(60)})
+    rows = frame(spark, ws).withColumnRenamed("seq_num", "id")
+    got = sorted((r.a, r.b, r.divergence) for r in clustering.near_pairs(rows, rows, d, window).where("a < b").collect())
+    far = lambda x, y: sum(p != q for p, q in zip(x, y))
+    assert got == [(i, j, far(ws[i], ws[j])) for i in range(len(ws)) for j in range(i + 1, len(ws)) if far(ws[i], ws[j]) <= d]
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
-def test_chunked_query_is_whole(spark, tmp_path):
+def test_chunked_query_is_whole(spark, tmp_path, monkeypatch):
     spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").where("l_orderkey % 5 = 0").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(domain, "CHUNK", 700)
     whole, parts = (sorted(map(tuple, entry.queries()[n](spark, str(tmp_path)).collect())) for n in ("CLU-01_greedy_clusters", "CLU-03_chunked_clusters"))
     assert len(whole) > 2 * 600
     assert parts == whole

@@ -36,6 +36,20 @@ def test_whole_source_query(spark, name):
     test_query(spark, name)
 
 
+@pytest.mark.parametrize("name", ("SRC-07_scan_projection", "SRC-08_headerless_clusters", "SRC-13_publish", "SRC-17_concatenate", "SRC-24_benchmarks", "RSH-07_file_rows", "ORC-02_resume", "WIN-08_pair_ids", "SRT-02_external_sort", "SRT-09_seeded_sample", "FIL-24_hash_sample"))
+def test_query_over_files_and_numbers(spark, name):
+    test_query(spark, name)
+
+
+@pytest.mark.parametrize("name,most", (("DOM-02_signature", 1), ("DOM-04_error_estimates", 2), ("AGG-09_cumulative_years", 2), ("AGG-04_cluster_stats", 3), ("AGG-02_dedup", 1)))
+def test_scans(spark, name, most):
+    """Operators read the tables they start from once each, not the source again for each use."""
+    df = entry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= most, plan
+    assert "lineitem" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -85,3 +85,30 @@ def test_rarefaction_ends_at_observed(spark):
     assert out[1.0] == pytest.approx(80) and all(out[i / 10] < out[(i + 1) / 10] for i in range(1, 10))
     n = spark.createDataFrame([(752944, 3)], "n long, k long").select(lchoose("n", "k")).first()[0]
     assert n == pytest.approx(math.log(math.comb(752944, 3)), abs=1e-5)
+
+
+def test_a_failed_move_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    publish.publish(spark.range(3), path)
+    real = publish._moved
+    monkeypatch.setattr(publish, "_moved", lambda fs, a, b: False if ".staged-" in a.toString() else real(fs, a, b))
+    with pytest.raises(OSError, match="could not move"):
+        publish.publish(spark.range(5), path)
+    monkeypatch.undo()
+    assert spark.read.parquet(path).count() == 3
+    publish.publish(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_files_of_one_schema(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 4)):
+        spark.range(n).selectExpr("CAST(id AS STRING) AS member", f"'{name}' AS rep").write.csv(str(tmp_path / name), sep="\t", header=True)
+    tables.concatenate(spark, [str(tmp_path / x) for x in "ab"], tables.CLUSTERS, str(tmp_path / "c"))
+    assert tables.read_tsv(spark, str(tmp_path / "c"), tables.CLUSTERS, columns=["rep"]).groupBy("rep").count().count() == 2
+    with pytest.raises(Exception, match="not exist|PATH_NOT_FOUND"):
+        tables.concatenate(spark, [str(tmp_path / "missing")], tables.CLUSTERS, str(tmp_path / "d"))
+    tables.write_intermediate(spark.range(100).withColumn("x", F.col("id") * 2), str(tmp_path / "p"), "id")
+    part = tables.read_slice(spark, str(tmp_path / "p"), ["x"], "id", 10, 12)
+    assert sorted(r.x for r in part.collect()) == [20, 22, 24]
+    assert tables.read_slice(spark, str(tmp_path / "p"), ["x"], "id").count() == 100
