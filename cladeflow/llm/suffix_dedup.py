@@ -3,11 +3,11 @@
 A byte goes if a string of SPAN (400) bytes that covers it also starts anywhere else, in any text, the same
 one included. There is no suffix array, no doubling of offsets and no reranking by pairs: the strings at a position
 get hash names at three fixed lengths, called ranks below, and equal strings have equal ranks. What has become
-unique at one length is dropped before the next; what is left at the threshold is repeated.
+unique at one length is dropped before the next; what is left at the threshold is repeated. README.md has the figures
+of an attempt at doubling.
 
-By calculation, not measured, doubling over every position would move at least 16 bytes a text byte and round.
-So positions are sampled by content: every string of SPAN bytes names one anchor in it, the start of the rarest-ranked 100-byte
-string among its 301 (a sliding minimum of their hashes). Equal strings name the same place in them, so it
+Positions are sampled by content: every string of 400 bytes names one anchor in it, the start of the rarest-ranked
+100-byte string among its 301 (a sliding minimum of their hashes). Equal strings name the same place in them, so it
 is enough to rank anchors, about one in 150 positions:
 
 1. Length 100: anchors whose 100-byte string is unique are dropped, with all strings that name them.
@@ -19,17 +19,25 @@ is enough to rank anchors, about one in 150 positions:
 
 The strings that name an anchor and are repeated cover one stretch around it; a text's stretches are merged.
 
-Ranks are 64-bit polynomial names, equal for equal strings; two strings that differ share a name with
-odds of about 2^-64 and only matter within the same rank of the round before.
+Passages: 51 words often take less than 400 bytes, so a passage of over 50 words that documents share may keep all
+its bytes. It is reported beside, by the same rounds over words `[^\\x20\\x09-\\x0D]+` in place of bytes (strings of 51
+words, anchors of 8) and with other documents only: `n_passages` counts the maximal runs of such words of a text.
 
-Defined results: a null text is empty; texts under 400 bytes keep all; repeated rows count as texts each;
-null ids keep their rows; extra columns are ignored; an empty table gives an empty result.
+No table of counts is joined in the stage that made it, so that joins on hot ranks can be split.
+
+Ranks are 63-bit polynomial names, equal for equal strings; two strings that differ share a name with
+odds of about 2^-63 and only matter within the same rank of the round before.
+
+Defined results: a null text is empty; texts under 400 bytes keep all, texts under 51 words have no passage; repeated
+rows count as texts each for bytes and as one document for passages; null ids keep their rows; a very long text is a
+part of its own and takes memory in proportion to its length; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +49,19 @@ from .common import cut, mix64, slices
 
 SPAN, GRAM = 400, 100
 REACH = SPAN - GRAM
+PASSAGE, PASSAGE_GRAM = 51, 8
+#: Unit, the lowest bit of a rank: bytes or words -> symbols of a string and of an anchor.
+UNITS = ((SPAN, GRAM), (PASSAGE, PASSAGE_GRAM))
+#: Bytes of the shortest text that can have an anchor: 51 words of a letter.
+LEAST = min(SPAN, 2 * PASSAGE - 1)
 SLICE = 2 << 20
 #: Contexts of one rank up to which one task compares them.
-HOT = 20_000
+HOT = 2_000
 _BASE = 0xC2B2AE3D27D4EB4F
 _BYTES = mix64(np.arange(1001, 1257, dtype=np.uint64))
 _INVERSE = pow(_BASE, -1, 2**64)
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -60,12 +75,12 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class Names:
-    """Polynomial names of all substrings of a buffer."""
+    """Polynomial names of all substrings of an array of symbols."""
 
-    def __init__(self, data: np.ndarray):
-        self.n = len(data)
+    def __init__(self, symbols: np.ndarray):
+        self.n = len(symbols)
         self.prefix = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _power(_BASE, self.n)[: self.n], out=self.prefix[1:])
+        np.cumsum(symbols * _power(_BASE, self.n)[: self.n], out=self.prefix[1:])
         self.inverse = _power(_INVERSE, self.n)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -90,53 +105,85 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, place, first, last, rank100, rank700): anchors and the first and last start of the strings that name them."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    empty = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
-    if not len(texts) or lengths.max(initial=0) < SPAN:
-        return empty
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    names = Names(data)
-    h = mix64(names.grams(GRAM))
+class Anchors(NamedTuple):
+    """Anchors of a list of texts: the text, where in it the anchor and the first and last string that names it start, and two ranks."""
+
+    text: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    rank: np.ndarray
+    context: np.ndarray
+
+
+def _anchors(names: Names, starts: np.ndarray, lengths: np.ndarray, unit: int) -> Anchors:
+    """The anchors of texts that lie in one array of symbols."""
+    span, gram = UNITS[unit]
+    room = np.maximum(lengths - span + 1, 0)
+    if not room.sum():
+        return Anchors(*(np.empty(0, np.int64),) * 4, *(np.empty(0, np.uint64),) * 2)
+    h = mix64(names.grams(gram))
     low = np.uint64((1 << 32) - 1)  # ties of the upper half go to the leftmost, wherever the slice starts
-    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), REACH + 1) & low
-    room = np.maximum(lengths - SPAN + 1, 0)
+    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), span - gram + 1) & low
     begin = np.repeat(starts - (np.cumsum(room) - room), room) + np.arange(room.sum())
-    text = np.repeat(np.arange(len(texts)), room)
+    text = np.repeat(np.arange(len(lengths)), room)
     place = least[begin].astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 0) | (np.diff(text) != 0))))
     last = np.concatenate((new[1:], [len(place)])) - 1
     at, of = place[new], text[new]
-    a, b = np.maximum(at - REACH, starts[of]), np.minimum(at + SPAN, ends[of])
+    a, b = np.maximum(at - (span - gram), starts[of]), np.minimum(at + span, (starts + lengths)[of])
     around = mix64(names.of(a, b) ^ ((at - a).astype(np.uint64) << np.uint64(32)) ^ (b - at).astype(np.uint64))
-    return of, at - starts[of], begin[new] - starts[of], begin[last] - starts[of], h[at], around
+    rank = h[at] & ~np.uint64(1) | np.uint64(unit)
+    return Anchors(of, at - starts[of], begin[new] - starts[of], begin[last] - starts[of], rank, around)
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(text)
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    edge = np.diff(np.concatenate(([False], ~_WHITE[data], [False])).view(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_ANCHOR = "d long, k long, place int, first int, last int, r100 long, r700 long"
+def _symbols(names: Names, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words as symbols."""
+    return mix64(names.of(starts, ends) ^ (ends - starts).astype(np.uint64))
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, 2, SLICE):
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            of, place, first, last, r100, r700 = anchors(texts)
-            index = pa.array(of)
-            small = [pa.array(x.astype(np.int32), pa.int32()) for x in (place, first, last)]
-            ranks = [pa.array(x.view(np.int64), pa.int64()) for x in (r100, r700)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *small, *ranks], ["d", "k", "place", "first", "last", "r100", "r700"])
+def anchors(texts: list[bytes]) -> tuple[Anchors, Anchors]:
+    """The anchors of whole texts, over bytes and over words."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    names = Names(_BYTES[data])
+    a, b = _words(data)
+    first = np.searchsorted(a, starts)
+    counts = np.diff(np.concatenate((first, [len(a)])))
+    return _anchors(names, starts, lengths, 0), _anchors(Names(_symbols(names, a, b)), first, counts, 1)
+
+
+def _anchored(full: bool):
+    """Ranks of anchors; if full, with their text (d, k), and `at`: its place and how far before it its strings start, at most and at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 2, SLICE):
+                for x in anchors([t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]):
+                    rank = pa.array(x.rank.view(np.int64))
+                    if not full:
+                        yield pa.RecordBatch.from_arrays([rank], ["r"])
+                        continue
+                    index = pa.array(x.text)
+                    at = x.place << 20 | (x.place - x.first) << 10 | (x.place - x.last)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(index), batch.column(1).take(index), pa.array(at), rank, pa.array(x.context.view(np.int64))], ["d", "k", "at", "r", "c"]
+                    )
+
+    return run
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    """(d, k, text): d and k together tell texts apart; rows that share both have the same text."""
+    """(doc_id, d, k, text): d and k together tell texts apart; rows that share both have the same text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("d"), text_key(text).alias("k"), text.alias("text"))
+    return documents.select("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
 
 
 def _press(texts: list[str]) -> pa.Array:
@@ -152,65 +199,88 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], _press(batch.column(last).to_pylist())], [*batch.schema.names[:last], "packed"])
 
 
+_CONTEXT = "r long, c long, several boolean, hot boolean, doc long, body binary, at int, low int, high int"
+_CONTEXT_TYPES = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around the wanted anchors of each text."""
+    """The bytes, or the words as symbols, around the wanted anchors of each text; copies of a row that follow it are left out.
+
+    `doc` names the document of a context, 0 where several have it.
+    """
     press = zstandard.ZstdDecompressor()
+    last = None
     for batch in batches:
-        r100, r700, bytes_, at, low, high = [], [], [], [], [], []
-        for packed, wanted in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        out: list[list] = [[] for _ in _CONTEXT_TYPES]
+        for d, k, packed, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (d, k) == last:
+                continue
+            last = (d, k)
             data = press.decompress(packed)
+            words = None
             for x in wanted:
-                a, b = max(0, x["place"] - REACH), min(len(data), x["place"] + SPAN)
-                r100.append(x["r100"]), r700.append(x["r700"]), bytes_.append(data[a:b])
-                at.append(x["place"] - a), low.append(x["first"] - a), high.append(x["last"] - a)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(r100, pa.int64()), pa.array(r700, pa.int64()), pa.array(bytes_, pa.binary()), *(pa.array(x, pa.int32()) for x in (at, low, high))],
-            ["r100", "r700", "bytes", "at", "low", "high"],
-        )
+                unit, (place, most, least) = x["r"] & 1, (x["at"] >> 20, x["at"] >> 10 & 1023, x["at"] & 1023)
+                span, gram = UNITS[unit]
+                if unit and words is None:
+                    raw = np.frombuffer(data, np.uint8)
+                    words = _symbols(Names(_BYTES[raw]), *_words(raw))
+                a = max(0, place - span + gram)
+                body = words[a : place + span].tobytes() if unit else data[a : place + span]
+                doc = 0 if x["several"] else (d ^ k * 31 | 1) & (1 << 63) - 1
+                values = (x["r"], x["c"], x["several"], x["hot"], doc, body, place - a, place - most - a, place - least - a)
+                for column, v in zip(out, values):
+                    column.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _CONTEXT_TYPES)], [f.split()[0] for f in _CONTEXT.split(", ")])
 
 
 def _strings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset of the anchor in the string, name) of every string of SPAN bytes that names a context's anchor."""
-    parts = batch.column(2).to_pylist()
-    at, low, high = (np.asarray(batch.column(i), dtype=np.int64) for i in (3, 4, 5))
-    lengths = np.array([len(p) for p in parts], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    names = Names(np.frombuffer(b"".join(parts), np.uint8))
-    n = high - low + 1
-    row = np.repeat(np.arange(len(parts)), n)
-    begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[row]
-    where = begin + starts[row]
-    offset = at[row] - begin
-    rank = np.asarray(batch.column(0), dtype=np.int64).view(np.uint64)[row]
-    return row, offset, mix64(mix64(names.of(where, where + SPAN) ^ rank) + offset.astype(np.uint64))
-
-
-def _extremes(row: np.ndarray, offset: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows with strings that are on: the row, and its largest and smallest offset."""
+    """(row, offset of the anchor in the string, name) of every string that names a context's anchor; a name's lowest bit is its unit."""
+    bodies = batch.column(5).to_pylist()
+    ranks = np.asarray(batch.column(0), dtype=np.int64).view(np.uint64)
+    at, low, high = (np.asarray(batch.column(i), dtype=np.int64) for i in (6, 7, 8))
+    parts = []
+    for unit, (span, _) in enumerate(UNITS):
+        rows = np.flatnonzero((ranks & np.uint64(1)) == unit)
+        joined = b"".join([bodies[i] for i in rows])
+        symbols = np.frombuffer(joined, np.uint64) if unit else _BYTES[np.frombuffer(joined, np.uint8)]
+        lengths = np.array([len(bodies[i]) for i in rows], np.int64) // (8 if unit else 1)
+        starts = np.cumsum(lengths) - lengths
+        n = high[rows] - low[rows] + 1
+        index = np.repeat(np.arange(len(rows)), n)
+        begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[rows][index]
+        where = begin + starts[index]
+        row = rows[index]
+        offset = at[row] - begin
+        name = mix64(mix64(Names(symbols).of(where, where + span) ^ ranks[row]) + offset.astype(np.uint64))
+        parts.append((row, offset, name & ~np.uint64(1) | np.uint64(unit)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+_REACHED = "r long, c long, most int, least int"
+
+
+def _settled(t: pa.RecordBatch) -> pa.RecordBatch:
+    """For whole ranks: the contexts, of those of one document, with strings that another context has, and the largest and smallest offset of these."""
+    row, offset, name = _strings(t)
+    doc = np.asarray(t.column(4), dtype=np.int64)[row]
+    order = np.argsort(name, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
+    size = np.diff(np.concatenate((first, [len(order)])))
+    several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+    in_words = (name[order][first] & np.uint64(1)) == 1
+    on = np.zeros(len(name), bool)
+    on[order] = np.repeat(np.where(in_words, several, size > 1), size)
+    on &= ~np.asarray(t.column(2).to_numpy(zero_copy_only=False))[row]
     row, offset = row[on], offset[on]
-    rows, first = np.unique(row, return_index=True)
-    if not len(rows):
-        return rows, rows, rows
-    return rows, np.maximum.reduceat(offset, first), np.minimum.reduceat(offset, first)
-
-
-_REACHED = ["r100", "r700", "most", "least"]
+    by = np.argsort(row, kind="stable")
+    rows, at = np.unique(row[by], return_index=True)
+    most, least = (f.reduceat(offset[by], at) if len(rows) else rows for f in (np.maximum, np.minimum))
+    index = pa.array(rows)
+    return pa.RecordBatch.from_arrays([t.column(0).take(index), t.column(1).take(index), pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32))], ["r", "c", "most", "least"])
 
 
 def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by rank: which of their strings another context of the rank has. Whole ranks are compared at a time."""
-
-    def settle(t: pa.RecordBatch) -> pa.RecordBatch:
-        row, offset, name = _strings(t)
-        order = np.argsort(name, kind="stable")
-        same = name[order][1:] == name[order][:-1]
-        on = np.zeros(len(name), bool)
-        on[order[1:][same]] = True
-        on[order[:-1][same]] = True
-        rows, most, least = _extremes(row, offset, on)
-        index = pa.array(rows)
-        return pa.RecordBatch.from_arrays([t.column(0).take(index), t.column(1).take(index), pa.array(most.astype(np.int32)), pa.array(least.astype(np.int32))], _REACHED)
-
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -224,10 +294,10 @@ def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.asarray(joined.column(0), dtype=np.int64)
         whole = int(np.flatnonzero(ranks == ranks[-1])[0])
         if whole:
-            yield settle(joined.slice(0, whole))
+            yield _settled(joined.slice(0, whole))
         held, size = [joined.slice(whole)], 0 if whole else size
     if held:
-        yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        yield _settled(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,66 +307,78 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(i, 1000)
             row, offset, name = _strings(batch)
             index = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(offset.astype(np.int32)), pa.array(name.view(np.int64))], ["r100", "r700", "offset", "name"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(index), batch.column(1).take(index), batch.column(2).take(index), batch.column(4).take(index), pa.array(offset.astype(np.int32)), pa.array(name.view(np.int64))],
+                ["r", "c", "several", "doc", "offset", "name"],
+            )
+
+
+def _merged(stretches: list[dict]) -> list[list[int]]:
+    """Stretches a to b as runs that neither meet nor overlap."""
+    runs: list[list[int]] = []
+    for a, b in sorted((s["a"], s["b"]) for s in stretches):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdDecompressor()
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for packed, stretches in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             data = press.decompress(packed)
-            keep, at, spans = [], 0, 0
-            for s in sorted(stretches or (), key=lambda s: (s["a"], s["b"])):
-                if s["a"] > at or not spans:
-                    keep.append(data[at : s["a"]])
-                    spans += 1
-                at = max(at, s["b"])
-            keep.append(data[at:])
-            rest = b"".join(keep)
-            for x, v in zip(out, (len(data), len(data) - len(rest), spans, hashlib.sha256(rest).hexdigest())):
+            spans, passages = (_merged([s for s in stretches or () if s["unit"] == unit]) for unit in (0, 1))
+            kept = b"".join([data[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(data)])])
+            for x, v in zip(out, (len(data), len(data) - len(kept), len(spans), len(passages), kept)):
                 x.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passages", "kept"])
 
 
-def stretches(documents: DataFrame) -> DataFrame:
-    """(d, k, stretches): the removed stretches of each text that has any, unmerged."""
-    rows = _rows(documents)
-    # not kept: a scan and a linear pass make the anchors again, which costs less than a disk copy
-    found = rows.where(F.octet_length("text") >= SPAN).mapInArrow(_anchored, _ANCHOR)
-    # rounds 1 and 2: ranks at length 100 and 700
-    pairs = found.groupBy("r100", "r700").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "place", "first", "last")).alias("one"))
-    ranks = pairs.groupBy("r100").agg(F.sum("n").alias("strings"), F.count("*").alias("contexts")).where("strings > 1")
-    pairs = cut(pairs.join(ranks, "r100"))
-    done = pairs.where("n > 1").select("r100", "r700")
-    # round 3: length 400, where a rank has more than one context
-    open_ = pairs.where("contexts > 1").select("r100", "r700", "one.*")
-    wanted = open_.groupBy("d", "k").agg(F.collect_list(F.struct("r100", "r700", "place", "first", "last")).alias("wanted"))
-    packed = rows.where(F.octet_length("text") >= SPAN).mapInArrow(_packed, "d long, k long, packed binary")
-    # a repeated row's contexts come twice; its ranks are done already
-    contexts = cut(packed.join(wanted, ["d", "k"]).mapInArrow(_contexts, "r100 long, r700 long, bytes binary, at int, low int, high int"))
-    hot = pairs.where(F.col("contexts") > HOT).select("r100").distinct()
-    few = contexts.join(hot, "r100", "left_anti").repartition("r100").sortWithinPartitions("r100").mapInArrow(_reached, "r100 long, r700 long, most int, least int")
-    strings = contexts.join(hot, "r100", "left_semi").mapInArrow(_dealt, "r100 long, r700 long, offset int, name long")
-    twice = strings.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    many = strings.join(twice, "name").groupBy("r100", "r700").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
-    reached = few.unionByName(many).join(done, ["r100", "r700"], "left_anti")
-    whole = done.select("r100", "r700", F.lit(None).cast("int").alias("most"), F.lit(None).cast("int").alias("least"))
-    reached = cut(reached.unionByName(whole))
-    covered = found.join(reached, ["r100", "r700"]).select(
-        "d", "k", F.coalesce(F.col("place") - F.col("most"), "first").alias("a"), (F.coalesce(F.col("place") - F.col("least"), "last") + SPAN).alias("b")
-    )
-    return covered.groupBy("d", "k").agg(F.collect_set(F.struct("a", "b")).alias("stretches"))
+def _unit(rank: str = "r") -> Column:
+    return F.col(rank).bitwiseAND(F.lit(1).cast("long"))
 
 
-def dedup(documents: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def stretches(documents: DataFrame) -> DataFrame:
+    """(d, k, stretches): the removed stretches of bytes (unit 0) and the passages in words (unit 1) of each text that has any, unmerged."""
+    rows = _rows(documents).where(F.octet_length("text") >= LEAST).select("d", "k", "text")
+    # the anchors are made twice: a scan and a linear pass cost less than a disk copy of all
+    ranks = cut(rows.mapInArrow(_anchored(False), "r long").groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r"))
+    found = cut(rows.mapInArrow(_anchored(True), "d long, k long, at long, r long, c long").join(ranks, "r"))
+    pairs = found.groupBy("r", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "at")).alias("one"), F.max(F.struct("d", "k")).alias("other"))
+    other = (F.col("one.d") != F.col("other.d")) | (F.col("one.k") != F.col("other.k"))
+    pairs = cut(pairs.select("r", "c", "one", F.when(_unit() == 0, F.col("n") > 1).otherwise(other).alias("several")))
+    # round 3 is for ranks of more than one context, if one of these is not done
+    open_ = cut(pairs.groupBy("r").agg(F.count("*").alias("n"), F.count_if(~F.col("several")).alias("left")).where("n > 1 AND left > 0").select("r", (F.col("n") > HOT).alias("hot")))
+    wanted = pairs.join(open_, "r").groupBy("one.d", "one.k").agg(F.collect_list(F.struct("r", "c", "one.at", "several", "hot")).alias("wanted"))
+    packed = rows.mapInArrow(_packed, "d long, k long, packed binary")
+    contexts = cut(packed.join(cut(wanted), ["d", "k"]).mapInArrow(_contexts, _CONTEXT))
+    few = contexts.where("NOT hot").repartition("r").sortWithinPartitions("r").mapInArrow(_reached, _REACHED)
+    strings = contexts.where("hot").mapInArrow(_dealt, "r long, c long, several boolean, doc long, offset int, name long")
+    repeated = F.when(_unit("name") == 0, F.col("n") > 1).otherwise(F.col("low") != F.col("high"))
+    twice = cut(strings.groupBy("name").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where(repeated).select("name"))
+    many = strings.where("NOT several").join(twice, "name").groupBy("r", "c").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
+    done = pairs.where("several").select("r", "c", F.lit(None).cast("int").alias("most"), F.lit(None).cast("int").alias("least"))
+    reached = cut(few.unionByName(many).unionByName(done))
+    at = F.col("at")
+    place, first, last = F.shiftright(at, 20), F.shiftright(at, 10).bitwiseAND(F.lit(1023).cast("long")), at.bitwiseAND(F.lit(1023).cast("long"))
+    span = F.when(_unit() == 0, SPAN).otherwise(PASSAGE)
+    covered = found.join(reached, ["r", "c"]).select("d", "k", _unit().alias("unit"), (place - F.coalesce("most", first)).alias("a"), (place - F.coalesce("least", last) + span).alias("b"))
+    return cut(covered.groupBy("d", "k").agg(F.collect_set(F.struct("unit", "a", "b")).alias("stretches")))
+
+
+def strip(documents: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, n_passages and the kept bytes."""
     slim = documents.select("doc_id", "text")
-    removed = stretches(slim)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = slim.select("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("d"), text_key(text).alias("k"), text.alias("text"))
-    packed = rows.mapInArrow(_packed, f"doc_id {kind}, d long, k long, packed binary")
-    return packed.join(removed, ["d", "k"], "left").select("doc_id", "packed", "stretches").mapInArrow(
-        _cleaned, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    packed = _rows(slim).mapInArrow(_packed, f"doc_id {kind}, d long, k long, packed binary")
+    return packed.join(stretches(slim), ["d", "k"], "left").select("doc_id", "packed", "stretches").mapInArrow(
+        _cleaned, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, n_passages long, kept binary"
     )
+
+
+def dedup(documents: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passages."""
+    return strip(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tests.llm.conftest import words
 from cladeflow.llm import decontamination, mixing, near_dedup, pii, quality_rules, secrets, suffix_dedup, token_counts, url_filters, warc
 
 
@@ -204,16 +205,40 @@ def kept_bytes(texts, span=400):
     return out
 
 
+def passages(table, size=51):
+    """Maximal runs of words in strings of 51 words that another document has."""
+    key = lambda i, t: (str(i) if i is not None else "", t or "")
+    words = [(t or "").encode().split() for _, t in table]
+    owners = defaultdict(set)
+    for (i, t), w in zip(table, words):
+        for a in range(len(w) - size + 1):
+            owners[tuple(w[a : a + size])].add(key(i, t))
+    out = []
+    for w in words:
+        on = bytearray(len(w))
+        for a in range(len(w) - size + 1):
+            if len(owners[tuple(w[a : a + size])]) > 1:
+                on[a : a + size] = b"\1" * size
+        out.append(sum(bool(g) and not (i and on[i - 1]) for i, g in enumerate(on)))
+    return out
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_suffix_dedup(spark, rows, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     pick = random.Random(5)
     a = ["".join(pick.choice("ab é\n") for _ in range(pick.randrange(300, 1200))) for _ in range(6)]
     texts = [r[1] for r in rows if len(r[1] or "") < 5000] + a + [a[0], a[1][50:], a[2][:500] + a[3][100:700] + a[4][200:], "a" * 900, "xy" * 500, a[5][:399], a[5][:400], a[5][5:405] + "q" + a[0][-400:]]
+    w = [" ".join(pick.choice("abcdefg") * pick.randrange(1, 4) for _ in range(150)).split() for _ in range(5)]
+    texts += [" ".join(x) for x in w]  # passages of 51 words and of 50, at both ends and between, parted by other white space, and one twice in a text
+    texts += [" ".join(w[0][:51]), "\n".join(w[1][-51:]), " ".join(w[2][40:90]), " ".join(w[3][40:91] + w[4][30:100]), " ".join(w[4][:60]) + " \t " + " ".join(w[0][:70])]
+    texts += [" ".join((x := pick.choices(w[1], k=55)) + ["q"] + x), " ".join(words(30, 9) + w[2][20:71] + words(30, 8)), "é" * 30 + " " + " ".join(w[2][19:72])]
     table = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
     table += [table[-1], table[-1]]
     got = suffix_dedup.dedup(spark.createDataFrame(table, "doc_id long, text string"))
-    assert Counter(map(tuple, got.drop("doc_id").collect())) == Counter(kept_bytes([t for _, t in table]))
+    want = [(*kept, n) for kept, n in zip(kept_bytes([t for _, t in table]), passages(table))]
+    assert sum(x[-1] > 0 for x in want) > 10
+    assert Counter(map(tuple, got.drop("doc_id").collect())) == Counter(want)
 
 
 # ---- 5 ----
