@@ -11,42 +11,45 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_folder
+
 #: ASCII white space, the separators of words `[^\x20\x09-\x0D]+`; bytes.split() splits on just these.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 ORIGINAL = "__row"
 
+__all__ = ["ORIGINAL", "WHITE", "WORD", "checkpoint_folder", "cut", "mix64", "named", "own", "packed", "slices", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_of(name: str = "text") -> Column:
-    """The text as a string; null counts as empty."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def named(column: str) -> Column:
+    """A column by its whole name, which may hold dots and backticks."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def own(column: str) -> Column:
+    """A column of the packed row."""
+    return F.col(f"{ORIGINAL}.`{column.replace('`', '``')}`")
 
 
 def packed(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows as one struct column beside their text, so that no column of the input clashes with computed ones."""
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias(ORIGINAL), text_of(text).alias("__text"))
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias(ORIGINAL), F.coalesce(named(text).cast("string"), F.lit("")).alias("__text"))
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared checkpoint folder and survive lost executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The shared folder the cluster names; a local one only where none is set and the master is local, as in tests."""
+    return shared_folder(spark)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder: Parquet, which packs rows closer than a checkpoint does."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

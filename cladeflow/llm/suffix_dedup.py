@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, slices
+from .common import mix64, slices, written
 
 SPAN, GRAM = 400, 100
 REACH = SPAN - GRAM
@@ -56,7 +56,7 @@ UNITS = ((SPAN, GRAM), (PASSAGE, PASSAGE_GRAM))
 LEAST = min(SPAN, 2 * PASSAGE - 1)
 SLICE = 2 << 20
 #: Contexts of one rank up to which one task compares them.
-HOT = 2_000
+HOT = 20_000
 _BASE = 0xC2B2AE3D27D4EB4F
 _BYTES = mix64(np.arange(1001, 1257, dtype=np.uint64))
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -119,22 +119,25 @@ class Anchors(NamedTuple):
 def _anchors(names: Names, starts: np.ndarray, lengths: np.ndarray, unit: int) -> Anchors:
     """The anchors of texts that lie in one array of symbols."""
     span, gram = UNITS[unit]
-    room = np.maximum(lengths - span + 1, 0)
-    if not room.sum():
+    room = lengths - span + 1
+    some = np.flatnonzero(room > 0)
+    if not len(some):
         return Anchors(*(np.empty(0, np.int64),) * 4, *(np.empty(0, np.uint64),) * 2)
-    h = mix64(names.grams(gram))
+    begins, ends = starts[some], (starts + room)[some]  # of the strings of a text
+    h = names.grams(gram)
     low = np.uint64((1 << 32) - 1)  # ties of the upper half go to the leftmost, wherever the slice starts
     least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), span - gram + 1) & low
-    begin = np.repeat(starts - (np.cumsum(room) - room), room) + np.arange(room.sum())
-    text = np.repeat(np.arange(len(lengths)), room)
-    place = least[begin].astype(np.int64)
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 0) | (np.diff(text) != 0))))
-    last = np.concatenate((new[1:], [len(place)])) - 1
-    at, of = place[new], text[new]
+    # a string begins a run where it names another anchor than the one before, or is its text's first
+    new = np.union1d(np.flatnonzero(least[1:] != least[:-1]) + 1, begins)
+    text = np.searchsorted(begins, new, side="right") - 1
+    inside = (text >= 0) & (new < ends[text])
+    last = np.minimum(np.append(new[1:], len(least)), ends[text])[inside] - 1
+    new, of = new[inside], some[text[inside]]
+    at = least[new].astype(np.int64)
     a, b = np.maximum(at - (span - gram), starts[of]), np.minimum(at + span, (starts + lengths)[of])
     around = mix64(names.of(a, b) ^ ((at - a).astype(np.uint64) << np.uint64(32)) ^ (b - at).astype(np.uint64))
-    rank = h[at] & ~np.uint64(1) | np.uint64(unit)
-    return Anchors(of, at - starts[of], begin[new] - starts[of], begin[last] - starts[of], rank, around)
+    rank = mix64(h[at]) & ~np.uint64(1) | np.uint64(unit)
+    return Anchors(of, at - starts[of], new - starts[of], last - starts[of], rank, around)
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +190,7 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 
 def _press(texts: list[str]) -> pa.Array:
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     return pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
 
 
@@ -345,28 +348,28 @@ def stretches(documents: DataFrame) -> DataFrame:
     """(d, k, stretches): the removed stretches of bytes (unit 0) and the passages in words (unit 1) of each text that has any, unmerged."""
     rows = _rows(documents).where(F.octet_length("text") >= LEAST).select("d", "k", "text")
     # the anchors are made twice: a scan and a linear pass cost less than a disk copy of all
-    ranks = cut(rows.mapInArrow(_anchored(False), "r long").groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r"))
-    found = cut(rows.mapInArrow(_anchored(True), "d long, k long, at long, r long, c long").join(ranks, "r"))
+    ranks = written(rows.mapInArrow(_anchored(False), "r long").groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r"))
+    found = written(rows.mapInArrow(_anchored(True), "d long, k long, at long, r long, c long").join(ranks, "r"))
     pairs = found.groupBy("r", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "at")).alias("one"), F.max(F.struct("d", "k")).alias("other"))
     other = (F.col("one.d") != F.col("other.d")) | (F.col("one.k") != F.col("other.k"))
-    pairs = cut(pairs.select("r", "c", "one", F.when(_unit() == 0, F.col("n") > 1).otherwise(other).alias("several")))
+    pairs = written(pairs.select("r", "c", "one", F.when(_unit() == 0, F.col("n") > 1).otherwise(other).alias("several")))
     # round 3 is for ranks of more than one context, if one of these is not done
-    open_ = cut(pairs.groupBy("r").agg(F.count("*").alias("n"), F.count_if(~F.col("several")).alias("left")).where("n > 1 AND left > 0").select("r", (F.col("n") > HOT).alias("hot")))
+    open_ = written(pairs.groupBy("r").agg(F.count("*").alias("n"), F.count_if(~F.col("several")).alias("left")).where("n > 1 AND left > 0").select("r", (F.col("n") > HOT).alias("hot")))
     wanted = pairs.join(open_, "r").groupBy("one.d", "one.k").agg(F.collect_list(F.struct("r", "c", "one.at", "several", "hot")).alias("wanted"))
     packed = rows.mapInArrow(_packed, "d long, k long, packed binary")
-    contexts = cut(packed.join(cut(wanted), ["d", "k"]).mapInArrow(_contexts, _CONTEXT))
+    contexts = written(packed.join(written(wanted), ["d", "k"]).mapInArrow(_contexts, _CONTEXT))
     few = contexts.where("NOT hot").repartition("r").sortWithinPartitions("r").mapInArrow(_reached, _REACHED)
     strings = contexts.where("hot").mapInArrow(_dealt, "r long, c long, several boolean, doc long, offset int, name long")
     repeated = F.when(_unit("name") == 0, F.col("n") > 1).otherwise(F.col("low") != F.col("high"))
-    twice = cut(strings.groupBy("name").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where(repeated).select("name"))
-    many = strings.where("NOT several").join(twice, "name").groupBy("r", "c").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
+    twice = written(strings.groupBy("name").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where(repeated).select("name"))
+    many = strings.where("NOT several").join(twice, "name", "left_semi").groupBy("r", "c").agg(F.max("offset").alias("most"), F.min("offset").alias("least"))
     done = pairs.where("several").select("r", "c", F.lit(None).cast("int").alias("most"), F.lit(None).cast("int").alias("least"))
-    reached = cut(few.unionByName(many).unionByName(done))
+    reached = written(few.unionByName(many).unionByName(done))
     at = F.col("at")
     place, first, last = F.shiftright(at, 20), F.shiftright(at, 10).bitwiseAND(F.lit(1023).cast("long")), at.bitwiseAND(F.lit(1023).cast("long"))
     span = F.when(_unit() == 0, SPAN).otherwise(PASSAGE)
     covered = found.join(reached, ["r", "c"]).select("d", "k", _unit().alias("unit"), (place - F.coalesce("most", first)).alias("a"), (place - F.coalesce("least", last) + span).alias("b"))
-    return cut(covered.groupBy("d", "k").agg(F.collect_set(F.struct("unit", "a", "b")).alias("stretches")))
+    return written(covered.groupBy("d", "k").agg(F.collect_set(F.struct("unit", "a", "b")).alias("stretches")))
 
 
 def strip(documents: DataFrame) -> DataFrame:
