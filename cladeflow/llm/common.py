@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.shared import cut, shared_folder
 
@@ -18,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 ORIGINAL = "__row"
 
-__all__ = ["ORIGINAL", "WHITE", "WORD", "checkpoint_folder", "cut", "mix64", "named", "own", "packed", "slices", "table", "written"]
+__all__ = ["ORIGINAL", "WHITE", "WORD", "checkpoint_folder", "cut", "mix64", "named", "own", "packed", "slices", "table", "with_fields", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,11 @@ def packed(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.struct(*[named(c) for c in df.columns]).alias(ORIGINAL), F.coalesce(named(text).cast("string"), F.lit("")).alias("__text"))
 
 
+def with_fields(rows: DataFrame, kept: list[str], added: str) -> StructType:
+    """The schema of some columns of rows and of new ones, given as DDL; no name of a kept one is parsed."""
+    return StructType([rows.schema[c] for c in kept] + StructType.fromDDL(added).fields)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where none is set and the master is local, as in tests."""
     return shared_folder(spark)

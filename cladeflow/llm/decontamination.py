@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ORIGINAL, cut, mix64, packed, slices
+from .common import ORIGINAL, cut, mix64, packed, slices, with_fields
 
 WINDOW_WORDS = 10
 K = 5
@@ -187,7 +187,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
 
 
 def _marked(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    schema = f"{ORIGINAL} {rows.schema[ORIGINAL].dataType.simpleString()}, __text string, n_words long, hits array<int>, items array<string>"
+    schema = with_fields(rows, [ORIGINAL, "__text"], "n_words long, hits array<int>, items array<string>")
     context = rows.sparkSession.sparkContext
     first = True
     for block in _blocks(benchmark, block_words):

@@ -15,7 +15,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")) if larger else near.groupBy("u").agg(F.min("v").alias("m"))
-    told = near.join(least, "u")
+    # hubs have many larger neighbours: the least ones are written, so that the join can be split
+    told = near.join(cut(least) if larger else least, "u")
     if larger:
         out = told.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -17,10 +17,14 @@ the links it finds. So no pair that meets in a band is passed over unless its co
 texts are sent once a cell and not once a pair, and no list of pairs is made. Nothing is capped and no bucket
 is dropped.
 
+Tables that say something of a bucket or component are written before they are joined, so that the joins on hot
+ones can be split.
+
 Defined results: null and wordless texts are groups of their own; documents of fewer than five words have
 one shingle of all their words; repeated rows are exact copies; null ids stay null and never name a group
-that has another id; extra columns are ignored by `groups` and kept by `drop_duplicates`; an empty table
-gives an empty result.
+that has another id, and groups of null or repeated ids are told apart by `class_key`; a very long text is sketched
+on its own, in memory in proportion to its length; extra columns are ignored by `groups` and kept by
+`drop_duplicates`, which keeps of rows of one id and text the least by all columns; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, slices
+from .common import cut, mix64, named, slices
 from .graph import components
 
 SHINGLE = 5
@@ -298,14 +302,14 @@ def _cell(rows: pa.Table) -> pa.Table:
 def _within_hot(left: DataFrame, texts: DataFrame) -> DataFrame:
     """From (bucket, key, root) of buckets of several components: links (a, b) between these, a spanning forest a cell."""
     left = cut(left.join(texts.select("key", F.octet_length("text").alias("bytes")), "key"))
-    main = left.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"))
+    main = cut(left.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m")))
     sided = left.join(main.select("bucket", F.col("m.root").alias("main")), "bucket").withColumn("rest", F.col("root") != F.col("main")).drop("main")
 
     def blocks(on: Column) -> Column:
         n, size = F.count(F.when(on, 1)), F.coalesce(F.sum(F.when(on, F.col("bytes"))), F.lit(0))
         return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
 
-    dealt = sided.groupBy("bucket").agg(blocks(F.col("rest")).alias("r"), blocks(~F.col("rest")).alias("m"))
+    dealt = cut(sided.groupBy("bucket").agg(blocks(F.col("rest")).alias("r"), blocks(~F.col("rest")).alias("m")))
     rows = sided.join(dealt, "bucket").withColumn("i", F.pmod(F.xxhash64("key"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))))
     rest = F.sequence(F.lit(0).cast("long"), F.col("r") - 1)
     with_rest = F.transform(rest, lambda j: F.struct(F.lit(False).alias("main"), F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), (j < F.col("i")).alias("second")))
@@ -336,7 +340,7 @@ def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def components_of(drawn: DataFrame, documents: DataFrame) -> DataFrame:
     """(key, root) of every linked key, from sketches; documents: where the texts are."""
     entries = drawn.select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cut(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     met = cut(entries.join(sizes, "bucket"))
     wanted = met.select("key").distinct()
     rows = documents.select(key_of(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).where("key IS NOT NULL")
@@ -345,13 +349,13 @@ def components_of(drawn: DataFrame, documents: DataFrame) -> DataFrame:
     # the first leader of a bucket is the key that meets most others anywhere: in a hot group, the text the others were made from
     weight = large.groupBy("key").agg(F.sum("n").alias("centre"))
     large = cut(large.join(weight, "key").select("bucket", "key", "centre"))
-    leader = large.groupBy("bucket").agg(F.max(F.struct("centre", "key")).alias("l")).select("bucket", F.col("l.key").alias("b"))
+    leader = cut(large.groupBy("bucket").agg(F.max(F.struct("centre", "key")).alias("l")).select("bucket", F.col("l.key").alias("b")))
     pairs = large.join(leader, "bucket").where("key <> b").select(F.col("key").alias("a"), "b").unionByName(_pairs_in(met.where(F.col("n") <= SMALL)))
     found = cut(verify(pairs.distinct(), texts))
     roots = components(found)
     # buckets whose keys are all of one component have nothing left to find
     rows = _with_root(large.select("bucket", "key"), roots)
-    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    several = cut(rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"))
     new = cut(_within_hot(rows.join(several, "bucket"), texts).distinct())
     return roots if new.isEmpty() else components(found.unionByName(new))
 
@@ -363,14 +367,16 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = members.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("head"), F.count("*").alias("class_size")
     )
-    return members, heads
+    return members, cut(heads)
 
 
 def groups(documents: DataFrame) -> DataFrame:
-    """One row a document: doc_id, class_id (the least doc_id of its group), class_size."""
+    """One row a document: doc_id, class_id (the least doc_id of its group), class_size, class_key (null: a group of its own, without words)."""
     members, heads = _classes(documents.select("doc_id", "text"))
-    found = members.join(heads, "root").select("doc_id", F.col("head.id").alias("class_id"), "class_size")
-    bare = documents.where(key_of(F.col("text")).isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    found = members.join(heads, "root").select("doc_id", F.col("head.id").alias("class_id"), "class_size", F.hex("root").alias("class_key"))
+    bare = documents.where(key_of(F.col("text")).isNull()).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("string").alias("class_key")
+    )
     return found.unionByName(bare)
 
 
@@ -382,7 +388,7 @@ def drop_duplicates(documents: DataFrame) -> DataFrame:
     is_head = F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
     judged = cut(judged.where(~is_head | (F.col("copies") > 1)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), is_head.alias("__head")))
     few = judged.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    rows = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("__row"), key_of(F.col("text")).alias("__k"), F.col("doc_id").alias("__d"))
+    rows = documents.select(F.struct(*[named(c) for c in documents.columns]).alias("__row"), key_of(F.col("text")).alias("__k"), F.col("doc_id").alias("__d"))
 
     def on(x: DataFrame) -> Column:
         return (F.col("__k") == F.col("__key")) & F.col("__d").eqNullSafe(F.col("__id"))
@@ -391,5 +397,6 @@ def drop_duplicates(documents: DataFrame) -> DataFrame:
     single = rows.join(listed, on(listed), "left_anti").select("__row.*")
     twice = judged.where("__head")
     twice = F.broadcast(twice) if few else twice
-    repeated = rows.join(twice, on(twice), "left_semi").dropDuplicates(["__k", "__d"]).select("__row.*")
+    # of rows that share id and text the least by all their columns
+    repeated = rows.join(twice, on(twice), "left_semi").groupBy("__k", "__d").agg(F.min_by("__row", F.to_json("__row", {"ignoreNullFields": "false"})).alias("__row")).select("__row.*")
     return single.unionByName(repeated)

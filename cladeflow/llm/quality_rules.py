@@ -5,8 +5,8 @@ policies are versioned masks over these bits, so changing a policy, or asking wh
 (ablation), is bitwise work over the ledger and never reads a text again.
 
 Defined results: a null text has no words and fails `few_words`; repeated rows and null ids keep their
-rows; extra columns of the input are ignored by `ledger` and kept by `filter_documents`; an empty table
-gives an empty ledger.
+rows; a very long text is measured on its own, in memory in proportion to its length; extra columns of the input
+are ignored by `ledger` and kept by `filter_documents`; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ORIGINAL, WHITE, packed
+from .common import ORIGINAL, WHITE, named, packed, slices, with_fields
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
@@ -72,12 +72,10 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(t) for t in batch.column(1).to_pylist()]
-        columns = list(zip(*rows)) if rows else [[]] * len(MEASURES)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], [ORIGINAL, *MEASURES]
-        )
+    for whole in batches:
+        for batch in slices(whole, 1):
+            columns = zip(*[measure(t) for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], [ORIGINAL, *MEASURES])
 
 
 def failure_bits() -> Column:
@@ -86,14 +84,14 @@ def failure_bits() -> Column:
 
 def _ledger(documents: DataFrame, text: str) -> DataFrame:
     rows = packed(documents, text)
-    schema = f"{ORIGINAL} {rows.schema[ORIGINAL].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
+    schema = with_fields(rows, [ORIGINAL], ", ".join(f"{m} long" for m in MEASURES))
     measured = rows.mapInArrow(_measured, schema)
     return measured.select(ORIGINAL, *MEASURES, failure_bits().alias("fail_bits"))
 
 
 def ledger(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: id, measurements and `fail_bits`."""
-    slim = documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
+    slim = documents.select(named(id_column).alias("doc_id"), named(text).alias("text"))
     return _ledger(slim, "text").select(F.col(f"{ORIGINAL}.doc_id").alias("doc_id"), *MEASURES, "fail_bits")
 
 

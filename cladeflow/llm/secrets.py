@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ORIGINAL, packed
+from .common import own, packed
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind -> (pattern, group to measure, least length). Runs of one class cannot be retried inside, so their least length is in the pattern.
@@ -173,13 +173,13 @@ def redact(documents: DataFrame, text: str = "text", allow: tuple[str, ...] = AL
 
     cut_up = F.aggregate("__all", start, step)
     clean = F.concat(F.array_join(cut_up["parts"], ""), F.substring(whole, cut_up["at"] + 1, F.length(whole)))
-    rows = rows.withColumn("__clean", F.when(F.size("__all") > 0, clean).otherwise(F.col(f"{ORIGINAL}.`{text}`")))
+    rows = rows.withColumn("__clean", F.when(F.size("__all") > 0, clean).otherwise(own(text)))
     columns = []
     for c in documents.columns:
         if c == text:
             columns.append(F.col("__clean").alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.size("__all") > 0, F.length("__clean").cast(documents.schema[c].dataType)).otherwise(F.col(f"{ORIGINAL}.`{c}`")).alias(c))
+            columns.append(F.when(F.size("__all") > 0, F.length("__clean").cast(documents.schema[c].dataType)).otherwise(own(c)).alias(c))
         else:
-            columns.append(F.col(f"{ORIGINAL}.`{c}`").alias(c))
+            columns.append(own(c).alias(c))
     return rows.select(*columns)

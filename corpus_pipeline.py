@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm import decontamination, mixing, near_dedup, quality_rules, secrets
-from cladeflow.llm.common import ORIGINAL, checkpoint_folder, table
+from cladeflow.llm.common import checkpoint_folder, own, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their target, repetitions and words taken; these replace columns of the same names."""
     mixed = mixing.mix_documents(docs).where(F.col("repetitions") > 0)
     added = ("size", "source_size", "target", "repetitions", "taken")
-    return mixed.select(*[F.col(f"{ORIGINAL}.`{c}`").alias(c) for c in docs.columns if c.lower() not in added], *added)
+    return mixed.select(*[own(c).alias(c) for c in docs.columns if c.lower() not in added], *added)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

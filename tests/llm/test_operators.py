@@ -1,12 +1,16 @@
 """Operators against brute force, with nulls, empties, ties, repeats, empty tables and clashing columns."""
 
+import gzip
 import hashlib
+import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
 from cladeflow.llm import decontamination, mixing, near_dedup, pii, quality_rules, secrets, suffix_dedup, token_counts, url_filters, warc
@@ -269,7 +273,20 @@ def near_classes(rows, limit=0.8):
 
 
 def test_near_groups(docs, rows):
-    assert multiset(near_dedup.groups(docs)) == near_classes(rows)
+    assert multiset(near_dedup.groups(docs).drop("class_key")) == near_classes(rows)
+
+
+def test_classes_of_null_and_repeated_ids(spark):
+    """Unrelated documents without an id, or of one id, are told apart; of rows of one id and text the same one stays in each run."""
+    a, b, c = (" ".join(words(80, n)) for n in (21, 22, 23))
+    rows = [(None, a, "x"), (None, b, "x"), (7, b + " q", "x"), (7, c, "z"), (7, c, "y"), (8, None, "x"), (8, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    got = near_dedup.groups(df).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == Counter({(None, None, 1): 1, (None, 7, 2): 1, (7, 7, 2): 3, (8, 8, 1): 2})
+    assert len({r.class_key for r in got}) == 4
+    for order in (rows, rows[::-1]):
+        kept = near_dedup.drop_duplicates(spark.createDataFrame(order, df.schema).repartition(5))
+        assert multiset(kept) == Counter([rows[0], rows[2], rows[4], rows[5], rows[6]])
 
 
 def test_hot_near_group(spark, monkeypatch):
@@ -284,7 +301,7 @@ def test_hot_near_group(spark, monkeypatch):
             w[pick.randrange(400)] = f"e{pick.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     rows += [(100 + i, " ".join(f"c{pick.randrange(5000)}" for _ in range(200))) for i in range(20)]
-    assert multiset(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == near_classes(rows)
+    assert multiset(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("class_key")) == near_classes(rows)
 
 
 def copies_of_copies(n, length, edits, seed):
@@ -308,7 +325,7 @@ def test_hot_group_around_the_threshold(spark, monkeypatch, block, size):
     rows = [(i, t) for i, t in enumerate(copies_of_copies(90, 150, 12, 5))]
     want = near_classes(rows)
     assert 30 < len({c for _, c, _ in want}) < 90
-    assert multiset(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert multiset(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("class_key")) == want
 
 
 def test_near_pairs_are_those_of_the_bags(monkeypatch):
@@ -474,5 +491,82 @@ def test_warc_round_trip(spark):
     assert all(warc.digest(b) == h["WARC-Block-Digest"] for h, b in parsed)
     written = b"".join(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", r.record_id), ("WARC-Target-URI", r.target_uri), ("WARC-Date", r.date)], b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + r.payload.encode()) for r in source.values())
     back = warc.read_responses(spark.createDataFrame([(bytearray(written),)], "content binary"))
-    assert multiset(back.select("record_id", "target_uri", "date", "payload")) == Counter((r.record_id, r.target_uri, r.date, r.payload) for r in source.values())
+    assert multiset(back.select("record_id", "target_uri", "date", "payload")) == Counter((r.record_id, r.target_uri, r.date, r.payload.encode()) for r in source.values())
+    assert {r.http_headers["A"] for r in back.collect()} == {"b"}
     assert warc.derivatives(warc.responses_of(pages.limit(0))).count() == 0
+
+
+def test_warc_of_other_charsets_gzip_and_cut_short(spark):
+    """Bytes and digests are the source's own, whatever the charset; a record that is cut short ends the file."""
+    page = "<html><title>Café</title><p>Über</p></html>"
+    made = [("<a>", page.encode("latin-1"), "text/html; charset=ISO-8859-1"), ("<b>", page.encode("utf-8"), "text/html"), ("<c>", b'<meta charset="shift_jis"><p>' + "日本".encode("shift_jis") + b"</p>", "text/html"), ("<d>", b"<p>\xff\xfe</p>", "text/html; charset=none-such")]
+    records = [
+        warc.record([("WARC-Type", "response"), ("WARC-Record-ID", i), ("WARC-Target-URI", "http://h"), ("WARC-Date", "d"), ("WARC-Payload-Digest", f"sha1:{i}") if i == "<a>" else ("X-Own", "kept")], f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\nno colon\r\n\r\n".encode() + body)
+        for i, body, kind in made
+    ]
+    written = b"".join(records)
+    files = [written, b"".join(map(gzip.compress, records)), gzip.compress(written)]
+    for data in files:
+        back = warc.read_responses(spark.createDataFrame([(bytearray(data),)], "content binary"))
+        assert {r.record_id: bytes(r.payload) for r in back.collect()} == {i: body for i, body, _ in made}
+        rows = warc.derivatives(back).collect()
+        digests = {r.refers_to: r.source_payload_digest for r in rows}
+        assert digests == {"<a>": "sha1:<a>"} | {i: warc.digest(body) for i, body, _ in made[1:]}
+        text = {r.refers_to: r.block for r in rows if r.record_type == "conversion"}
+        assert text["<a>"] == text["<b>"] == "Café\nÜber" and text["<c>"] == "日本" and text["<d>"] == "\ufffd\ufffd"
+        about = json.loads(next(r.block for r in rows if r.refers_to == "<b>" and r.record_type == "metadata"))
+        assert about["source_headers"]["X-Own"] == "kept" and about["http_headers"] == {"Content-Type": "text/html"}
+    cut_short = spark.createDataFrame([(bytearray(written[:-30]),), (bytearray(b"junk"),), (None,), (bytearray(gzip.compress(written)[:-40]),)], "content binary")
+    assert {r.record_id for r in warc.read_responses(cut_short).collect()} >= {"<a>", "<b>", "<c>"}
+
+
+@pytest.mark.parametrize("junk", ["<script", "<p", "<title", "<a ", "<html", "<!--", "<a href='"])
+def test_warc_takes_linear_time(junk):
+    began = time.perf_counter()
+    warc.derive("x", "", "d", junk * 300_000)
+    assert time.perf_counter() - began < 5
+
+
+# ---- names of columns ----
+
+
+def test_columns_with_dots_and_clashing_names(spark, docs, rows):
+    """Operators that keep columns keep them under any name."""
+    odd = docs.withColumns({"n`x": docs.doc_id, "__text": docs.lang, "__clean": docs.lang}).withColumnRenamed("lang", "a.b")
+    bench = spark.createDataFrame([(1, " ".join(rows[0][1].split()[30:60]), "x")], "item_id long, text string, `hits.x` string")
+    kept = {
+        "quality": quality_rules.filter_documents, "near": near_dedup.drop_duplicates, "seen": lambda d: decontamination.filter_documents(d, bench),
+        "secrets": secrets.redact, "mix": lambda d: mixing.mix_documents(d).select("__row.*"),
+    }
+    for name, run in kept.items():
+        out = run(odd)
+        assert out.columns == odd.columns, name
+        assert 0 < out.count() <= odd.count(), name
+        assert run(odd.limit(0)).count() == 0, name
+    found = decontamination.find(odd, bench)
+    assert multiset(found.select("doc_id", "n_hit")) == multiset(decontamination.find(docs, bench).select("doc_id", "n_hit"))
+
+
+def test_pages_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://net/x", "<p>a</p>"), (None, None, None), (1, "", "")], "page_id long, url string, html string")
+    more = pages.withColumns({c: F.lit("?") for c in ("host", "path", "rule", "verdict", "key", "payload", "block", "record_id", "source_headers", "a.b")})
+    assert multiset(url_filters.judge(more)) == multiset(url_filters.judge(pages))
+    assert multiset(warc.derivatives(warc.responses_of(more))) == multiset(warc.derivatives(warc.responses_of(pages)))
+    assert url_filters.judge(more.limit(0)).count() == 0 and warc.derivatives(warc.responses_of(more.limit(0))).count() == 0
+
+
+def test_wordless_documents_are_taken_no_time(spark):
+    """A capped source takes each document three times, but those without words not at all."""
+    rows = [(i, "a b c", "small") for i in range(3)] + [(10, "", "small"), (11, None, "small"), (12, " \n", None)] + [(20 + i, "w " * 500, "large") for i in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.repetitions for r in got if not r.size} == {0}
+    assert {r.repetitions for r in got if r.size == 3} == {3}
+
+
+def test_quota_of_copies(spark):
+    """Rows that share a hash share what is left of the quota."""
+    rows = [(1, "a b", "s")] * 30 + [(2, "c d e", "t")] * 100 + [(i, "x " * i, "s") for i in range(3, 20)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for size in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 40
