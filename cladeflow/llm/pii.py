@@ -5,8 +5,9 @@ patterns are searched in linear time on any text: e-mail addresses from their `@
 possessive runs that a run's inside cannot restart.
 
 The field labels white-space tokens. Tokens without a digit or `@` are clamped to O, so the chain falls apart
-exactly there, and only runs of other tokens are decoded: by Viterbi over numpy batches of runs. It is
-trained, in the driver, from a small labelled table. Its spans are added where no base span is.
+exactly there, and only runs of other tokens are decoded: by Viterbi over numpy batches of runs. So it finds what has
+digits or `@`, and no names or addresses. Features are of the whole token's shape and of the word before a run. It is
+trained, in the driver, from a small labelled table of written formats. Its spans are added where no base span is.
 
 Defined results: a null text is empty; repeated rows and null ids keep their rows; extra columns are ignored;
 an empty table gives an empty result.
@@ -76,8 +77,11 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
 _RUN = re.compile(r"([dxX])\1{4,}")
+_GROUP = re.compile("[0-9]+")
 _TRIM = "\"'.,;:!?#*%&$<>[]{}|"
 CACHE = 200_000
+#: Characters of the longest word that is looked at before a token.
+LOOK = 14
 
 
 def shape(token: str) -> str:
@@ -85,36 +89,85 @@ def shape(token: str) -> str:
     return _RUN.sub(lambda m: m[1] + "+", token.strip(_TRIM).translate(_SHAPES))
 
 
-def token_features(s: str) -> list[str]:
+def token_features(s: str, before: str = "") -> list[str]:
+    """Features of a shape, and of the word before the token."""
     n = s.count("d") + 4 * s.count("d+")
     body = re.sub(r"[dxX]\+?|[xX]", "", s)
     flat = re.sub(r"([dx])(?:\1|\+)*", r"\1", s.replace("X", "x"))
-    return ["bias", f"shape={s}", f"flat={flat[:24]}", f"digits={min(n, 17)}", f"at={s.count('@')}", f"dots={min(s.count('.'), 5)}", f"marks={''.join(sorted(set(body)))[:8]}", f"head={s[:2]}", f"tail={s[-2:]}", f"letters={'x' in s or 'X' in s}"]
-
-
-def labelled_table(rows: int = 480, seed: int = 7) -> list[tuple[int, int, str, str]]:
-    """The small labelled table: (sequence, place, token, label), made from written patterns."""
+    own = ["bias", f"shape={s}", f"flat={flat}", f"digits={min(n, 17)}", f"at={s.count('@')}", f"dots={min(s.count('.'), 5)}", f"marks={''.join(sorted(set(body)))}", f"head={s[:2]}", f"tail={s[-2:]}", f"letters={'x' in s or 'X' in s}", f"inner={bool(re.search('[dx]@[dx]', flat))}"]
+    return [*own, f"before={before}"] if before else own
+
+
+def run_features(tokens: list[str]) -> list[list[str]]:
+    """Of each token of a run: the digits and tokens of the whole run, its place in it, its digits and its longest group of these."""
+    groups = [[len(g) for g in _GROUP.findall(t)] for t in tokens]
+    n, longest = min(sum(map(sum, groups)), 21), min(max((max(g, default=0) for g in groups)), 7)
+    whole = [f"total={n}", f"tokens={min(len(tokens), 6)}", f"groups={min(sum(map(len, groups)), 6)} of {longest}"]
+    return [
+        [*whole, f"place={(j == 0) + 2 * (j == len(tokens) - 1)}", f"total={n} place={j == 0}", f"own={min(sum(g), 17)}", f"group={min(max(g, default=0), 7)}"]
+        for j, g in enumerate(groups)
+    ]
+
+
+def word_before(text: str, at: int) -> str:
+    """The word before a place, in lower case without marks, if it is one of up to LOOK characters and letters alone."""
+    end = at
+    while end and text[end - 1] in WHITE and at - end < 4:
+        end -= 1
+    start = end
+    while start and text[start - 1] not in WHITE and end - start <= LOOK:
+        start -= 1
+    word = text[start:end].strip(_TRIM).lower()
+    return word if len(word) <= LOOK and word.isalpha() else ""
+
+
+# ---- the labelled table: formats (digits as #) and the words before them, in four languages ----
+
+FORMATS: dict[str, tuple[str, ...]] = {
+    "phone": (
+        "+1 (###) ###-####", "(###) ###-####", "###-###-####", "###.###.####", "+## ## #### ####", "+## ### ######", "1-###-###-####", "(###)###-####", "0## ### ####", "+##-##-###-####",
+        "0##/#######", "### ### ####", "+# ### ### ####", "0#### ######", "+## (0)## ### ####", "00## ## #######",
+    ),
+    "card": (
+        "#### #### #### ####", "####-####-####-####", "################", "#### ###### #####", "###############", "####-######-#####", "#### #### #### #### ###", "####.####.####.####",
+    ),
+    "ip": ("##.##.##.##", "1##.1##.##.1##", "10.#.#.#", "192.168.#.##", "2##.2##.1##.2##", "#.#.#.#", "172.1#.##.#:####", "##.##.##.##/##"),
+    "email": (
+        "ann.##@mail#.example.com", "x##@host.org", "first.last@mail.example.net", "team-#@example.com", "a_b+c@sub.example.org", "info@example.com", "j.doe@localhost", "bob@intranet", "sales##@shop.co.uk",
+    ),
+    "": (
+        "20##", "#", "##", "###", "#,###", "#.##", "v#.#.#", "##:##", "20##-0#-1#", "@handle", "@name##", "no.##", "##%", "x##x", "b#########a#f##c#", "(#)", "#)", "##.", "# #", "## ##", "### ### ###", "### ##", "#/#",
+        "$##", "$#,###.##", "####", "#####", "abc@", "@", "######", "#######", "##/##/20##", "##-##-##", "ISBN-##########", "#.#.#", "##x##", "1#th", "#-#", "###-###", "########", "#.###.###", "id=#####", "§##", "##°",
+    ),
+}
+WORDS_BEFORE: dict[str, tuple[str, ...]] = {
+    "phone": ("call", "phone", "tel", "telephone", "mobile", "fax", "dial", "ring", "telefon", "handy", "anrufen", "téléphone", "appelez", "portable", "teléfono", "llame", "móvil", "whatsapp", "number", "at"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "pay", "karte", "kreditkarte", "carte", "bancaire", "tarjeta", "crédito", "number", "charged", "with"),
+    "ip": ("ip", "host", "address", "server", "from", "ping", "login", "adresse", "dirección", "serveur", "servidor", "client", "at"),
+    "email": ("mail", "email", "write", "contact", "to", "from", "schreiben", "courriel", "écrire", "correo", "escriba", "kontakt", "contacto", "at"),
+    "": ("in", "page", "chapter", "version", "the", "of", "about", "year", "seite", "jahr", "page", "année", "año", "página", "und", "et", "y", "and", "total", "order", "isbn", "at", "to", "from", "with", "number"),
+}
+#: Each HELD-th format of a kind is held out in tests.
+HELD = 4
+
+
+def labelled_table(rows: int = 900, seed: int = 7, held: bool | None = None) -> list[tuple[int, int, str, str, str]]:
+    """The small labelled table: (sequence, place, word before, token, label), from the written formats and words; for tests, from those held out (True) or the others (False)."""
     pick = random.Random(seed)
-    patterns = {
-        "phone": ("+1 (###) ###-####", "(###) ###-####", "###-###-####", "###.###.####", "+## ## #### ####", "+## ### ######", "1-###-###-####", "(###)###-####"),
-        "card": ("#### #### #### ####", "####-####-####-####", "################", "#### ###### #####", "###############"),
-        "ip": ("##.##.##.##", "1##.1##.##.1##", "10.#.#.#", "192.168.#.##", "2##.2##.1##.2##", "#.#.#.#"),
-        "email": ("ann.##@mail#.example.com", "x##@host.org", "first.last@mail.example.net", "team-#@example.com", "a_b+c@sub.example.org", "info@example.com"),
-        "": ("20##", "#", "##", "###", "#,###", "#.##", "v#.#.#", "##:##", "20##-0#-1#", "@handle", "@name##", "no.##", "##%", "x##x", "b#########a#f##c#", "(#)", "#)", "##.", "# #", "## ##", "### ### ###", "### ##", "#/#", "$##", "$#,###.##", "####", "#####", "abc@", "@", "######"),
-    }
+    chosen = {k: tuple(f for i, f in enumerate(v) if held is None or (i % HELD == HELD - 1) == held) for k, v in FORMATS.items()}
     out = []
-    names = list(patterns)
+    names = list(FORMATS)
     for i in range(rows):
-        parts = [names[i % len(names)]] if i % 3 else [names[i % len(names)], ""]
-        place = 0
-        for kind in parts:
-            text = re.sub("#", lambda _: pick.choice("0123456789"), pick.choice(patterns[kind]))
+        kinds = [names[i % len(names)]] if i % 3 else [names[i % len(names)], ""]
+        place, before = 0, pick.choice(("", *WORDS_BEFORE[kinds[0]]))
+        for kind in kinds:
+            text = re.sub("#", lambda _: pick.choice("0123456789"), pick.choice(chosen[kind]))
             tail = pick.choice(("", "", "", ".", ",", "%%%", "!!"))
             tokens = text.split(" ")
             for j, t in enumerate(tokens):
                 t += tail if j == len(tokens) - 1 else ""
-                out.append((i, place, t, f"{'I' if j else 'B'}-{kind}" if kind else "O"))
-                place += 1
+                out.append((i, place, before, t, f"{'I' if j else 'B'}-{kind}" if kind else "O"))
+                place, before = place + 1, ""
     return out
 
 
@@ -125,7 +178,20 @@ class Field:
         self.names, self.emit, self.move = names, emit, move
         self.cache: dict[str | bytes, np.ndarray] = {}  # long shapes by their hash
 
-    def emission(self, token: str) -> np.ndarray:
+    def emission(self, token: str, before: str = "") -> np.ndarray:
+        """The scores of a token's labels; a word before it counts if training has it."""
+        row = self.names.get(f"before={before}") if before else None
+        return self._of_shape(token) if row is None else self._of_shape(token) + self.emit[row]
+
+    def run_emissions(self, tokens: list[str], before: str = "") -> list[np.ndarray]:
+        """The scores of the labels of a run's tokens."""
+        out = []
+        for j, (token, more) in enumerate(zip(tokens, run_features(tokens))):
+            rows = [self.names[f] for f in more if f in self.names]
+            out.append(self.emission(token, "" if j else before) + self.emit[rows].sum(axis=0))
+        return out
+
+    def _of_shape(self, token: str) -> np.ndarray:
         s = shape(token)
         key = s if len(s) <= 64 else hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()
         e = self.cache.get(key)
@@ -169,20 +235,24 @@ class Field:
         return out
 
 
-def train(table: list[tuple[int, int, str, str]], steps: int = 120, rate: float = 0.15, penalty: float = 2e-3) -> Field:
+def train(table: list[tuple[int, int, str, str, str]], steps: int = 120, rate: float = 0.15, penalty: float = 2e-3) -> Field:
     """Maximum likelihood by forward-backward over padded sequences, with Adam steps."""
-    sequences: dict[int, list[tuple[str, str]]] = {}
-    for i, _, token, label in sorted(table):
-        sequences.setdefault(i, []).append((token, label))
+    sequences: dict[int, list[tuple[str, str, str]]] = {}
+    for i, _, before, token, label in sorted(table):
+        sequences.setdefault(i, []).append((before, token, label))
     names: dict[str, int] = {}
     k, runs = len(LABELS), list(sequences.values())
     longest = max(map(len, runs))
     cells, y, mask = [], np.zeros((len(runs), longest), np.int64), np.zeros((len(runs), longest), bool)
     for i, run in enumerate(runs):
-        for t, (token, label) in enumerate(run):
+        whole = run_features([token for _, token, _ in run])
+        for t, (before, token, label) in enumerate(run):
             y[i, t], mask[i, t] = LABELS.index(label), True
-            cells += [(i * longest + t, names.setdefault(f, len(names))) for f in token_features(shape(token))]
+            cells += [(i * longest + t, names.setdefault(f, len(names))) for f in (*token_features(shape(token), before), *whole[t])]
     cell, feature = np.array(cells).T
+    by_cell, by_feature = np.argsort(cell, kind="stable"), np.argsort(feature, kind="stable")
+    first_of_cell, cells_there = np.flatnonzero(np.diff(cell[by_cell], prepend=-1)), np.unique(cell)
+    first_of_feature = np.flatnonzero(np.diff(feature[by_feature], prepend=-1))
     emit, move = np.zeros((len(names), k)), np.zeros((k, k))
     hot = np.zeros((len(runs), longest, k))
     hot[np.arange(len(runs))[:, None], np.arange(longest), y] = mask
@@ -191,7 +261,7 @@ def train(table: list[tuple[int, int, str, str]], steps: int = 120, rate: float
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (emit, move)]
     for step in range(1, steps + 1):
         e = np.zeros((len(runs) * longest, k))
-        np.add.at(e, cell, emit[feature])
+        e[cells_there] = np.add.reduceat(emit[feature[by_cell]], first_of_cell)
         e = e.reshape(len(runs), longest, k)
         fore, aft = np.zeros_like(e), np.zeros_like(e)
         log = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
@@ -204,8 +274,7 @@ def train(table: list[tuple[int, int, str, str]], steps: int = 120, rate: float
         total = log(np.take_along_axis(fore, (length - 1)[:, None, None], 1)[:, 0] + move[:, 0], 1)
         marginal = np.exp(fore + aft - total[:, None, None]) * mask[..., None]
         gap = (hot - marginal).reshape(-1, k)
-        g_emit = np.zeros_like(emit)
-        np.add.at(g_emit, feature, gap[cell])
+        g_emit = np.add.reduceat(gap[cell[by_feature]], first_of_feature)
         g_move = np.zeros_like(move)
         g_move[0] += gap.reshape(e.shape)[:, 0].sum(axis=0)
         g_move[:, 0] += (gap.reshape(e.shape) * last[..., None]).sum(axis=(0, 1))
@@ -240,7 +309,7 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int
             lengths.append(len(run))
             owner += [i] * len(run)
             tokens += run
-            emissions += [field.emission(text[a:b]) for a, b in run]
+            emissions += field.run_emissions([text[a:b] for a, b in run], word_before(text, run[0][0]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not tokens:
         return out
@@ -312,7 +381,7 @@ def _free(base: list[tuple[int, int, int]], added: list[tuple[int, int, int]]) -
     return out
 
 
-def find(documents: DataFrame, table: list[tuple[int, int, str, str]] | None = None) -> DataFrame:
+def find(documents: DataFrame, table: list[tuple[int, int, str, str, str]] | None = None) -> DataFrame:
     """One row a document: doc_id, counts a kind, base_sha256 and all spans."""
     slim = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     field = documents.sparkSession.sparkContext.broadcast(train(labelled_table() if table is None else table))

@@ -41,7 +41,7 @@ CLASSES: dict[str, tuple[str, float]] = {
 WINDOW = 20
 #: Candidates that match one of these are no secrets.
 ALLOW = (
-    r"^[^0-9]*$",
+    r"^(?!(?:.*?[A-Z][a-z]{1,2}(?=[A-Z])){3})[^0-9]*$",  # letters alone, unless their case changes as no name's does
     r"^[0-9+/_=-]*$",
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
