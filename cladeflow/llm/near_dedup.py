@@ -360,20 +360,21 @@ def components_of(drawn: DataFrame, documents: DataFrame) -> DataFrame:
     return roots if new.isEmpty() else components(found.unionByName(new))
 
 
-def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, root) of every document with words, and (root, class_id, class_size)."""
+def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key) of every document with words, (key, root) of linked keys, and (root, head, class_size)."""
     drawn = cut(sketches(documents))
-    members = _with_root(drawn.select("doc_id", "key"), components_of(drawn, documents))
+    roots = components_of(drawn, documents)
+    members = _with_root(drawn.select("doc_id", "key"), roots)
     heads = members.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("head"), F.count("*").alias("class_size")
     )
-    return members, cut(heads)
+    return drawn.select("doc_id", "key"), roots, cut(heads)
 
 
 def groups(documents: DataFrame) -> DataFrame:
     """One row a document: doc_id, class_id (the least doc_id of its group), class_size, class_key (null: a group of its own, without words)."""
-    members, heads = _classes(documents.select("doc_id", "text"))
-    found = members.join(heads, "root").select("doc_id", F.col("head.id").alias("class_id"), "class_size", F.hex("root").alias("class_key"))
+    rows, roots, heads = _classes(documents.select("doc_id", "text"))
+    found = _with_root(rows, roots).join(heads, "root").select("doc_id", F.col("head.id").alias("class_id"), "class_size", F.hex("root").alias("class_key"))
     bare = documents.where(key_of(F.col("text")).isNull()).select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("string").alias("class_key")
     )
@@ -382,9 +383,10 @@ def groups(documents: DataFrame) -> DataFrame:
 
 def drop_duplicates(documents: DataFrame) -> DataFrame:
     """The documents with one of each group left, the one of the least id; their columns as they were."""
-    members, heads = _classes(documents.select("doc_id", "text"))
-    copies = members.groupBy("doc_id", "key", "root").agg(F.count("*").alias("copies"))
-    judged = copies.join(heads.select("root", "head"), "root")
+    drawn, roots, heads = _classes(documents.select("doc_id", "text"))
+    # counted before the join on keys, so that copies of one text are not kept in one task for it
+    copies = drawn.groupBy("doc_id", "key").agg(F.count("*").alias("copies"))
+    judged = _with_root(copies, roots).join(heads.select("root", "head"), "root")
     is_head = F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
     judged = cut(judged.where(~is_head | (F.col("copies") > 1)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), is_head.alias("__head")))
     few = judged.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
