@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalise_gaps, packed_bases, packed_hamming
+from ..functions.scalars import normalise_gaps, packed_bases
 from ..sources.shared import cut
 
 #: Sequence numbers a marker in the first chunk, and how many times as many each next one has.
@@ -39,13 +39,12 @@ def _keys(max_divergence: int, window: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("combo"), F.xxhash64(part[i], part[j]).alias("part")) for k, (i, j) in enumerate(pairs)])
 
 
-def _same(a: str, b: str, low: int, high: int) -> Column:
-    """Whether two packed windows agree from one base to another."""
-    out = F.lit(True)
-    for w in range(low // 30, -(-high // 30)):
-        bits = sum(3 << 2 * (29 - p % 30) for p in range(max(low, 30 * w), min(high, 30 * w + 30)))
-        for x in (2 * w, 2 * w + 1):
-            out = out & (F.col(a)[x].bitwiseXOR(F.col(b)[x]).bitwiseAND(F.lit(bits).cast("bigint")) == 0)
+def _differing(words: int) -> list[Column]:
+    """For each 30 bases of two packed windows in columns a0, a1, ... and b0, b1, ... a word with a bit for each base that differs."""
+    out = []
+    for w in range(words):
+        x, unknown = (F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in (2 * w, 2 * w + 1))
+        out.append(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(unknown).bitwiseAND(F.lit(0x0555555555555555).cast("bigint")))
     return out
 
 
@@ -57,21 +56,28 @@ def near_pairs(left: DataFrame, right: DataFrame, max_divergence: int = 2, windo
     """
     if max_divergence < 0:
         raise ValueError("max_divergence must not be negative")
-    words = -(-window // 30)
+    words, n = -(-window // 30), max_divergence + 2
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.where(F.length("sequence") == window).select("gene", F.col("id").alias(name), packed_bases("sequence", words).alias(f"{name}_bits"), F.explode(_keys(max_divergence, window)).alias("x"))
-        return rows.select("gene", "x.combo", "x.part", name, f"{name}_bits")
+        rows = df.where(F.length("sequence") == window).select("gene", F.col("id").alias(name), "sequence", packed_bases("sequence", words).alias("bits"))
+        rows = rows.select("gene", name, "bits", F.explode(_keys(max_divergence, window)).alias("x"))
+        return rows.select("gene", "x.combo", "x.part", name, *[F.col("bits")[i].alias(f"{name}{i}") for i in range(2 * words)])
 
     met = side(left, "a").join(side(right, "b"), ["gene", "combo", "part"])
-    edges = _edges(max_divergence, window)
-    same = [_same("a_bits", "b_bits", a, b) for a, b in zip(edges, edges[1:])]
-    first = F.lit(False)
-    for k, (i, j) in enumerate(combinations(range(max_divergence + 2), 2)):
-        earlier = [~same[x] for x in range(j) if x != i]
-        first = first | ((F.col("combo") == k) & reduce(lambda x, y: x & y, earlier, same[i] & same[j]))
-    d = packed_hamming("a_bits", "b_bits", words)
-    return met.where(d <= max_divergence).where(first).select("gene", "a", "b", d.alias("divergence"))
+    met = met.select("gene", "combo", "a", "b", *[d.alias(f"d{w}") for w, d in enumerate(_differing(words))])
+    divergence = sum((F.bit_count(f"d{w}") for w in range(words)), F.lit(0))
+    edges, same = _edges(max_divergence, window), F.lit(0)
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        inside = F.lit(0).cast("bigint")
+        for w in range(words):
+            bits = sum(1 << 2 * (29 - p % 30) for p in range(max(low, 30 * w), min(high, 30 * w + 30)))
+            inside = inside.bitwiseOR(F.col(f"d{w}").bitwiseAND(F.lit(bits).cast("bigint")))
+        same = same + F.when(inside == 0, 1 << k).otherwise(0)
+    # for each set of shared blocks the first pair of them
+    places = {pair: k for k, pair in enumerate(combinations(range(n), 2))}
+    first = [places.get(tuple(i for i in range(n) if shared >> i & 1)[:2], -1) for shared in range(1 << n)]
+    near = met.where(divergence <= max_divergence).where(F.get(F.lit(first), same) == F.col("combo"))
+    return near.select("gene", "a", "b", divergence.alias("divergence"))
 
 
 def _chosen(rows: DataFrame, max_divergence: int, window: int) -> DataFrame:
