@@ -617,3 +617,15 @@ def test_quota_of_copies(spark):
     for size in {r.source_size for r in got}:
         mine = [r for r in got if r.source_size == size]
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 40
+
+
+def test_joins_by_shuffle_give_the_same_rows(docs, monkeypatch):
+    """The ways beyond the bounds on what is broadcast."""
+
+    def made():
+        return [Counter(map(tuple, df.collect())) for df in (mixing.mix(docs), near_dedup.drop_duplicates(docs))]
+
+    want = made()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", 0)
+    assert made() == want
