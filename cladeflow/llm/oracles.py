@@ -64,4 +64,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r)
 """
 
-SQL: dict[str, str] = {"op2_mix": OP2, "op7_decontamination": OP7, "op8_quality_rules": OP8}
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         concat(CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+                CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN min(d.doc_id) OVER (PARTITION BY text) < d.doc_id THEN 'E' END) AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT CAST(unnest(range(1, 6)) AS INT) AS step),
+r AS (SELECT f.*, filter_order, coalesce(list_min([i for i in range(1, 6) if contains(fails, substr(filter_order, i, 1))]), 6) AS gone FROM f, o),
+c AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, count(*) FILTER (WHERE gone > step) AS kept, count(*) FILTER (WHERE gone = step) AS removed,
+         count(*) FILTER (WHERE gone < step AND contains(fails, substr(filter_order, step, 1))) AS redundant, count(*) FILTER (WHERE fails = substr(filter_order, step, 1)) AS unique_fails,
+         count(*) FILTER (WHERE gone = step AND good = 1) AS good_lost, count(*) FILTER (WHERE gone = step AND toxic = 1) AS toxic_lost
+  FROM r, s GROUP BY ALL)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM c
+"""
+
+SQL: dict[str, str] = {"op2_mix": OP2, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op12_filter_audit": OP12}
