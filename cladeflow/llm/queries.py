@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, mixing, near_dedup, pii, quality_rules, secrets, suffix_dedup, token_counts, url_filters, warc
+from . import decontamination, filter_audit, mixing, near_dedup, pii, quality_rules, secrets, sentence_pieces, suffix_dedup, token_counts, url_filters, warc
 from .common import table
 from .oracles import SQL
 
@@ -62,6 +62,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_mix": op2_mix,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
     "op12_filter_audit": op12_filter_audit,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 __all__ = ["QUERIES", "SQL"]
