@@ -85,4 +85,26 @@ c AS (
 SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM c
 """
 
-SQL: dict[str, str] = {"op2_mix": OP2, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op12_filter_audit": OP12}
+#: The unsigned CRC-32 of a decimal number: its bytes' bits are folded one by one.
+_CRC = """xor(list_reduce(
+  list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(CAST({c} AS VARCHAR), '')])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+OP11 = f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(concat(length(role), ':', role, text))) AS k FROM t),
+c AS (SELECT c, c - c % 100 AS base, {_CRC.format(c="c")} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT c.c, k, role, text FROM c JOIN n ON n.c = c.base AND k <= h UNION ALL SELECT c.c, k, role, text FROM c JOIN n ON n.c = c.c AND k > h),
+d AS (SELECT c, row_number() OVER p AS depth, list(concat(length(role), ':', role, length(text), ':', text)) OVER p AS path, length(text) AS size FROM r WINDOW p AS (PARTITION BY c ORDER BY k)),
+m AS (SELECT * FROM d UNION ALL SELECT c, 0, CAST([] AS VARCHAR[]), 0 FROM c),
+e AS (SELECT c, max(depth) AS last FROM m GROUP BY c),
+v AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE depth = last) AS ends
+      FROM m JOIN e USING (c) GROUP BY path, depth),
+u AS (SELECT path, count(*) AS n_children FROM (SELECT path[: depth - 1] AS path FROM v WHERE depth > 0) GROUP BY path),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN u USING (path)),
+s AS (SELECT path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT path[: unnest(range(0, depth + 1))] AS path, saved, n_children FROM w) GROUP BY path)
+SELECT CAST(w.conv_id AS BIGINT) AS conv_id, CAST(w.depth AS BIGINT) AS depth, CAST(p.conv_id AS BIGINT) AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN s USING (path) LEFT JOIN v p ON w.depth > 0 AND p.path = w.path[: w.depth - 1]
+"""
+
+SQL: dict[str, str] = {"op2_mix": OP2, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op11_prefix_trie": OP11, "op12_filter_audit": OP12}

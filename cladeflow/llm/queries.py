@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, mixing, near_dedup, pii, quality_rules, secrets, sentence_pieces, suffix_dedup, token_counts, url_filters, warc
+from . import decontamination, filter_audit, mixing, near_dedup, pii, prefix_trie, quality_rules, secrets, sentence_pieces, suffix_dedup, token_counts, url_filters, warc
 from .common import table
 from .oracles import SQL
 
@@ -58,6 +58,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_filter_audit": op12_filter_audit,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
