@@ -11,8 +11,8 @@ is tried whole, and if it is no secret, so are those of its uncovered parts that
 cover entirely is not tried, as its text is found already.
 
 Defined results: a null text is empty; repeated rows and null ids keep their rows; extra columns are ignored
-by `scan` and kept by `redact`; an empty table gives an empty result. Long texts cost in proportion to their
-length, plus the square of a text's number of matches for copying small arrays.
+by `scan` and kept by `redact`; an empty table gives an empty result. Long texts, and long candidates, cost in
+proportion to their length; n matches of a text cost n steps, and n * n / 256 comparisons of their places.
 """
 
 from __future__ import annotations
@@ -49,24 +49,57 @@ ALLOW = (
     r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}$",
 )
 MASK = "[SECRET]"
+SPAN = "struct<start int, rank int, end int, value string>"
+#: items of an array that are folded, or compared, together
+BLOCK = 256
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), evaluated once however often it is named there; inside lambdas nothing is shared otherwise."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(array: Column) -> Column:
+    """An array in parts of BLOCK items."""
+
+    def parts(items: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(items) > 0, some).otherwise(F.slice(F.array(items), 1, 0))
+
+    return _let(array, parts)
+
+
+def _before(values: Column, combine) -> Column:
+    """For each of an array of whole numbers, the sum (or maximum) of those before it, 0 at first.
+
+    An array grows by copying it, so blocks are summed first and their insides then: copies are of BLOCK items, or of the blocks.
+    """
+    grown = lambda acc, v: F.concat(acc, F.array(combine(F.element_at(acc, -1), v)))
+
+    def sums(blocks: Column) -> Column:
+        edges = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), combine)), F.array(F.lit(0)), grown)
+        return F.flatten(F.zip_with(blocks, F.slice(edges, F.lit(1), F.size(blocks)), lambda b, at: F.slice(F.aggregate(b, F.array(at), grown), F.lit(1), F.size(b))))
+
+    return _let(_blocks(values), sums)
 
 
 def _places(text: Column, pattern: str, rank: int, kept) -> Column:
     """The spans of a pattern as array<struct<start, rank, end, value>>; kept: a condition on (match, index)."""
     p = F.lit(pattern)
-    found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    struct = "struct<at int, spans array<struct<start int, rank int, end int, value string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start int, rank int, end int, value string>>").alias("spans"))
+    groups = F.regexp_extract_all(text, p, F.lit(2 if rank == 0 else 0))
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), groups.alias("group"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.when(kept(x), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans")).cast(struct)
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["gap"])
+        fields = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))
+        return F.struct(kept(x).alias("kept"), fields.cast(SPAN).alias("span"))
+
+    def spans(zipped: Column) -> Column:
+        # the last gap is before no match
+        ends = _before(F.transform(zipped, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))), lambda a, b: a + b)
+        return F.transform(F.filter(F.zip_with(zipped, ends, span), lambda x: x["kept"]), lambda x: x["span"])
 
-    groups = F.regexp_extract_all(text, p, F.lit(2)) if rank == 0 else found
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), groups.alias("group"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start.cast(struct), step)["spans"]).otherwise(start["spans"])
+    return F.when(text.rlike(pattern), _let(found, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _bits(count: Column) -> Column:
@@ -74,26 +107,30 @@ def _bits(count: Column) -> Column:
 
 
 def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy of a window sliding over a string of an alphabet, by incremental counts."""
-    struct = "struct<counts array<int>, s double, best double>"
+    """The highest Shannon entropy of a window sliding over a string of an alphabet, by incremental counts.
+
+    The string becomes letter codes once; each is paired with the one that leaves the window as it comes in (0: none yet).
+    """
+    struct = "struct<counts array<int>, s double, n int, best double>"
     letters = F.lit(alphabet)
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best")).cast(struct)
+    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0.0).alias("best")).cast(struct)
+    codes = F.transform(F.slice(F.split(value, ""), F.lit(1), F.length(value)), lambda x: F.instr(letters, x))
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(0), window), codes), F.lit(1), F.size(codes))
 
-    def step(state: Column, i: Column) -> Column:
-        new = F.instr(letters, F.substring(value, i, F.lit(1)))
-        old = F.when(i > window, F.instr(letters, F.substring(value, i - window, F.lit(1)))).otherwise(F.lit(0))
-        n_new = F.element_at(state["counts"], new)
-        n_old = F.when(old > 0, F.element_at(state["counts"], F.greatest(old, F.lit(1)))).otherwise(F.lit(0))
+    def step(state: Column, x: Column) -> Column:
+        new, old = x["new"], x["old"]
+        n_new, n_old = F.element_at(state["counts"], new), F.element_at(state["counts"], F.greatest(old, F.lit(1)))
         same = old == new
         s = F.when(same, state["s"]).otherwise(
             state["s"] + _bits(n_new + 1) - _bits(n_new) + F.when(old > 0, _bits(n_old - 1) - _bits(n_old)).otherwise(F.lit(0.0))
         )
         moved = F.transform(state["counts"], lambda c, j: c + (j + 1 == new).cast("int") - (j + 1 == old).cast("int"))
-        full = i >= window
-        h = F.when(full, F.lit(math.log2(window)) - s / window).otherwise(F.lit(0.0))
-        return F.struct(F.when(same, state["counts"]).otherwise(moved).alias("counts"), s.alias("s"), F.greatest(state["best"], h).alias("best")).cast(struct)
+        return F.struct(F.when(same, state["counts"]).otherwise(moved).alias("counts"), s.alias("s"), (state["n"] + 1).alias("n"), highest(state).alias("best")).cast(struct)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step)["best"]
+    def highest(state: Column) -> Column:
+        return F.when(state["n"] >= window, F.greatest(state["best"], F.lit(math.log2(window)) - state["s"] / window)).otherwise(state["best"])
+
+    return F.aggregate(F.arrays_zip(codes.alias("new"), leaving.alias("old")), start, step, highest)
 
 
 def is_secret(value: Column, allow: tuple[str, ...] = ALLOW, window: int = WINDOW) -> Column:
@@ -106,22 +143,25 @@ def is_secret(value: Column, allow: tuple[str, ...] = ALLOW, window: int = WINDO
     return F.when(allowed, F.lit(False)).otherwise(high)
 
 
-def _uncovered(c: Column, base: Column) -> Column:
-    """A candidate with `tried`, whether base spans leave some of it uncovered, and those parts; no parts where no base span meets it."""
-    span = "struct<start int, rank int, end int, value string>"
-    near = F.filter(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+def _uncovered(c: Column, blocks: Column) -> Column:
+    """A candidate with `tried`, whether base spans leave some of it uncovered, and those parts; no parts where no base span meets it. blocks: of base spans."""
+    meets = lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])
 
     def part(a: Column, b: Column) -> Column:
-        return F.array(F.struct(a.alias("start"), c["rank"].alias("rank"), b.alias("end"), F.substring(c["value"], a - c["start"] + 1, b - a).alias("value")).cast(span))
+        return F.array(F.struct(a.alias("start"), c["rank"].alias("rank"), b.alias("end"), F.substring(c["value"], a - c["start"] + 1, b - a).alias("value")).cast(SPAN))
 
     def step(state: Column, b: Column) -> Column:
         parts = F.when(b["start"] > state["at"], F.concat(state["parts"], part(state["at"], b["start"]))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), parts.alias("parts")).cast(f"struct<at int, parts array<{span}>>")
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), parts.alias("parts")).cast(f"struct<at int, parts array<{SPAN}>>")
+
+    start = F.struct(c["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts")).cast(f"struct<at int, parts array<{SPAN}>>")
+    end = lambda s: F.when(s["at"] < c["end"], F.concat(s["parts"], part(s["at"], c["end"]))).otherwise(s["parts"])
 
-    start = F.struct(c["start"].alias("at"), F.array().cast(f"array<{span}>").alias("parts")).cast(f"struct<at int, parts array<{span}>>")
-    parts = F.aggregate(near, start, step, lambda s: F.when(s["at"] < c["end"], F.concat(s["parts"], part(s["at"], c["end"]))).otherwise(s["parts"]))
-    parts = F.when(F.size(near) > 0, parts).otherwise(start["parts"])
-    return F.struct(c.alias("whole"), ((F.size(near) == 0) | (F.size(parts) > 0)).alias("tried"), parts.alias("parts"))
+    def judged(near: Column) -> Column:
+        parts = F.when(F.size(near) > 0, F.aggregate(near, start, step, end)).otherwise(start["parts"])
+        return _let(parts, lambda p: F.struct(c.alias("whole"), ((F.size(near) == 0) | (F.size(p) > 0)).alias("tried"), p.alias("parts")))
+
+    return _let(F.filter(F.flatten(F.transform(F.filter(blocks, meets), lambda b: b["spans"])), meets), judged)
 
 
 def _scanned(rows: DataFrame, allow: tuple[str, ...]) -> DataFrame:
@@ -133,7 +173,9 @@ def _scanned(rows: DataFrame, allow: tuple[str, ...]) -> DataFrame:
     rows = rows.withColumn("__candidates", _places(text, CANDIDATE, len(BASE), lambda x: F.length(x["hit"]) >= 0))
     rows = rows.withColumn("__base", F.array_sort(F.concat(*[F.col(f"__{k}") for k in BASE])))
     base = F.col("__base")
-    rows = rows.withColumn("__free", F.filter(F.transform("__candidates", lambda c: _uncovered(c, base)), lambda x: x["tried"]))
+    fenced = F.transform(_blocks(base), lambda b: F.struct(F.array_min(b["start"]).alias("start"), F.array_max(b["end"]).alias("end"), b.alias("spans")))
+    free = _let(fenced, lambda blocks: F.filter(F.transform("__candidates", lambda c: _uncovered(c, blocks)), lambda x: x["tried"]))
+    rows = rows.withColumn("__free", F.when(F.size("__candidates") > 0, free))
 
     def passing(x: Column) -> Column:
         parts = F.filter(x["parts"], lambda p: (F.length(p["value"]) >= WINDOW) & is_secret(p["value"], allow))
@@ -162,17 +204,20 @@ def redact(documents: DataFrame, text: str = "text", allow: tuple[str, ...] = AL
     """The documents with every span replaced by MASK; overlapping spans become one. Other columns stay; an n_chars column is recounted."""
     rows = _scanned(packed(documents, text), allow)
     whole = F.col("__text")
-    struct = "struct<at int, parts array<string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")).cast(struct)
+    reach = F.zip_with("__all", _before(F.transform("__all", lambda x: x["end"]), lambda a, b: F.greatest(a, b)), lambda x, at: F.struct(x["start"].alias("start"), x["end"].alias("end"), at.alias("at")))
+
+    def masked(x: Column, piece: Column, lo: Column) -> Column:
+        # the text since the last span, and one mask for spans that overlap
+        return F.when(x["start"] < x["at"], F.lit("")).otherwise(F.concat(F.substring(piece, x["at"] - lo + 1, x["start"] - x["at"]), F.lit(MASK)))
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.substring(whole, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        new = s["start"] >= state["at"]
-        parts = F.when(new | (F.size(state["parts"]) == 0), F.concat(state["parts"], F.array(piece, F.lit(MASK)))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), parts.alias("parts")).cast(struct)
+    def block(b: Column) -> Column:
+        # a place in a text is found by walking to it, so each block's part of the text is taken out first
+        lo = F.element_at(b, 1)["at"]
+        part = F.struct(F.substring(whole, lo + 1, F.array_max(b["end"]) - lo).alias("text"), lo.alias("lo"))
+        return _let(part, lambda x: F.array_join(F.transform(b, lambda y: masked(y, x["text"], x["lo"])), ""))
 
-    cut_up = F.aggregate("__all", start, step)
-    clean = F.concat(F.array_join(cut_up["parts"], ""), F.substring(whole, cut_up["at"] + 1, F.length(whole)))
+    pieces = F.transform(_blocks(reach), block)
+    clean = F.concat(F.array_join(pieces, ""), F.substring(whole, F.array_max(F.col("__all.end")) + 1, F.length(whole)))
     rows = rows.withColumn("__clean", F.when(F.size("__all") > 0, clean).otherwise(own(text)))
     columns = []
     for c in documents.columns:
