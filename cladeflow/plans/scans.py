@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codons as C
 from ..functions import scalars as S
-from ..operators import collate, distances, report, richness
+from ..operators import clusterstats, collate, distances, report, richness, strata
 from ..operators.strata import valid_year
-from ..sources import archive, fasta, logs, publish, tables
+from ..sources import archive, fasta, logs, publish, sqlite, tables
 from .registry import query
 
 HEADER = "concat('otu', otu_idx, '|', sample, '|', gene, '|unknown=', unknown, '|hits=', num_hits)"
@@ -85,6 +85,24 @@ def _(s):
     return w.groupBy("marker", "species").agg(F.count("*").alias("n"), F.countDistinct("sequence").alias("n_distinct"))
 
 
+@query("SRC-09_sqlite_scan", "SELECT marker, species, count(*) AS n, count(DISTINCT sequence) AS n_distinct FROM ref_windows GROUP BY ALL")
+def _(s):
+    # the three tables as databases in shards; each is read by a query in the tasks that hold its shards
+    kept = s.otu.where("num_hits >= 48").select("sequence", F.xxhash64("taxonomy").alias("taxonomy_id"), F.xxhash64("gene").alias("marker_id"))
+    made = {
+        "otus": (kept, 16, "sequence string, taxonomy_id bigint, marker_id bigint"),
+        "taxonomy": (s.otu.select(F.xxhash64("taxonomy").alias("id"), "taxonomy").distinct(), 2, "id bigint, taxonomy string"),
+        "markers": (s.otu.select(F.xxhash64("gene").alias("id"), F.col("gene").alias("marker")).distinct(), 1, "id bigint, marker string"),
+    }
+    read = []
+    for table, (rows, shards, schema) in made.items():
+        path = s.written(f"sqlite_{table}", lambda to, rows=rows, table=table, shards=shards: sqlite.pack(rows, table, shards).write.mode("overwrite").parquet(to))
+        columns = ", ".join(f.split()[0] for f in schema.split(", "))
+        read.append(sqlite.scan(s.spark.read.parquet(path), f"SELECT {columns} FROM {table}", schema))
+    w = distances.reference_windows(*read)
+    return w.groupBy("marker", "species").agg(F.count("*").alias("n"), F.countDistinct("sequence").alias("n_distinct"))
+
+
 META_SQL = "SELECT m.acc, a.collection_year AS year, m.taxon_name AS organism FROM (SELECT acc AS id, acc, organism AS taxon_name FROM sample_metadata) m LEFT JOIN (SELECT acc AS run_id, year AS collection_year FROM sample_metadata WHERE year IS NOT NULL) a ON a.run_id = m.id"
 
 
@@ -160,11 +178,12 @@ def _(s):
 
 @query("SRC-13_publish", "SELECT gene, sequence, n_occurrences FROM counts")
 def _(s):
-    # published twice: the second table takes the first one's place
+    # published twice: readers of the path find the second table from its publish on, and the first one still by its number
     path = f"{s.folder()}/published"
-    for df in (s.counts.limit(0), s.counts):
-        publish.publish(df.select("gene", "sequence", "n_occurrences"), path)
-    return s.spark.read.parquet(path)
+    numbers = [publish.publish(df.select("gene", "sequence", "n_occurrences"), path) for df in (s.counts.limit(0), s.counts)]
+    if numbers[1] != numbers[0] + 1 or not publish.read_published(s.spark, path, numbers[0]).isEmpty():
+        raise RuntimeError("a publish changed an earlier version")
+    return publish.read_published(s.spark, path)
 
 
 @query("ORC-02_resume", "SELECT gene, n_samples, 1 AS made FROM stats")
@@ -178,6 +197,36 @@ def _(s):
     return rows.select("gene", "n_samples", F.lit(1).alias("made"))
 
 
+@query("ORC-03_manifest", "SELECT gene, count(*) AS n_clusters, CAST(sum(cluster_size) AS BIGINT) AS total, true AS fresh FROM stats GROUP BY gene")
+def _(s):
+    # what the table was made from is read back from its manifest, one row a marker
+    path = f"{s.folder()}/with_manifest"
+    per = s.stats.groupBy("gene").agg(F.count("*").alias("n_clusters"), F.sum("cluster_size").alias("total")).collect()  # a row a marker
+    facts = {"schema": 1, "markers": {r.gene: [r.n_clusters, r.total] for r in per}}
+    publish.stage_table(lambda: s.stats, s.spark, path, facts)
+    kept = publish.current(s.spark, path).facts
+    rows = [(g, *x, publish.is_current(s.spark, path, facts) and not publish.is_current(s.spark, path, {**facts, "schema": 2})) for g, x in kept["markers"].items()]
+    return s.spark.createDataFrame(rows, "gene string, n_clusters bigint, total bigint, fresh boolean")
+
+
+@query("ORC-07_merge_parts", "SELECT gene, sample_count, species_count FROM prev")
+def _(s):
+    # a histogram a marker is published on its own; the merge is refused while one of them is missing
+    folder, genes = f"{s.folder()}/parts", [r.gene for r in s.stats.select("gene").distinct().orderBy("gene").collect()]  # markers are few
+    paths = [f"{folder}/{g}" for g in genes]
+    for g, p in zip(genes, paths):
+        publish.publish(clusterstats.prevalence(s.stats.where(F.col("gene") == g)), p)
+    try:
+        publish.merge_parts(s.spark, [*paths, f"{folder}/missing"], f"{folder}/refused", strata.merge)
+        raise RuntimeError("an incomplete merge was published")
+    except publish.IncompleteMerge:
+        pass
+    publish.merge_parts(s.spark, paths, f"{folder}/merged", strata.merge)
+    if not publish.merge_is_current(s.spark, paths, f"{folder}/merged") or publish.current(s.spark, f"{folder}/refused"):
+        raise RuntimeError("the merge is not of its parts")
+    return publish.read_published(s.spark, f"{folder}/merged").select("gene", "sample_count", "species_count")
+
+
 @query("SRC-18_fasta_rows", "SELECT translate(sequence, '-', 'N') AS sequence, CAST(1 AS BIGINT) AS n_occurrences, CAST(num_hits AS BIGINT) AS sum_hits FROM indexed")
 def _(s):
     return fasta.to_rows(entries(s))

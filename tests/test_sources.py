@@ -55,16 +55,7 @@ def test_missing_marker(spark):
         tables.find_markers(df, ["S3.9.y"])
 
 
-def test_publish_and_manifest(spark, tmp_path):
-    path = str(tmp_path / "t")
-    calls = []
-    make = lambda: calls.append(1) or spark.range(3)
-    assert publish.stage_table(make, spark, path, {"d": 2}).count() == 3
-    assert publish.stage_table(make, spark, path, {"d": 2}).count() == 3 and len(calls) == 1
-    assert publish.stage_table(make, spark, path, {"d": 3}).count() == 3 and len(calls) == 2
-    with pytest.raises(Exception):
-        publish.publish(spark.range(1).select(F.raise_error(F.lit("no"))), path)
-    assert spark.read.parquet(path).count() == 3
+def test_arguments():
     with pytest.raises(ValueError):
         publish.check_positive(size=0)
     with pytest.raises(ValueError):
@@ -87,20 +78,6 @@ def test_rarefaction_ends_at_observed(spark):
     assert n == pytest.approx(math.log(math.comb(752944, 3)), abs=1e-5)
 
 
-def test_a_failed_move_keeps_the_old_table(spark, tmp_path, monkeypatch):
-    path = str(tmp_path / "t")
-    publish.publish(spark.range(3), path)
-    real = publish._moved
-    monkeypatch.setattr(publish, "_moved", lambda fs, a, b: False if ".staged-" in a.toString() else real(fs, a, b))
-    with pytest.raises(OSError, match="could not move"):
-        publish.publish(spark.range(5), path)
-    monkeypatch.undo()
-    assert spark.read.parquet(path).count() == 3
-    publish.publish(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
-
-
 def test_files_of_one_schema(spark, tmp_path):
     for name, n in (("a", 3), ("b", 4)):
         spark.range(n).selectExpr("CAST(id AS STRING) AS member", f"'{name}' AS rep").write.csv(str(tmp_path / name), sep="\t", header=True)
