@@ -43,8 +43,13 @@ def poisson_richness(histogram: DataFrame, keys: tuple[str, ...], cutoff: int =
         *[F.sum(F.when(k == i, f).otherwise(0)).cast("bigint").alias(f"f{i}") for i in (1, 2, 3)],
     )
     s = s.withColumn("poisson_lambda", poisson_rate(F.try_divide("low_sum", "low")))
-    estimate = F.col("low") / (1 - F.exp(-F.col("poisson_lambda"))) + (F.col("observed") - F.col("low"))
-    return s.select(*keys, "observed", "f1", "f2", "f3", F.try_divide("f1", "f2").alias("f1_f2"), F.try_divide("f2", "f3").alias("f2_f3"), "poisson_lambda", estimate.alias("poisson_estimate"))
+    rate = F.col("poisson_lambda")
+    below = F.col("low") / (1 - F.exp(-rate))
+    error = F.sqrt(below / (F.exp(rate) - 1 - rate))
+    return s.select(
+        *keys, "observed", "f1", "f2", "f3", F.try_divide("f1", "f2").alias("f1_f2"), F.try_divide("f2", "f3").alias("f2_f3"), "poisson_lambda",
+        (below + (F.col("observed") - F.col("low"))).alias("poisson_estimate"), error.alias("poisson_error"),
+    )
 
 
 def chao_bunge(k: np.ndarray, f: np.ndarray, cutoff: int = CUTOFF) -> float:
@@ -87,8 +92,9 @@ def _with_unseen(f: np.ndarray, unseen: float, singles: float, relative: float)
 def kemp(k: np.ndarray, f: np.ndarray) -> tuple[float, float]:
     """Ratios of neighbouring frequencies as a line, or as a quotient of lines, of j (Willis and Bunge 2015).
 
-    The value at 0 is the ratio of singletons to unseen species. Of the forms that are positive throughout, the one of
-    least weighted squares plus twice its parameters is taken.
+    The value at 0 is the ratio of singletons to unseen species. Of the forms that are positive throughout, and whose
+    refinement ends (a quotient that runs off to ever larger terms is no fit), the one of least weighted squares plus
+    twice its parameters is taken.
     """
     j, run, y, spread = _ratios(k, f)
     w = 1 / (y * np.sqrt(spread))
@@ -99,17 +105,20 @@ def kemp(k: np.ndarray, f: np.ndarray) -> tuple[float, float]:
             continue
         columns = [np.ones_like(j), j] + ([-j * y] if quotient else [])
         b = np.linalg.lstsq(np.stack(columns, 1) * w[:, None], y * w, rcond=None)[0]
+        ended = False
         for _ in range(50):
             under = 1 + b[2] * j if quotient else np.ones_like(j)
             fitted = (b[0] + b[1] * j) / under
             slope = np.stack([1 / under, j / under] + ([-j * fitted / under] if quotient else []), 1) * w[:, None]
-            step = np.linalg.lstsq(slope, (y - fitted) * w, rcond=None)[0]
+            step, _, rank, _ = np.linalg.lstsq(slope, (y - fitted) * w, rcond=None)
             b = b + step
-            if np.abs(step).max() < 1e-10 * (1 + np.abs(b).max()):
+            if rank < terms or not np.isfinite(b).all():
+                break
+            if ended := bool(np.abs(step).max() < 1e-10 * (1 + np.abs(b).max())):
                 break
         under = 1 + b[2] * j if quotient else np.ones_like(j)
         fitted = (b[0] + b[1] * j) / under
-        if not np.isfinite(b).all() or b[0] <= 0 or (under <= 0).any() or (fitted <= 0).any():
+        if not ended or b[0] <= 0 or (under <= 0).any() or (fitted <= 0).any():
             continue
         squares = float((((y - fitted) * w) ** 2).sum())
         if squares + 2 * terms < best[0]:
@@ -170,14 +179,81 @@ def without_model(fits: DataFrame, model: str = "kemp") -> DataFrame:
     return fits.where(~F.col("model").eqNullSafe(F.lit(model)))
 
 
+def richness_table(histogram: DataFrame, keys: tuple[str, ...], cutoff: int = CUTOFF) -> DataFrame:
+    """DOM-07: one row a group: the default fit, observed species, the fit without singletons, and the first ratios."""
+    fits = fit_models(histogram, keys, cutoff)
+    each = fits.groupBy(*keys).agg(*[F.max(F.when(F.col("model") == m, F.col(v))).alias(f"{m}_{v}") for m, v in (("observed", "estimate"), ("no_f1", "estimate"), ("no_f1", "error"))])
+    default = select_model(fits, keys).select(*keys, *[F.col(c).alias(f"default_{c}") for c in ("estimate", "error", "model")])
+    ratios = poisson_richness(histogram, keys, cutoff).select(*keys, "f1_f2", "f2_f3")
+    model = F.when(F.col("no_f1_estimate").isNotNull(), "poisson").alias("no_f1_model")
+    both = _beside(_beside(each, default, keys), ratios, keys)
+    return both.select(*keys, "default_estimate", "default_error", "default_model", "observed_estimate", "no_f1_estimate", "no_f1_error", model, "f1_f2", "f2_f3")
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of equal keys, null ones too; a left row without a right one stays."""
+    named = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(named, on, "left").drop(*[f"__{k}" for k in keys])
+
+
 def corrected_histogram(histogram: DataFrame, single_read: DataFrame, errors: DataFrame, keys: tuple[str, ...] = ("marker", "cohort")) -> DataFrame:
-    """DOM-09: histograms with error singletons removed. errors: keys, estimator, error_fraction; an uncorrected row is added."""
+    """DOM-09: histograms with error singletons removed. errors: keys, estimator, error_fraction; an uncorrected row is added.
+
+    Where the fraction is unknown, so is what is removed, and the count of singletons.
+    """
     each = errors.select(*keys, "estimator", "error_fraction", clamp01("error_fraction").alias("pi"))
     none = errors.select(*keys).distinct().select(*keys, F.lit("Uncorrected").alias("estimator"), F.lit(0.0).alias("error_fraction"), F.lit(0.0).alias("pi"))
     rows = histogram.join(F.broadcast(each.unionByName(none)), list(keys)).join(F.broadcast(single_read.select(*keys, "n_single_read_clusters")), list(keys))
-    f = F.col("species_count")
-    removed = F.when(F.col("sample_count") == 1, F.least(F.bround(F.col("pi") * F.col("n_single_read_clusters")), f)).otherwise(0).cast("bigint")
-    return rows.select(*keys, "estimator", "error_fraction", "pi", "sample_count", removed.alias("f1_removed"), (f - removed).cast("bigint").alias("species_count"))
+    f, share = F.col("species_count"), F.bround(F.col("pi") * F.col("n_single_read_clusters"))
+    removed = F.when(F.col("sample_count") != 1, 0).when(share.isNotNull(), F.least(share, f)).cast("bigint")
+    return rows.select(
+        *keys, "estimator", "error_fraction", "pi", F.col("n_single_read_clusters").alias("single_read_f1"), "sample_count", removed.alias("f1_removed"), (f - removed).cast("bigint").alias("species_count")
+    )
+
+
+def corrected_fits(histogram: DataFrame, single_read: DataFrame, errors: DataFrame, keys: tuple[str, ...] = ("marker", "cohort"), cutoff: int = CUTOFF) -> DataFrame:
+    """DOM-09: one row a group and estimator: what was removed, and of the corrected histogram the Poisson fit and, beside it, the default one.
+
+    All fits are null where the error fraction is.
+    """
+    groups = (*keys, "estimator")
+    rows = corrected_histogram(histogram, single_read, errors, keys)
+    facts = rows.groupBy(*groups).agg(
+        *[F.max(c).alias(c) for c in ("error_fraction", "pi", "single_read_f1")], F.sum(F.when(F.col("sample_count") == 1, F.col("species_count") + F.col("f1_removed"))).alias("f1"),
+        F.max(F.when(F.col("sample_count") == 1, F.col("f1_removed"))).alias("f1_removed"), F.when(F.count("*") == F.count("species_count"), F.sum("species_count")).alias("observed_corrected"),
+    )
+    known = rows.where("pi IS NOT NULL")
+    poisson = poisson_richness(known, groups, cutoff).select(*groups, "poisson_estimate", "poisson_error", "poisson_lambda")
+    default = select_model(fit_models(known, groups, cutoff), groups).select(*groups, *[F.col(c).alias(f"default_{c}") for c in ("estimate", "error", "model")])
+    return _beside(_beside(facts, poisson, groups), default, groups)
+
+
+def fit_differences(corrected: DataFrame, main: DataFrame, keys: tuple[str, ...] = ("marker", "cohort"), more_than: float = 1.0) -> DataFrame:
+    """JOIN-23: uncorrected groups whose Poisson estimate is not that of the main default fit."""
+    mine = corrected.where("estimator = 'Uncorrected'").select(*keys, "poisson_estimate")
+    other = main.select(*keys, "default_estimate", "default_model")
+    return mine.join(other, list(keys)).withColumn("difference", F.col("poisson_estimate") - F.col("default_estimate")).where(F.abs("difference") > more_than)
+
+
+def corrected_summary(fits: DataFrame, keys: tuple[str, ...] = ("marker", "cohort"), over: str = "marker") -> DataFrame:
+    """AGG-31: over the markers of each cohort and estimator, medians and range, fits of other models than the Poisson, and fits that failed.
+
+    Medians are exact. Those of the fraction and of the removed share are null if any of them is; estimates that are null are left out.
+    """
+    groups = [k for k in keys if k != over]
+    rows = against_uncorrected(fits, keys).withColumn("share", F.try_divide("f1_removed", "f1"))
+    whole = lambda c: F.when(F.count("*") == F.count(c), F.median(c))
+    return rows.groupBy(*groups, "estimator").agg(
+        whole("pi").alias("median_pi"), whole("share").alias("median_f1_removed_fraction"), F.median("poisson_estimate").alias("median_estimate"),
+        F.count_if(F.col("default_model") != "poisson").alias("n_default_non_poisson"), F.median("ratio").alias("median_ratio"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"),
+        F.count_if(F.col("poisson_estimate").isNull()).alias("n_na"),
+    )
+
+
+def model_counts(fits: DataFrame) -> DataFrame:
+    """AGG-32: fits of each cohort and estimator by the model that was selected, null for none."""
+    return fits.groupBy("cohort", "estimator", F.col("default_model").alias("model")).agg(F.count("*").alias("n"))
 
 
 def corrected_richness(histogram: DataFrame, single_read: DataFrame, errors: DataFrame, keys: tuple[str, ...] = ("marker", "cohort")) -> DataFrame:
