@@ -6,9 +6,10 @@ theta join is needed.
 
 The order-dependent rule is solved in growing chunks of the order. A chunk is joined with the centroids so far;
 what they reach is a member and takes no part in choosing, so groups of like windows shrink to their centroids
-before they meet each other. The rest of a chunk is solved in rounds over its graph of near pairs: what has no
-undecided or chosen earlier neighbour becomes a centroid, its later neighbours become members, and the edges of
-both are dropped.
+before they meet each other. The rest of a chunk is a graph of near pairs. If no marker has more than LOCAL_EDGES of
+them, one task a marker walks its pairs in order, so a chain of windows, however long, takes no round. Otherwise rounds
+make the graph smaller first: what has no undecided or chosen earlier neighbour becomes a centroid, its later neighbours
+become members, and the edges of both are dropped.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from ..sources.shared import cut
 
 #: Sequence numbers a marker in the first chunk, and how many times as many each next one has.
 FIRST, GROWTH = 4096, 4
+#: Near pairs of a marker, in a chunk, that one task walks at most (16 bytes each).
+LOCAL_EDGES = 5_000_000
 
 
 def _edges(max_divergence: int, window: int) -> list[int]:
@@ -39,7 +44,7 @@ def _keys(max_divergence: int, window: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("combo"), F.xxhash64(part[i], part[j]).alias("part")) for k, (i, j) in enumerate(pairs)])
 
 
-def _differing(words: int) -> list[Column]:
+def differing(words: int) -> list[Column]:
     """For each 30 bases of two packed windows in columns a0, a1, ... and b0, b1, ... a word with a bit for each base that differs."""
     out = []
     for w in range(words):
@@ -48,6 +53,16 @@ def _differing(words: int) -> list[Column]:
     return out
 
 
+def differences_in(low: int, high: int, words: int) -> Column:
+    """How many bases from low to before high differ, by the words of `differing` in columns d0, d1, ..."""
+    count = F.lit(0)
+    for w in range(words):
+        bits = sum(1 << 2 * (29 - p % 30) for p in range(max(low, 30 * w), min(high, 30 * w + 30)))
+        if bits:
+            count = count + F.bit_count(F.col(f"d{w}").bitwiseAND(F.lit(bits).cast("bigint")))
+    return count
+
+
 def near_pairs(left: DataFrame, right: DataFrame, max_divergence: int = 2, window: int = 60) -> DataFrame:
     """CLU-02, JOIN-22: pairs (gene, a, b, divergence) within a distance; left and right: (gene, id, sequence), gaps as N.
 
@@ -64,15 +79,11 @@ def near_pairs(left: DataFrame, right: DataFrame, max_divergence: int = 2, windo
         return rows.select("gene", "x.combo", "x.part", name, *[F.col("bits")[i].alias(f"{name}{i}") for i in range(2 * words)])
 
     met = side(left, "a").join(side(right, "b"), ["gene", "combo", "part"])
-    met = met.select("gene", "combo", "a", "b", *[d.alias(f"d{w}") for w, d in enumerate(_differing(words))])
+    met = met.select("gene", "combo", "a", "b", *[d.alias(f"d{w}") for w, d in enumerate(differing(words))])
     divergence = sum((F.bit_count(f"d{w}") for w in range(words)), F.lit(0))
     edges, same = _edges(max_divergence, window), F.lit(0)
     for k, (low, high) in enumerate(zip(edges, edges[1:])):
-        inside = F.lit(0).cast("bigint")
-        for w in range(words):
-            bits = sum(1 << 2 * (29 - p % 30) for p in range(max(low, 30 * w), min(high, 30 * w + 30)))
-            inside = inside.bitwiseOR(F.col(f"d{w}").bitwiseAND(F.lit(bits).cast("bigint")))
-        same = same + F.when(inside == 0, 1 << k).otherwise(0)
+        same = same + F.when(differences_in(low, high, words) == 0, 1 << k).otherwise(0)
     # for each set of shared blocks the first pair of them
     places = {pair: k for k, pair in enumerate(combinations(range(n), 2))}
     first = [places.get(tuple(i for i in range(n) if shared >> i & 1)[:2], -1) for shared in range(1 << n)]
@@ -80,43 +91,77 @@ def near_pairs(left: DataFrame, right: DataFrame, max_divergence: int = 2, windo
     return near.select("gene", "a", "b", divergence.alias("divergence"))
 
 
+def _walk(edges: pa.Table) -> pa.Table:
+    """Of a marker's pairs (a before b) those b that an earlier centroid reaches."""
+    a, b = (edges.column(c).to_numpy() for c in ("a", "b"))
+    order = np.lexsort((a, b))
+    ids, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    first, later = places[: len(a)][order].tolist(), places[len(a) :][order].tolist()
+    member = bytearray(len(ids))
+    for x, y in zip(first, later):  # by the later end: whether x is a centroid is known by then
+        if not member[x]:
+            member[y] = 1
+    reached = ids[np.frombuffer(member, np.uint8) == 1]
+    return pa.table({"gene": pa.array([edges.column("gene")[0].as_py()] * len(reached), pa.string()), "id": reached})
+
+
 def _chosen(rows: DataFrame, max_divergence: int, window: int) -> DataFrame:
     """The centroids (gene, id) that the rule picks among rows alone."""
     edges = cut(near_pairs(rows, rows, max_divergence, window).where("a < b").select("gene", "a", "b"))
     open_, chosen = rows.select("gene", "id"), []
     while True:
+        largest = edges.groupBy("gene").count().agg(F.max("count")).first()[0] or 0
+        if largest <= LOCAL_EDGES:
+            break
         heads = cut(open_.join(edges.select("gene", F.col("b").alias("id")), ["gene", "id"], "left_anti"))
         chosen.append(heads)
         members = edges.join(heads.withColumnRenamed("id", "a"), ["gene", "a"], "left_semi").select("gene", F.col("b").alias("id"))
         gone = cut(heads.unionByName(members).distinct())
         open_ = cut(open_.join(gone, ["gene", "id"], "left_anti"))
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, chosen)
         for end in ("a", "b"):
             edges = edges.join(gone.withColumnRenamed("id", end), ["gene", end], "left_anti")
         edges = cut(edges)
+    if largest:
+        members = edges.groupBy("gene").applyInArrow(_walk, "gene string, id long")
+        open_ = open_.join(members, ["gene", "id"], "left_anti")
+    return reduce(DataFrame.unionByName, [*chosen, open_])
+
+
+def numbered_windows(unique: DataFrame, start: int = 0) -> DataFrame:
+    """(gene, seq_num, sequence) as the rows that are clustered: gene, id, sequence with gaps as N, and the member as it is written."""
+    return unique.select("gene", (F.col("seq_num") + start).alias("id"), normalise_gaps("sequence").alias("sequence"), F.col("sequence").alias("member"))
+
+
+def extend(rows: DataFrame, centroids: DataFrame, max_divergence: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """One chunk after those that gave the centroids: its rows' (gene, id, rep_id, divergence), and its own centroids (gene, id, sequence)."""
+    part = rows.select("gene", "id", "sequence")
+    old = cut(near_pairs(centroids, part, max_divergence, window))
+    rest = part.join(old.select("gene", F.col("b").alias("id")), ["gene", "id"], "left_anti")
+    new = cut(part.join(_chosen(rest, max_divergence, window), ["gene", "id"], "left_semi"))
+    own = new.select("gene", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("divergence"))
+    met = old.unionByName(near_pairs(new, part, max_divergence, window).where("a < b")).unionByName(own)
+    best = met.groupBy("gene", "b").agg(F.min(F.struct("divergence", "a")).alias("m"))
+    return cut(best.select("gene", F.col("b").alias("id"), F.col("m.a").alias("rep_id"), F.col("m.divergence").alias("divergence"))), new
 
 
 def cluster(unique: DataFrame, max_divergence: int = 2, window: int = 60, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
     """CLU-01: (gene, member, rep, divergence) of every window; unique: (gene, seq_num, sequence), earlier numbers first."""
-    rows = cut(unique.select("gene", F.col("seq_num").alias("id"), normalise_gaps("sequence").alias("sequence"), F.col("sequence").alias("member")))
+    rows = cut(numbered_windows(unique))
     low, high = rows.agg(F.min("id"), F.max("id")).first()
     centroids, found = rows.limit(0).select("gene", "id", "sequence"), rows.limit(0).select("gene", "id", F.col("id").alias("rep_id"), F.lit(0).alias("divergence"))
     size = first
     while low is not None and low <= high:
-        part = rows.where(F.col("id").between(low, low + size - 1)).select("gene", "id", "sequence")
-        old = cut(near_pairs(centroids, part, max_divergence, window))
-        rest = part.join(old.select("gene", F.col("b").alias("id")), ["gene", "id"], "left_anti")
-        new = cut(part.join(_chosen(rest, max_divergence, window), ["gene", "id"], "left_semi"))
-        own = new.select("gene", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("divergence"))
-        met = old.unionByName(near_pairs(new, part, max_divergence, window).where("a < b")).unionByName(own)
-        best = met.groupBy("gene", "b").agg(F.min(F.struct("divergence", "a")).alias("m"))
-        found = found.unionByName(cut(best.select("gene", F.col("b").alias("id"), F.col("m.a").alias("rep_id"), F.col("m.divergence").alias("divergence"))))
-        centroids = centroids.unionByName(new)
+        reached, new = extend(rows.where(F.col("id").between(low, low + size - 1)), centroids, max_divergence, window)
+        found, centroids = found.unionByName(reached), centroids.unionByName(new)
         low, size = low + size, size * growth
+    return named_members(found, centroids, rows).select("gene", "member", "rep", "divergence")
+
+
+def named_members(found: DataFrame, centroids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Memberships by id with the member as it is written and the centroid's sequence."""
     names = centroids.select("gene", F.col("id").alias("rep_id"), F.col("sequence").alias("rep"))
     members = rows.select("gene", "id", "member")
-    return found.join(names, ["gene", "rep_id"]).join(members, ["gene", "id"]).select("gene", "member", "rep", F.col("divergence").cast("int"))
+    return found.join(names, ["gene", "rep_id"]).join(members, ["gene", "id"]).select("gene", "id", "member", "rep_id", "rep", F.col("divergence").cast("int").alias("divergence"))
 
 
 def resolve_chains(rounds: DataFrame) -> DataFrame:
@@ -132,13 +177,6 @@ def resolve_chains(rounds: DataFrame) -> DataFrame:
     raise ValueError("representatives form a ring")
 
 
-def cluster_chunked(unique: DataFrame, size: int, max_divergence: int = 2, window: int = 60) -> DataFrame:
-    """CLU-03: representatives so far and the next chunk of one size, round by round. The result is that of `cluster`."""
-    if size <= 0:
-        raise ValueError("size must be positive")
-    return cluster(unique, max_divergence, window, size, 1)
-
-
 def greedy(windows: list[str], max_divergence: int = 2) -> list[int]:
     """The rule in plain Python, for tests: the centroid's place for each window."""
     chosen: list[int] = []

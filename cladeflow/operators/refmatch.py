@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalise_gaps, taxonomy_token
-from .clustering import near_pairs
+from ..functions.scalars import normalise_gaps, packed_bases, taxonomy_token
+from ..sources.shared import cut
+from .clustering import differences_in, differing, near_pairs
 
 
 def best_hits(hits: DataFrame, queries: DataFrame | None = None, max_divergence: int | None = None) -> DataFrame:
@@ -39,6 +42,77 @@ def nearest(queries: DataFrame, reference: DataFrame, max_divergence: int = 2, w
     return best.select("gene", F.col("a").alias("query"), F.col("m.divergence").cast("int").alias("divergence"), F.col("m.b").alias("ref_id")).join(names, ["gene", "ref_id"])
 
 
+#: Distances that are searched one after the other, each for what the one before left open.
+RADII = (2, 4, 8)
+BASES = "ACGTN"
+
+
+def _variants(part: Column, size: int) -> Column:
+    """A string and all that differ from it in one place."""
+    each = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.transform(F.array(*map(F.lit, BASES)), lambda c: F.overlay(part, c, i, F.lit(1)))))
+    return F.concat(F.array(part), F.filter(each, lambda x: x != part))
+
+
+def far_pairs(left: DataFrame, right: DataFrame, radius: int, window: int = 60) -> DataFrame:
+    """Pairs (gene, a, b, divergence) within a wide distance; left and right: (gene, id, sequence), the left side small.
+
+    In one of radius // 2 + 1 blocks the two differ in one place at most. The right side is entered once a block, and the left
+    side looks it up with all variants of its block, so long blocks do what many short ones would. A pair is kept in the first
+    block in which it is that near.
+    """
+    n, words = radius // 2 + 1, -(-window // 30)
+    edges = [window * i // n for i in range(n + 1)]
+
+    def side(df: DataFrame, name: str, keys: list[Column]) -> DataFrame:
+        rows = df.where(F.length("sequence") == window).select("gene", F.col("id").alias(name), packed_bases("sequence", words).alias("bits"), F.explode(F.array(*keys)).alias("x"))
+        rows = rows.select("gene", "x.block", F.explode("x.parts").alias("part"), name, *[F.col("bits")[i].alias(f"{name}{i}") for i in range(2 * words)])
+        return rows.withColumn("part", F.xxhash64("part"))
+
+    blocks = [(k, F.substring("sequence", a + 1, b - a), b - a) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    entered = side(right, "b", [F.struct(F.lit(k).alias("block"), F.array(part).alias("parts")) for k, part, _ in blocks])
+    asked = side(left, "a", [F.struct(F.lit(k).alias("block"), _variants(part, size).alias("parts")) for k, part, size in blocks])
+    met = asked.join(entered, ["gene", "block", "part"])
+    met = met.select("gene", "block", "a", "b", *[d.alias(f"d{w}") for w, d in enumerate(differing(words))])
+    divergence = sum((F.bit_count(f"d{w}") for w in range(words)), F.lit(0))
+    first = F.lit(n)
+    for k in reversed(range(n)):
+        first = F.when(differences_in(edges[k], edges[k + 1], words) <= 1, k).otherwise(first)
+    return met.where((divergence <= radius) & (first == F.col("block"))).select("gene", "a", "b", divergence.alias("divergence"))
+
+
+def nearest_widening(queries: DataFrame, reference: DataFrame, radii: tuple[int, ...] = RADII, window: int = 60) -> DataFrame:
+    """CLU-07, JOIN-22: every query with its nearest reference window within the last radius, the least id of equals, and its taxonomy.
+
+    (gene, query, divergence, ref_id, taxonomy, status): status is `matched`, `none_within_D`, or `other_length` for windows that can't
+    be compared. What is within a radius is found whole, so a wider one is tried only for the rest.
+    """
+    if not radii or list(radii) != sorted(set(radii)) or radii[0] < 0:
+        raise ValueError("radii must grow from 0 or more")
+    q = queries.select("gene", "id", normalise_gaps("sequence").alias("sequence"))
+    # equal windows are searched, and found, once
+    asked = cut(q.where(F.length("sequence") == window).groupBy("gene", "sequence").agg(F.min("id").alias("id")))
+    known = cut(reference.select("gene", "id", normalise_gaps("sequence").alias("sequence")).where(F.length("sequence") == window).groupBy("gene", "sequence").agg(F.min("id").alias("id")))
+    open_, found = asked, []
+    for radius in radii:
+        pairs = (near_pairs if radius <= 2 else far_pairs)(open_, known, radius, window)
+        best = cut(pairs.groupBy("gene", F.col("a").alias("id")).agg(F.min(F.struct("divergence", "b")).alias("m")))
+        found.append(best)
+        open_ = cut(open_.join(best, ["gene", "id"], "left_anti"))
+        if open_.isEmpty():
+            break
+    best = reduce(DataFrame.unionByName, found).join(asked, ["gene", "id"]).select("gene", "sequence", F.col("m.divergence").cast("int").alias("divergence"), F.col("m.b").alias("ref_id"))
+    names = reference.select("gene", F.col("id").alias("ref_id"), "taxonomy")
+    out = q.join(best, ["gene", "sequence"], "left").join(names, ["gene", "ref_id"], "left")
+    status = F.when(F.col("divergence").isNotNull(), "matched").when(F.length("sequence") == window, f"none_within_{radii[-1]}").otherwise("other_length")
+    return out.select("gene", F.col("id").alias("query"), "divergence", "ref_id", "taxonomy", status.alias("status"))
+
+
+def assign_taxonomy(queries: DataFrame, reference: DataFrame, radii: tuple[int, ...] = RADII, window: int = 60) -> DataFrame:
+    """CLU-07: every representative with the domain and phylum of its nearest reference window, null without one."""
+    near = nearest_widening(queries, reference, radii, window)
+    return near.select("gene", F.col("query").alias("id"), "divergence", "status", taxonomy_token("taxonomy", "d__").alias("domain"), taxonomy_token("taxonomy", "p__").alias("phylum"))
+
+
 def matches(representatives: DataFrame, best: DataFrame) -> DataFrame:
     """JOIN-09, JOIN-25: every representative with its status; a hit without a species name confirms all the same."""
     b = best.select(F.col("query").alias("id"), "divergence", "taxonomy")

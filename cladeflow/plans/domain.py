@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import codons as C
-from ..operators import clusterstats, clustering, distances, estimates, refmatch, report, richness
+from ..functions import scalars as S
+from ..operators import cluster_store, clusterstats, clustering, distances, estimates, refmatch, report, richness
+from ..operators.numbering import numbered
 from ..sources import logs
+from . import fits
 from .registry import query
 from .relational import BEST, CORRECTED, LEAST, PHYLA, POISSON, UNIQUE, WIDE, corrected, errors, hits, nearest, phyla, reps, single_reads, wide_types
 
@@ -130,19 +135,36 @@ def _(s):
     return r.select("marker", "cohort", "observed", F.round("poisson_lambda", 6).alias("poisson_lambda"), F.round("poisson_estimate", 4).alias("poisson_estimate"))
 
 
-@query("DOM-07_models")
+def model_sql(table: str, keys: str) -> str:
+    return f"SELECT {keys}, model, round(estimate, 2) AS estimate, round(error, 2) AS error FROM ({fits.fits(table, keys)})"
+
+
+def rounded_fits(df):
+    return df.withColumns({c: F.round(c, 2) for c in ("estimate", "error")})
+
+
+@query("DOM-07_models", model_sql("cohort_hist", "marker, cohort"))
+def _(s):
+    return rounded_fits(richness.fit_models(s.cohort_hist, ("marker", "cohort")))
+
+
+@query("DOM-07_selected_models", f"SELECT marker, cohort, model, round(estimate, 2) AS estimate, round(error, 2) AS error FROM ({fits.selected('cohort_hist', 'marker, cohort')})")
 def _(s):
-    return richness.fit_models(s.cohort_hist, ("marker", "cohort"))
+    return rounded_fits(richness.select_model(richness.fit_models(s.cohort_hist, ("marker", "cohort")), ("marker", "cohort")))
+
 
+TABLE_DIGITS = {**{f"{m}_{v}": 2 for m in ("default", "no_f1") for v in ("estimate", "error")}, "f1_f2": 9, "f2_f3": 9}
 
-@query("DOM-07_selected_models")
+
+@query("DOM-07_richness_table", f"SELECT marker, cohort, observed_estimate, default_model, no_f1_model, {', '.join(f'round({c}, {n}) AS {c}' for c, n in TABLE_DIGITS.items())} FROM (SELECT marker, cohort, model AS default_model, estimate AS default_estimate, error AS default_error FROM ({fits.selected('cohort_hist', 'marker, cohort')})) JOIN (SELECT marker, cohort, max(estimate) FILTER (WHERE model = 'observed') AS observed_estimate, max(estimate) FILTER (WHERE model = 'no_f1') AS no_f1_estimate, max(error) FILTER (WHERE model = 'no_f1') AS no_f1_error, max(model) FILTER (WHERE model = 'poisson' AND no_f1) AS no_f1_model FROM (SELECT *, bool_or(model = 'no_f1' AND estimate IS NOT NULL) OVER (PARTITION BY marker, cohort) AS no_f1 FROM ({fits.fits('cohort_hist', 'marker, cohort')})) GROUP BY marker, cohort) USING (marker, cohort) JOIN (SELECT marker, cohort, f1 / nullif(f2, 0) AS f1_f2, f2 / nullif(f3, 0) AS f2_f3 FROM (SELECT marker, cohort, coalesce(sum(species_count) FILTER (WHERE sample_count = 1), 0) AS f1, coalesce(sum(species_count) FILTER (WHERE sample_count = 2), 0) AS f2, coalesce(sum(species_count) FILTER (WHERE sample_count = 3), 0) AS f3 FROM cohort_hist GROUP BY marker, cohort)) USING (marker, cohort)")
 def _(s):
-    return richness.select_model(richness.fit_models(s.cohort_hist, ("marker", "cohort")), ("marker", "cohort"))
+    t = richness.richness_table(s.cohort_hist, ("marker", "cohort"))
+    return t.withColumns({c: F.round(c, n) for c, n in TABLE_DIGITS.items()})
 
 
-@query("DOM-08_richness_by_taxon")
+@query("DOM-08_richness_by_taxon", model_sql("tax_hist", "marker, stratum, stratum_value"))
 def _(s):
-    return richness.fit_models(s.tax_hist, ("marker", "stratum", "stratum_value"))
+    return rounded_fits(richness.fit_models(s.tax_hist, ("marker", "stratum", "stratum_value")))
 
 
 @query("DOM-09_corrected_frequencies", "SELECT h.marker, h.cohort, sample_count, CAST(species_count - CASE WHEN sample_count = 1 THEN least(CAST(round_even(least(greatest(e.error_fraction, 0), 1) * r.n, 0) AS BIGINT), species_count) ELSE 0 END AS BIGINT) AS species_count FROM cohort_hist h JOIN est e ON e.marker = h.marker JOIN (SELECT gene, count(*) FILTER (WHERE sum_hits = 1) AS n FROM counts GROUP BY gene) r ON r.gene = h.marker WHERE e.f_class = 'f1' AND e.single_read AND e.parent_class = 'all' AND e.statistic = 'synonymous'")
@@ -204,8 +226,8 @@ def _(s):
 
 # ---- clustering ----
 
-#: Windows a marker in a chunk of CLU-03.
-CHUNK = 2_000_000
+#: Windows a marker in a batch of CLU-03 at most, and how many batches there are at least.
+CHUNK, BATCHES = 2_000_000, 4
 
 
 @query("CLU-01_greedy_clusters")
@@ -221,7 +243,10 @@ def _(s):
 
 @query("CLU-03_chunked_clusters")
 def _(s):
-    return clustering.cluster_chunked(s.dedup.select("gene", "seq_num", "sequence"), CHUNK)
+    # batches come one after the other, each onto the stored centroids of those before it
+    n = (s.dedup.agg(F.max("seq_num")).first()[0] or 0) + 1
+    size = max(1, min(CHUNK, -(-n // BATCHES)))
+    return cluster_store.cluster_chunked(s.dedup.select("gene", "seq_num", "sequence"), size, f"{s.folder()}/clusters-{uuid.uuid4().hex}")
 
 
 @query("CLU-04_chains", "SELECT CAST(p_partkey AS VARCHAR) AS member, CAST((p_partkey - 1) % 100 + 1 AS VARCHAR) AS rep FROM part")
@@ -234,10 +259,8 @@ def _(s):
 @query("CLU-05_reference_clusters")
 def _(s):
     r = distances.species_representative(distances.species_windows(s.ref_windows)).select(F.col("marker").alias("gene"), "sequence").distinct()
-    from pyspark.sql import Window as W
-
-    numbered = r.withColumn("seq_num", (F.row_number().over(W.partitionBy("gene").orderBy("sequence")) - 1).cast("bigint"))
-    return clustering.cluster(numbered).groupBy("gene").agg(F.count("*").alias("n_species_windows"), F.countDistinct("rep").alias("n_clusters"))
+    ordered = numbered(r, ["sequence"], ("gene",), "seq_num", 0)
+    return clustering.cluster(ordered).groupBy("gene").agg(F.count("*").alias("n_species_windows"), F.countDistinct("rep").alias("n_clusters"))
 
 
 @query("CLU-06_strict_matches", f"SELECT count(divergence) AS confirmed, count(*) AS total FROM ({BEST})")
@@ -251,6 +274,32 @@ def _(s):
     return nearest(s).groupBy("gene", "divergence").agg(F.count("*").alias("n"))
 
 
+# Reference windows of two thirds of the species: the others' windows have none near
+FEW = "SELECT marker AS gene, min(species) AS species, sequence FROM ref_windows WHERE CAST(substr(species, 5) AS INT) % 3 > 0 GROUP BY marker, sequence"
+WITHIN = f"SELECT q.gene, q.member AS id, min(CASE WHEN hamming(q.member, r.sequence) <= 8 THEN hamming(q.member, r.sequence) END) AS divergence, arg_min(r.species, (hamming(q.member, r.sequence), r.sequence)) AS species FROM (SELECT DISTINCT gene, member FROM clusters WHERE length(member) = 60) q LEFT JOIN ({FEW}) r ON q.gene = r.gene GROUP BY ALL"
+
+
+def few_references(s):
+    few = s.ref_windows.where(F.substring("species", 5, 9).cast("int") % 3 > 0).groupBy(F.col("marker").alias("gene"), "sequence").agg(F.min("species").alias("species"))
+    return few.select("gene", F.col("sequence").alias("id"), "sequence", F.concat(F.lit("Root; d__D; p__P; "), "species").alias("taxonomy"))
+
+
+def widened(s):
+    q = s.clusters.select("gene", F.col("member").alias("id"), F.col("member").alias("sequence")).distinct()
+    return refmatch.nearest_widening(q, few_references(s))
+
+
+@query("CLU-07_within_8", f"SELECT gene, id AS query, CAST(divergence AS INT) AS divergence, CASE WHEN divergence IS NULL THEN 'none_within_8' ELSE 'matched' END AS status, CASE WHEN divergence IS NOT NULL THEN species END AS species FROM ({WITHIN})")
+def _(s):
+    return widened(s).select("gene", "query", "divergence", "status", S.species_of("taxonomy").alias("species"))
+
+
+@query("CLU-07_assigned", f"SELECT gene, CASE WHEN divergence IS NOT NULL THEN 'd__D' END AS domain, CASE WHEN divergence IS NOT NULL THEN 'p__P' END AS phylum, CAST(divergence AS INT) AS divergence, count(*) AS n FROM ({WITHIN}) GROUP BY ALL")
+def _(s):
+    q = s.clusters.select("gene", F.col("member").alias("id"), F.col("member").alias("sequence")).distinct()
+    return refmatch.assign_taxonomy(q, few_references(s)).groupBy("gene", "domain", "phylum", "divergence").agg(F.count("*").alias("n"))
+
+
 HAMMING = "least(hamming(a.sequence, b.sequence), 15)"
 SIX = (
     "SELECT marker, 'n_genome_windows' AS metric, 0 AS distance, count(*) AS count FROM ref_windows GROUP BY marker",

@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import clusterstats, collate, distances, estimates, refmatch, report, richness, strata
+from ..operators import clusterstats, collate, distances, estimates, refmatch, report, richness, sample_sets, strata
 from ..operators import signature as sig
 from ..operators.numbering import numbered
+from . import fits
 from .registry import query
 
 # ---- joins ----
@@ -181,13 +182,6 @@ def _(s):
     return nearest(s).select("gene", "query", "divergence", "ref_id")
 
 
-@query("JOIN-23_uncorrected_check", "SELECT marker, cohort, a.n AS n FROM (SELECT marker, cohort, CAST(sum(species_count) AS BIGINT) AS n FROM cohort_hist GROUP BY ALL) a JOIN (SELECT marker, cohort, CAST(sum(species_count) FILTER (WHERE sample_count > 1) AS BIGINT) AS m FROM cohort_hist GROUP BY ALL) b USING (marker, cohort) WHERE abs(a.n - b.m) > 1")
-def _(s):
-    a = s.cohort_hist.groupBy("marker", "cohort").agg(F.sum("species_count").alias("n"))
-    b = s.cohort_hist.where("sample_count > 1").groupBy("marker", "cohort").agg(F.sum("species_count").alias("m"))
-    return a.join(b, ["marker", "cohort"]).where(F.abs(F.col("n") - F.col("m")) > 1).select("marker", "cohort", "n")
-
-
 @query("JOIN-24_rep_taxonomy", "SELECT stratum, stratum_value, CAST(sum(species_count) AS BIGINT) AS n FROM tax_hist GROUP BY ALL")
 def _(s):
     return s.make_tax_hist().groupBy("stratum", "stratum_value").agg(F.sum("species_count").alias("n"))
@@ -263,6 +257,39 @@ def _(s):
     return strata.merge(s.histo, s.histo)
 
 
+def shard_sets(s):
+    """Sample sets of two shards of the windows that share samples, representatives and windows."""
+    numbers = sample_sets.number_samples(s.otu)
+    shards = [s.otu.where(F.col("num_hits") % 3 != left_out) for left_out in (0, 2)]
+    return [sample_sets.sample_sets(x.select("gene", F.col("planted_rep").alias("rep"), "sample"), numbers) for x in shards], numbers
+
+
+@query("AGG-03_merged_shards", "SELECT gene, rep, n_samples FROM rep_samples")
+def _(s):
+    return sample_sets.sizes(sample_sets.merge_sets(*shard_sets(s)[0]))
+
+
+@query("AGG-11_overlapping_parts", "SELECT gene, CAST(sample_count AS BIGINT) AS sample_count, species_count FROM prev")
+def _(s):
+    return sample_sets.prevalence(sample_sets.merge_sets(*shard_sets(s)[0]))
+
+
+@query("AGG-08_from_sets", "SELECT gene, stratum, stratum_value, sample_count, species_count FROM histo")
+def _(s):
+    parts, numbers = shard_sets(s)
+    return sample_sets.histogram(sample_sets.merge_sets(*parts), sample_sets.strata_sets(s.meta, numbers))
+
+
+FIRST_LETTER = "SELECT gene, rep AS member, min(rep) OVER (PARTITION BY gene, substr(rep, 1, 1)) AS rep FROM (SELECT DISTINCT gene, planted_rep AS rep FROM otu)"
+
+
+@query("SET-06_united", f"SELECT o.gene, c.rep, count(DISTINCT sample) AS n_samples FROM otu o JOIN ({FIRST_LETTER}) c ON c.gene = o.gene AND c.member = o.planted_rep GROUP BY o.gene, c.rep")
+def _(s):
+    reps_ = s.otu.select("gene", F.col("planted_rep").alias("member")).distinct()
+    clusters = reps_.join(reps_.groupBy("gene", F.substring("member", 1, 1).alias("letter")).agg(F.min("member").alias("rep")).withColumnRenamed("gene", "g"), (F.col("g") == F.col("gene")) & (F.substring("member", 1, 1) == F.col("letter")))
+    return sample_sets.sizes(sample_sets.united(sample_sets.merge_sets(*shard_sets(s)[0]), clusters.select("gene", "member", "rep")))
+
+
 SIG = "SELECT gene, f_class, single_read, parent_class"
 
 
@@ -384,6 +411,7 @@ def poisson(table: str, keys: str) -> str:
 
 POISSON = poisson("cohort_hist", "marker, cohort")
 ERRORS = "SELECT marker, 'Synonymous' AS estimator, least(greatest(error_fraction, 0), 1) AS pi FROM est WHERE f_class = 'f1' AND single_read AND parent_class = 'all' AND statistic = 'synonymous'"
+FRACTIONS = "SELECT marker, 'Synonymous' AS estimator, error_fraction, CASE WHEN error_fraction IS NOT NULL THEN least(greatest(error_fraction, 0), 1) END AS pi FROM est WHERE f_class = 'f1' AND single_read AND parent_class = 'all' AND statistic = 'synonymous'"
 CORRECTED_HIST = f"SELECT h.marker, h.cohort, estimator, sample_count, CAST(species_count - CASE WHEN sample_count = 1 THEN least(CAST(round_even(pi * r.n, 0) AS BIGINT), species_count) ELSE 0 END AS BIGINT) AS species_count FROM cohort_hist h JOIN ({ERRORS} UNION ALL SELECT marker, 'Uncorrected', 0.0 FROM ({ERRORS})) e ON e.marker = h.marker JOIN (SELECT gene, count(*) FILTER (WHERE sum_hits = 1) AS n FROM counts GROUP BY gene) r ON r.gene = h.marker"
 CORRECTED = poisson(f"({CORRECTED_HIST})", "marker, cohort, estimator").replace("obs, low, CASE", "obs, low, f1, CASE")
 
@@ -410,12 +438,58 @@ def corrected(s):
     return richness.corrected_richness(s.cohort_hist, single_reads(s), errors(s))
 
 
-@query("AGG-32_model_counts", "SELECT cohort, 'poisson' AS model, count(*) AS n FROM (SELECT DISTINCT marker, cohort FROM cohort_hist) GROUP BY ALL")
+# The corrected histograms' facts, with the Poisson fit and the default one of each
+CORRECTED_ROWS = f"SELECT h.marker, h.cohort, estimator, error_fraction, pi, r.n AS single_read_f1, sample_count, species_count AS f, CASE WHEN sample_count <> 1 THEN 0 WHEN pi IS NOT NULL THEN least(CAST(round_even(pi * r.n, 0) AS BIGINT), species_count) END AS f1_removed FROM cohort_hist h JOIN ({FRACTIONS} UNION ALL SELECT DISTINCT marker, 'Uncorrected', 0.0, 0.0 FROM ({FRACTIONS})) e ON e.marker = h.marker JOIN (SELECT gene, count(*) FILTER (WHERE sum_hits = 1) AS n FROM counts GROUP BY gene) r ON r.gene = h.marker"
+GROUPS = "marker, cohort, estimator"
+CORRECTED_TABLE = f"(SELECT {GROUPS}, sample_count, f - f1_removed AS species_count FROM ({CORRECTED_ROWS}) WHERE pi IS NOT NULL)"
+CORRECTED_FITS = f"""
+SELECT * FROM (
+  SELECT {GROUPS}, max(error_fraction) AS error_fraction, max(pi) AS pi, max(single_read_f1) AS single_read_f1, CAST(sum(f) FILTER (WHERE sample_count = 1 AND pi IS NOT NULL) AS BIGINT) AS f1,
+         max(f1_removed) FILTER (WHERE sample_count = 1) AS f1_removed, CASE WHEN count(*) = count(f1_removed) THEN CAST(sum(f - f1_removed) AS BIGINT) END AS observed_corrected
+  FROM ({CORRECTED_ROWS}) GROUP BY {GROUPS})
+LEFT JOIN (SELECT {GROUPS}, estimate AS poisson_estimate, error AS poisson_error FROM ({fits.fits(CORRECTED_TABLE, GROUPS)}) WHERE model = 'poisson') USING ({GROUPS})
+LEFT JOIN (SELECT {GROUPS}, lam AS poisson_lambda FROM ({poisson(CORRECTED_TABLE, GROUPS)})) USING ({GROUPS})
+LEFT JOIN (SELECT {GROUPS}, estimate AS default_estimate, error AS default_error, model AS default_model FROM ({fits.selected(CORRECTED_TABLE, GROUPS)})) USING ({GROUPS})"""
+
+
+def corrected_fits(s):
+    return richness.corrected_fits(s.cohort_hist, single_reads(s), errors(s))
+
+
+def rounded(df, digits):
+    """The rows with some columns rounded; digits: column -> places."""
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+FIT_DIGITS = {"error_fraction": 9, "pi": 9, "poisson_estimate": 2, "poisson_error": 2, "poisson_lambda": 6, "default_estimate": 2, "default_error": 2}
+FIT_COLUMNS = f"{GROUPS}, single_read_f1, f1, f1_removed, observed_corrected, default_model, " + ", ".join(f"round({c}, {n}) AS {c}" for c, n in FIT_DIGITS.items())
+
+
+@query("DOM-09_corrected_fits", f"SELECT {FIT_COLUMNS} FROM ({CORRECTED_FITS})")
+def _(s):
+    return rounded(corrected_fits(s), FIT_DIGITS)
+
+
+@query("JOIN-23_uncorrected_check", f"SELECT marker, cohort, round(poisson_estimate, 2) AS poisson_estimate, round(m.estimate, 2) AS default_estimate, m.model AS default_model, round(poisson_estimate - m.estimate, 2) AS difference FROM ({CORRECTED_FITS}) c JOIN ({fits.selected('cohort_hist', 'marker, cohort')}) m USING (marker, cohort) WHERE estimator = 'Uncorrected' AND abs(poisson_estimate - m.estimate) > 1")
+def _(s):
+    checked = richness.fit_differences(corrected_fits(s), richness.richness_table(s.cohort_hist, ("marker", "cohort")))
+    return rounded(checked, {"poisson_estimate": 2, "default_estimate": 2, "difference": 2})
+
+
+SUMMARY_DIGITS = {"median_pi": 9, "median_f1_removed_fraction": 9, "median_estimate": 2, "median_ratio": 7, "min_ratio": 7, "max_ratio": 7}
+
+
+@query("AGG-31_summary", f"SELECT cohort, estimator, n_default_non_poisson, n_na, {', '.join(f'round({c}, {n}) AS {c}' for c, n in SUMMARY_DIGITS.items())} FROM (SELECT cohort, estimator, CASE WHEN count(*) = count(pi) THEN median(pi) END AS median_pi, CASE WHEN count(*) = count(f1_removed / nullif(f1, 0)) THEN median(f1_removed / nullif(f1, 0)) END AS median_f1_removed_fraction, median(poisson_estimate) AS median_estimate, count(*) FILTER (WHERE default_model <> 'poisson') AS n_default_non_poisson, median(ratio) AS median_ratio, min(ratio) AS min_ratio, max(ratio) AS max_ratio, count(*) FILTER (WHERE poisson_estimate IS NULL) AS n_na FROM (SELECT *, poisson_estimate / nullif(max(poisson_estimate) FILTER (WHERE estimator = 'Uncorrected') OVER (PARTITION BY marker, cohort), 0) AS ratio FROM ({CORRECTED_FITS})) GROUP BY cohort, estimator)")
+def _(s):
+    return rounded(richness.corrected_summary(corrected_fits(s)), SUMMARY_DIGITS)
+
+
+@query("AGG-32_model_counts", f"SELECT cohort, estimator, default_model AS model, count(*) AS n FROM ({CORRECTED_FITS}) GROUP BY cohort, estimator, default_model")
 def _(s):
-    return richness.fit_models(s.cohort_hist, ("marker", "cohort")).where("model = 'poisson'").groupBy("cohort", "model").agg(F.count("*").alias("n"))
+    return richness.model_counts(corrected_fits(s))
 
 
-@query("AGG-32_selected_models")
+@query("AGG-32_selected_models", f"SELECT cohort, 'default' AS estimator, model, count(*) AS n FROM ({fits.selected('cohort_hist', 'marker, cohort')}) GROUP BY cohort, model")
 def _(s):
     chosen = richness.select_model(richness.fit_models(s.cohort_hist, ("marker", "cohort")), ("marker", "cohort"))
     return chosen.groupBy("cohort", F.lit("default").alias("estimator"), "model").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ import random
 import pytest
 
 import __spark_entry__ as entry
-from cladeflow.operators import clustering
+from cladeflow.operators import cluster_store, clustering, refmatch
 from cladeflow.plans import domain
 
 
@@ -41,12 +41,12 @@ def test_near_pairs(spark):
     assert got == {(i, j): d(ws[i], ws[j]) for i in range(80) for j in range(i + 1, 80) if d(ws[i], ws[j]) <= 2}
 
 
-def test_chains_and_chunks(spark):
+def test_chains_and_chunks(spark, tmp_path):
     rounds = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "c"), ("d", "c")], "member string, rep string")
     assert {r.member: r.rep for r in clustering.resolve_chains(rounds).collect()} == dict.fromkeys("abcd", "c")
     ws = windows(40, 3)
     whole = {r.member: r.rep for r in clustering.cluster(frame(spark, ws)).collect()}
-    parts = {r.member: r.rep for r in clustering.cluster_chunked(frame(spark, ws), 15).collect()}
+    parts = {r.member: r.rep for r in cluster_store.cluster_chunked(frame(spark, ws), 15, str(tmp_path / "c")).collect()}
     assert parts == whole
     assert clustering.cluster(frame(spark, ws).limit(0)).count() == 0
     growing = {r.member: r.rep for r in clustering.cluster(frame(spark, ws), first=4, growth=2).collect()}
@@ -76,3 +76,108 @@ def test_chunked_query_is_whole(spark, tmp_path, monkeypatch):
     whole, parts = (sorted(map(tuple, entry.queries()[n](spark, str(tmp_path)).collect())) for n in ("CLU-01_greedy_clusters", "CLU-03_chunked_clusters"))
     assert len(whole) > 2 * 600
     assert parts == whole
+
+
+def files(folder):
+    return {str(p.relative_to(folder)): (p.stat().st_mtime_ns, p.read_bytes()) for p in folder.rglob("*") if p.is_file() and not p.name.startswith(".")}
+
+
+def test_batches_onto_stored_clusters(spark, tmp_path):
+    """Five batches, the last two in a later run, give the clusters of one run over all windows; what is stored is not written again."""
+    ws, store = windows(120, 5), tmp_path / "store"
+    cuts = [0, 30, 31, 70, 100, 120]
+    whole = {r.member: (r.rep, r.divergence) for r in clustering.cluster(frame(spark, ws)).collect()}
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
+        before = files(store) if n > 1 else {}
+        assert cluster_store.add(frame(spark, ws[a:b]), str(store)) == n  # numbers start at 0 in each batch
+        after = files(store)
+        assert {k: after[k] for k in before} == before
+    got = {r.member: (r.rep, r.divergence) for r in cluster_store.members(spark, str(store)).collect()}
+    assert got == whole
+    ids = [r.id for r in cluster_store.members(spark, str(store)).collect()]
+    assert sorted(ids) == list(range(120))
+    assert cluster_store.centroids(spark, str(store)).count() == len({r for r, _ in whole.values()})
+    # windows that are stored, and none at all, add no batch; other settings are refused
+    assert cluster_store.add(frame(spark, ws[:50]), str(store)) == 5
+    assert cluster_store.add(frame(spark, []), str(store)) == 5
+    with pytest.raises(ValueError, match="divergence"):
+        cluster_store.add(frame(spark, ws[:1]), str(store), max_divergence=3)
+    asked = spark.createDataFrame([("m", ws[7]), ("m", "A" * 60), ("other", ws[7])], "gene string, sequence string")
+    assert {(r.gene, r.sequence): r.rep for r in cluster_store.look_up(asked, str(store)).collect()} == {("m", ws[7]): whole[ws[7]][0], ("m", "A" * 60): None, ("other", ws[7]): None}
+
+
+def chain(n, seed=6):
+    """Windows of which each is two bases from the one before it, and further from all others: every other one is a centroid."""
+    pick = random.Random(seed)
+    w, out = [pick.choice("ACGT") for _ in range(60)], []
+    for i in range(n):
+        out.append("".join(w))
+        for p in (2 * i % 60, (2 * i + 1) % 60):
+            w[p] = pick.choice([c for c in "ACGT" if c != w[p]])
+    return out
+
+
+def test_a_long_chain_takes_no_round(spark, monkeypatch):
+    """10,000 windows each near the next: rounds would be thousands, one walk a marker is enough."""
+    ws = list(dict.fromkeys(chain(10_000)))
+    assert len(ws) == 10_000
+    rounds, real = [], clustering.cut
+    monkeypatch.setattr(clustering, "cut", lambda df: rounds.append(1) or real(df))
+    got = {r.member: r.rep for r in clustering.cluster(frame(spark, ws), first=20_000).collect()}
+    place = {w: i for i, w in enumerate(ws)}
+    far = lambda x, y: sum(p != q for p, q in zip(x, y))
+    assert all(far(ws[i], ws[i + 1]) == 2 for i in range(0, 9_999, 97))
+    # a chain's neighbours only: its rule is known without comparing all pairs
+    alone = [i for i in range(9_999) if got[ws[i]] == ws[i] and got[ws[i + 1]] == ws[i + 1]]
+    assert not alone
+    assert all(abs(place[got[w]] - i) <= 1 or far(got[w], w) <= 2 for i, w in enumerate(ws))
+    assert len(rounds) <= 6
+    short = ws[:400]
+    assert {r.member: r.rep for r in clustering.cluster(frame(spark, short), first=500).collect()} == {w: short[c] for w, c in zip(short, clustering.greedy(short))}
+
+
+@pytest.mark.parametrize("most", (0, 60))
+def test_rounds_where_pairs_are_many(spark, monkeypatch, most):
+    """Rounds until few enough pairs are left for a walk, or none, give the same clusters."""
+    monkeypatch.setattr(clustering, "LOCAL_EDGES", most)
+    ws = windows(150, 8)
+    got = {r.member: r.rep for r in clustering.cluster(frame(spark, ws)).collect()}
+    assert got == {w: ws[c] for w, c in zip(ws, clustering.greedy(ws))}
+
+
+@pytest.mark.parametrize("radii,window", [((2, 4, 8), 60), ((2,), 60), ((4,), 60), ((0, 1, 3), 45), ((5, 9), 90)])
+def test_widening_search(spark, radii, window):
+    """Each query's nearest reference within the last radius, the least id of equals, against all pairs."""
+    pick = random.Random(window + len(radii))
+    refs = ["".join(pick.choice("ACGT") for _ in range(window)) for _ in range(40)]
+    refs += [r[:5] + "N" + r[6:] for r in refs[:5]] + refs[:3]
+    queries = []
+    for _ in range(150):
+        w = list(pick.choice(refs))
+        for p in pick.sample(range(window), pick.randrange(13)):
+            w[p] = pick.choice("ACGTN-")
+        queries.append("".join(w))
+    queries += [queries[0], "A" * window, "ACGT"]
+    q = spark.createDataFrame([("m", f"q{i:03d}", w) for i, w in enumerate(queries)], "gene string, id string, sequence string")
+    r = spark.createDataFrame([("m", f"r{(i * 7) % 48:03d}", w, f"Root; d__D{i}; p__P{i}") for i, w in enumerate(refs)] + [("other", "r", "A" * window, "d__X")], "gene string, id string, sequence string, taxonomy string")
+    ids = {f"r{(i * 7) % 48:03d}": (w, f"Root; d__D{i}; p__P{i}") for i, w in enumerate(refs)}
+    want = {}
+    for i, w in enumerate(queries):
+        w = w.replace("-", "N")
+        near = sorted((sum(x != y for x, y in zip(w, s)), k) for k, (s, _) in ids.items()) if len(w) == window else []
+        near = [x for x in near if x[0] <= radii[-1]]
+        want[f"q{i:03d}"] = (*near[0], ids[near[0][1]][1], "matched") if near else (None, None, None, f"none_within_{radii[-1]}" if len(w) == window else "other_length")
+    got = {x.query: (x.divergence, x.ref_id, x.taxonomy, x.status) for x in refmatch.nearest_widening(q, r, radii, window).collect()}
+    assert got == want
+    assert {x[3] for x in want.values()} == {"matched", f"none_within_{radii[-1]}", "other_length"}
+    taxa = {x.id: (x.domain, x.phylum) for x in refmatch.assign_taxonomy(q, r, radii, window).collect()}
+    assert taxa == {k: (None, None) if v[2] is None else tuple(v[2].split("; ")[1:]) for k, v in want.items()}
+    assert refmatch.nearest_widening(q.limit(0), r, radii, window).count() == 0
+    assert {x.status for x in refmatch.nearest_widening(q, r.limit(0), radii, window).collect()} == {f"none_within_{radii[-1]}", "other_length"}
+
+
+def test_radii_must_grow(spark):
+    q = frame(spark, ["A" * 60]).withColumnRenamed("seq_num", "id")
+    for radii in ((), (4, 2), (2, 2), (-1,)):
+        with pytest.raises(ValueError):
+            refmatch.nearest_widening(q, q, radii)
