@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,7 +69,7 @@ def taxonomy_histogram(reps: DataFrame) -> DataFrame:
 
 
 def merge(*histograms: DataFrame) -> DataFrame:
-    """AGG-11: histograms of parts, added up."""
+    """AGG-11: histograms of parts, added up. Right for parts that share no representative, see `check_disjoint`; `sample_sets` merges others."""
     whole = histograms[0]
     for h in histograms[1:]:
         whole = whole.unionByName(h)
@@ -75,6 +77,14 @@ def merge(*histograms: DataFrame) -> DataFrame:
     return whole.groupBy(*keys).agg(F.sum("species_count").cast("bigint").alias("species_count"))
 
 
+def check_disjoint(*representatives: DataFrame) -> None:
+    """AGG-11: raises if parts share a representative, so that their histograms can't be added up; each part: (gene, rep)."""
+    rows = reduce(DataFrame.unionByName, [r.select("gene", "rep", F.lit(k).alias("part")) for k, r in enumerate(representatives)])
+    shared = rows.groupBy("gene", "rep").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").take(5)
+    if shared:
+        raise ValueError(f"parts share representatives: {[(r.gene, r.rep, r.a, r.b) for r in shared]}")
+
+
 def summarise(all_samples: DataFrame, strata: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """One table of all histograms, with the stratum `all` for all samples."""
     top = all_samples.select("gene", F.lit("all").alias("stratum"), F.lit("all").alias("stratum_value"), "sample_count", "species_count")

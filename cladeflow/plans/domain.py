@@ -62,8 +62,10 @@ def _(s):
 
 @query("RSH-07_nested_files", "SELECT c_custkey AS id, concat('SRR', CAST(c_custkey AS STRING)) AS sample, c_acctbal FROM customer")
 def _(s):
-    path = F.expr("concat('/b/SRR', CAST(c_custkey AS STRING), '.txt')")
-    return s.table("customer").select(F.col("c_custkey").alias("id"), F.regexp_extract(path, r"([^/.]+)[^/]*$", 1).alias("sample"), "c_acctbal")
+    # a frame a customer nested in its row, as files read one by one are, and unnested again
+    rows = s.table("customer").select(F.expr("concat('/b/SRR', CAST(c_custkey AS STRING), '.txt')").alias("path"), F.struct(F.col("c_custkey").alias("id"), "c_acctbal").alias("row"))
+    nested = rows.groupBy("path").agg(F.collect_list("row").alias("data"))
+    return nested.select(F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("sample"), F.inline("data")).select("id", "sample", "c_acctbal")
 
 
 @query("RSH-08_codon_rows", "SELECT gene, i, rc, mc, count(*) AS n FROM (SELECT gene, CAST(i AS INT) AS i, rc, mc FROM codons) GROUP BY ALL")
@@ -87,9 +89,12 @@ def _(s):
 # ---- domain ----
 
 
-@query("DOM-01_expected_table", "SELECT rep_codon, round(syn9 / 9.0::DOUBLE, 9) AS exp_syn, round(nonsyn9 / 9.0::DOUBLE, 9) AS exp_nonsyn, round(stop9 / 9.0::DOUBLE, 9) AS exp_stop FROM expected")
+@query("DOM-01_expected_table", "SELECT rep_codon, n, round(syn9 / 9.0::DOUBLE, 9) AS exp_syn, round(nonsyn9 / 9.0::DOUBLE, 9) AS exp_nonsyn, round(stop9 / 9.0::DOUBLE, 9) AS exp_stop FROM expected JOIN (SELECT substr(sequence, CAST(3 * i + 1 AS INT), 3) AS rep_codon, count(*) AS n FROM counts, range(20) t(i) WHERE length(sequence) = 60 GROUP BY 1) USING (rep_codon)")
 def _(s):
-    return C.expected_table(s.spark).select("rep_codon", *[F.round(c, 9).alias(c) for c in ("exp_syn", "exp_nonsyn", "exp_stop")])
+    # the expectations of the codons of all windows, with how often each occurs
+    seen = s.counts.where(F.length("sequence") == 60).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.substring("sequence", 3 * i + 1, F.lit(3)))).alias("rep_codon"))
+    expected = C.expected_table(s.spark).select("rep_codon", *[F.round(c, 9).alias(c) for c in ("exp_syn", "exp_nonsyn", "exp_stop")])
+    return seen.groupBy("rep_codon").agg(F.count("*").alias("n")).join(F.broadcast(expected), "rep_codon")
 
 
 @query("DOM-02_signature", "SELECT gene, f_class, single_read, parent_class, n_pairs, n_pairs_ambiguous, n_single_nt, pos1, pos2, pos3, syn, nonsyn, stop, round(exp_syn, 9) AS exp_syn, round(exp_nonsyn, 9) AS exp_nonsyn, round(exp_stop, 9) AS exp_stop, transitions, n_codons_multi_nt FROM sig")
@@ -230,7 +235,23 @@ def _(s):
 CHUNK, BATCHES = 2_000_000, 4
 
 
-@query("CLU-01_greedy_clusters")
+def greedy_sql(windows: str) -> str:
+    """The rule one window at a time: the centroids so far are kept a marker. windows: SELECT gene, seq_num, sequence."""
+    return f"""SELECT gene, member, rep, divergence FROM (
+  WITH RECURSIVE w AS MATERIALIZED (SELECT gene, seq_num AS n, sequence AS member, translate(sequence, '-', 'N') AS s FROM ({windows})),
+  c(gene, n, found) USING KEY (gene) AS (
+    SELECT DISTINCT gene, -1::BIGINT, CAST([] AS STRUCT(n BIGINT, s VARCHAR)[]) FROM w
+    UNION
+    SELECT c.gene, w.n, CASE WHEN list_bool_or([hamming(x.s, w.s) <= 2 for x in c.found]) THEN c.found ELSE list_append(c.found, {{'n': w.n, 's': w.s}}) END FROM c JOIN w ON w.gene = c.gene AND w.n = c.n + 1),
+  r AS MATERIALIZED (SELECT gene, unnest(found, recursive := true) FROM c)
+  SELECT w.gene, w.member, r.s AS rep, CAST(hamming(w.s, r.s) AS INT) AS divergence, row_number() OVER (PARTITION BY w.gene, w.n ORDER BY hamming(w.s, r.s), r.n) AS p
+  FROM w JOIN r ON r.gene = w.gene AND r.n <= w.n AND hamming(w.s, r.s) <= 2) WHERE p = 1"""
+
+
+GREEDY = greedy_sql("SELECT gene, seq_num, sequence FROM dedup")
+
+
+@query("CLU-01_greedy_clusters", GREEDY)
 def _(s):
     return clustering.cluster(s.dedup.select("gene", "seq_num", "sequence"))
 
@@ -241,7 +262,7 @@ def _(s):
     return clustering.near_pairs(rows, rows).where("a < b").select("gene", "a", "b", F.col("divergence").cast("int").alias("divergence"))
 
 
-@query("CLU-03_chunked_clusters")
+@query("CLU-03_chunked_clusters", GREEDY)
 def _(s):
     # batches come one after the other, each onto the stored centroids of those before it
     n = (s.dedup.agg(F.max("seq_num")).first()[0] or 0) + 1
@@ -256,7 +277,10 @@ def _(s):
     return clustering.resolve_chains(rounds)
 
 
-@query("CLU-05_reference_clusters")
+SPECIES_WINDOWS = f"SELECT gene, row_number() OVER (PARTITION BY gene ORDER BY sequence) - 1 AS seq_num, sequence FROM (SELECT DISTINCT marker AS gene, sequence FROM ({LEAST}))"
+
+
+@query("CLU-05_reference_clusters", f"SELECT gene, count(*) AS n_species_windows, count(DISTINCT rep) AS n_clusters FROM ({greedy_sql(SPECIES_WINDOWS)}) GROUP BY gene")
 def _(s):
     r = distances.species_representative(distances.species_windows(s.ref_windows)).select(F.col("marker").alias("gene"), "sequence").distinct()
     ordered = numbered(r, ["sequence"], ("gene",), "seq_num", 0)

@@ -294,9 +294,11 @@ def _(s):
     return s.otu.groupBy(S.domain_of("taxonomy").alias("domain")).agg(F.count("*").alias("n"))
 
 
-@query("FIL-03_universal_markers", f"SELECT gene FROM ({MARKER_DOMAINS}) WHERE list_has_all(domains, ['Bacteria', 'Archaea'])")
+@query("FIL-03_universal_markers", f"SELECT concat(gene, '/', regexp_extract(taxonomy, 'p__[A-Za-z0-9]+')) AS gene FROM otu_hits GROUP BY 1 HAVING list_has_all(list(DISTINCT {DOMAIN}), ['Bacteria', 'Archaea'])")
 def _(s):
-    return collate.universal_markers(marker_domains(s), requested=["S3.1.synthetic_marker", "S3.2.synthetic_marker"])
+    # each marker of each phylum, with the domains of its windows
+    seen = s.otu.select(F.concat_ws("/", "gene", S.taxonomy_token("taxonomy", "p__")).alias("gene"), S.domain_of("taxonomy").alias("domain")).distinct()
+    return collate.universal_markers(seen.groupBy("gene").agg(F.collect_set("domain").alias("domains")))
 
 
 @query("FIL-04_drop_empty", "SELECT sample, gene, otu_idx, sequence FROM (SELECT sample, gene, CASE WHEN num_hits % 7 = 0 THEN '-' ELSE sequence END AS sequence, row_number() OVER (PARTITION BY sample, gene ORDER BY CASE WHEN taxonomy_assignment_method = 'singlem_query_based' THEN 0 ELSE 1 END, num_hits DESC, CASE WHEN num_hits % 7 = 0 THEN '-' ELSE sequence END, taxonomy) - 1 AS otu_idx FROM otu_hits) WHERE sequence <> '-'")
@@ -448,9 +450,12 @@ def _(s):
     return dedup_headers(s).groupBy(S.header_map("header")["hits"].alias("hits")).agg(F.count("*").alias("n"))
 
 
-@query("FN-05_translate_codon", "SELECT codon, aa FROM code")
+@query("FN-05_translate_codon", "SELECT gene, codon, aa, count(*) AS n FROM (SELECT gene, substr(sequence, CAST(3 * i + 1 AS INT), 3) AS codon FROM counts, range(20) t(i) WHERE length(sequence) = 60) LEFT JOIN code USING (codon) GROUP BY ALL")
 def _(s):
-    return s.spark.createDataFrame([(c,) for c in C.CODE], "codon string").select("codon", C.translate_codon("codon").alias("aa"))
+    # every codon of every window; one with an unknown base has no amino acid
+    codons = F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.substring("sequence", 3 * i + 1, F.lit(3)))).alias("codon")
+    rows = s.counts.where(F.length("sequence") == 60).select("gene", codons)
+    return rows.groupBy("gene", "codon").agg(F.count("*").alias("n")).select("gene", "codon", C.translate_codon("codon").alias("aa"), "n")
 
 
 @query("FN-06_diff_position", "SELECT DISTINCT rc, mc, CASE WHEN substr(rc, 1, 1) <> substr(mc, 1, 1) THEN 1 WHEN substr(rc, 2, 1) <> substr(mc, 2, 1) THEN 2 ELSE 3 END AS pos FROM codons")

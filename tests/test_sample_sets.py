@@ -36,6 +36,14 @@ def test_overlapping_parts_merge_to_the_whole(spark):
     assert Counter(map(tuple, sample_sets.merge_sets(sets[0], sets[0]).collect())) == Counter(map(tuple, sets[0].collect()))
 
 
+def test_parts_that_share_representatives_are_told(spark):
+    a, b, c = (spark.createDataFrame(x, "gene string, rep string") for x in ([("g", "1"), ("g", "1")], [("g", "2"), ("h", "1")], [("h", "1")]))
+    strata.check_disjoint(a, b)
+    strata.check_disjoint(a, a.limit(0))
+    with pytest.raises(ValueError, match="h.*1"):
+        strata.check_disjoint(a, b, c)
+
+
 def test_numbers_stay(spark):
     first = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "sample string")
     known = sample_sets.number_samples(first)
