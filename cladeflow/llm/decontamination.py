@@ -2,9 +2,10 @@
 
 Of every document the minimum k-gram hash of each sliding window of w k-grams is kept as a fingerprint.
 With k + w - 1 = 10 words, every shared span of 10 words holds a fingerprint that the benchmark has too.
-Fingerprints are looked up in the benchmark's index of all its k-grams, and each hit is extended word by word
-around its anchor, so hits are exact. Items of fewer than 10 words are one window each and are looked up
-by their own length, with the same index and extension.
+Fingerprints are looked up among all k-grams of the benchmark, and each hit is extended to the windows of 10 words
+that hold it: these are looked up among the benchmark's distinct windows and compared with them word by word, so hits are
+exact. A window that occurs in many places, there or here, is looked up once for each of its places in the document and
+never for pairs of places. Items of fewer than 10 words are one window each and are looked up by their own length.
 
 The benchmark's index is sent to the workers in blocks of a checked size (`block_words`). A larger benchmark
 makes more blocks, each a narrow pass over the documents that adds to the marks so far, with the lineage cut
@@ -42,103 +43,107 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k consecutive word ids."""
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+def gram_hashes(ids: np.ndarray, k: int, starts: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """A hash of the k word ids from each start on, by default from every one that has as many."""
+    starts = np.arange(max(0, len(ids) - k + 1)) if starts is None else starts
+    h = np.full(len(starts), seed, np.uint64)
     for i in range(k):
-        h = mix64(h ^ (ids[i : i + n].astype(np.uint64) + np.uint64(i + 1)))
+        h = mix64(h ^ (ids[starts + i].astype(np.uint64) + np.uint64(i + 1)))
     return h
 
 
+class Windows:
+    """The distinct windows of one length of a block of the benchmark, by hash, and the items of each."""
+
+    def __init__(self, n: int, flat: np.ndarray, starts: np.ndarray, items: np.ndarray):
+        self.n, self.flat, self.seed = n, flat, 0
+        while True:
+            h = gram_hashes(flat, n, starts, self.seed)
+            order = np.lexsort((items, h))
+            h, at, item = h[order], starts[order], items[order]
+            again = h[1:] == h[:-1]
+            if all(np.array_equal(flat[at[1:][again] + i], flat[at[:-1][again] + i]) for i in range(n)):
+                break
+            self.seed += 1  # different windows share a hash
+        first = np.r_[True, ~again]
+        self.hashes, self.place = h[first], at[first]
+        # each window's items, every one once
+        new = first | np.r_[True, item[1:] != item[:-1]]
+        self.items, self.edges = item[new], np.r_[np.flatnonzero(first[new]), new.sum()]
+
+    def mark(self, ids: np.ndarray, starts: np.ndarray, edges: np.ndarray, found: set[int]) -> None:
+        """Looks up the windows of a document from these starts on; adds the places where found ones begin (1) and have ended (-1)."""
+        h = gram_hashes(ids, self.n, starts, self.seed)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        same = self.hashes[at] == h
+        starts, at = starts[same], at[same]
+        equal = np.ones(len(starts), bool)
+        for i in range(self.n):
+            equal &= ids[starts + i] == self.flat[self.place[at] + i]
+        starts = starts[equal]
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + self.n, -1)
+        for w in np.unique(at[equal]).tolist():
+            found.update(self.items[self.edges[w] : self.edges[w + 1]].tolist())
+
+
 class Index:
-    """A block of the benchmark: word ids, and where each k-gram hash occurs."""
+    """A block of the benchmark: word ids, its distinct windows by length, and the k-grams of the long ones."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW_WORDS, k: int = K):
         self.window, self.k = window, k
         self.vocabulary: dict[bytes, int] = {}
-        self.items, self.names = [], [i for i, _ in items]
-        grams: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for name, (_, text) in enumerate(items):
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int64)
-            self.items.append(ids)
-            length = k if len(ids) >= window else len(ids)
-            if length:
-                grams.setdefault(len(ids) if len(ids) < window else 0, []).append((gram_hashes(ids, length), name))
-        #: span length (0: the full window) -> sorted hashes with item and place
-        self.grams = {}
-        for span, parts in grams.items():
-            h = np.concatenate([p for p, _ in parts])
-            item = np.concatenate([np.full(len(p), i, np.int64) for p, i in parts])
-            place = np.concatenate([np.arange(len(p)) for p, _ in parts])
-            order = np.argsort(h, kind="stable")
-            self.grams[span] = (h[order], item[order], place[order])
+        self.names = [i for i, _ in items]
+        words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int64) for _, text in items]
+        sizes = np.array([len(x) for x in words], np.int64)
+        flat, begin = np.concatenate([*words, np.empty(0, np.int64)]), np.cumsum(sizes) - sizes
+        starts: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for item, (n, a) in enumerate(zip(sizes.tolist(), begin.tolist())):
+            if n:
+                length = min(n, window)
+                starts.setdefault(length, []).append((np.arange(a, a + n - length + 1), item))
+        self.windows = {
+            n: Windows(n, flat, np.concatenate([p for p, _ in parts]), np.concatenate([np.full(len(p), i, np.int64) for p, i in parts])) for n, parts in starts.items()
+        }
+        long = [gram_hashes(x, k) for x in words if len(x) >= window]
+        self.grams = np.unique(np.concatenate(long)) if long else np.empty(0, np.uint64)
 
     def ids_of(self, words: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in words], np.int64)
 
-    def _looked_up(self, span: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table = self.grams[span][0]
-        return np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-
     def match(self, ids: np.ndarray, hit: np.ndarray) -> set[int]:
         """Marks hit words of a document; returns the items with occurring windows."""
         found: set[int] = set()
         known = ids >= 0
         if not known.any():
             return found
-        for span in self.grams:
-            if span == 0:
-                self._match_windows(ids, known, hit, found)
-            else:
-                self._match_short(span, ids, hit, found)
+        edges = np.zeros(len(ids) + 1, np.int64)
+        for n, windows in self.windows.items():
+            starts = self._near_fingerprints(ids, known) if n == self.window else np.arange(max(0, len(ids) - n + 1))
+            if len(starts):
+                windows.mark(ids, starts, edges, found)
+        hit |= np.cumsum(edges[:-1]) > 0
         return found
 
-    def _match_short(self, n: int, ids: np.ndarray, hit: np.ndarray, found: set[int]) -> None:
-        if len(ids) < n:
-            return
-        h = gram_hashes(ids, n)
-        lo, hi = self._looked_up(n, h)
-        _, items, _ = self.grams[n]
-        for p in np.flatnonzero(hi > lo):
-            for item in items[lo[p] : hi[p]]:
-                if np.array_equal(self.items[item], ids[p : p + n]):
-                    hit[p : p + n] = True
-                    found.add(int(item))
-
-    def _match_windows(self, ids: np.ndarray, known: np.ndarray, hit: np.ndarray, found: set[int]) -> None:
+    def _near_fingerprints(self, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The starts of windows that hold a fingerprint of the document that the benchmark has."""
         k, window = self.k, self.window
         w = window - k + 1
-        if len(ids) < window:
-            return
+        near = np.zeros(len(ids) + 1, np.int64)
         # only stretches of benchmark words can hold a window
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], known.view(np.int8), [0]))))
-        for a, b in zip(edges[::2], edges[1::2]):
+        stretches = np.flatnonzero(np.diff(np.concatenate(([0], known.view(np.int8), [0]))))
+        for a, b in zip(stretches[::2], stretches[1::2]):
             if b - a < window:
                 continue
             h = gram_hashes(ids[a:b], k)
-            windows = np.lib.stride_tricks.sliding_window_view(h, w)
-            kept = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-            lo, hi = self._looked_up(0, h[kept])
-            _, items, places = self.grams[0]
-            for p, x, y in zip((kept + a).tolist(), lo.tolist(), hi.tolist()):
-                for item, q in zip(items[x:y].tolist(), places[x:y].tolist()):
-                    self._extend(ids, p, self.items[item], q, item, hit, found)
-
-    def _extend(self, ids: np.ndarray, p: int, own: np.ndarray, q: int, item: int, hit: np.ndarray, found: set[int]) -> None:
-        """Extends a shared k-gram at p and q by up to a window's words each way; marks it if it has a whole window."""
-        left = min(p, q, self.window)
-        a = ids[p - left : p][::-1] == own[q - left : q][::-1]
-        left = left if a.all() else int(a.argmin())
-        right = min(len(ids) - p, len(own) - q, self.window + self.k)
-        b = ids[p : p + right] == own[q : q + right]
-        right = right if b.all() else int(b.argmin())
-        if left + right >= self.window:
-            hit[p - left : p + right] = True
-            found.add(item)
+            views = np.lib.stride_tricks.sliding_window_view(h, w)
+            kept = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+            at = np.minimum(np.searchsorted(self.grams, h[kept]), len(self.grams) - 1)
+            places = kept[self.grams[at] == h[kept]] + a
+            np.add.at(near, np.maximum(places - (window - k), a), 1)
+            np.add.at(near, np.minimum(places, b - window) + 1, -1)
+        return np.flatnonzero(np.cumsum(near[:-1]) > 0)
 
 
 def _runs(hit: np.ndarray) -> list[int]:

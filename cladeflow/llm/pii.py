@@ -80,8 +80,8 @@ _RUN = re.compile(r"([dxX])\1{4,}")
 _GROUP = re.compile("[0-9]+")
 _TRIM = "\"'.,;:!?#*%&$<>[]{}|"
 CACHE = 200_000
-#: Characters of the longest word that is looked at before a token.
-LOOK = 14
+#: Words before a token of more characters are features by their digests, so that what is kept of them is short.
+LONG = 32
 
 
 def shape(token: str) -> str:
@@ -110,15 +110,17 @@ def run_features(tokens: list[str]) -> list[list[str]]:
 
 
 def word_before(text: str, at: int) -> str:
-    """The word before a place, in lower case without marks, if it is one of up to LOOK characters and letters alone."""
+    """The word before a place, past any white space, in lower case without marks, if it is letters alone; a long one by its digest."""
     end = at
-    while end and text[end - 1] in WHITE and at - end < 4:
+    while end and text[end - 1] in WHITE:
         end -= 1
     start = end
-    while start and text[start - 1] not in WHITE and end - start <= LOOK:
+    while start and text[start - 1] not in WHITE:
         start -= 1
     word = text[start:end].strip(_TRIM).lower()
-    return word if len(word) <= LOOK and word.isalpha() else ""
+    if not word.isalpha():
+        return ""
+    return word if len(word) <= LONG else hashlib.md5(word.encode()).hexdigest()
 
 
 # ---- the labelled table: formats (digits as #) and the words before them, in four languages ----

@@ -38,6 +38,8 @@ _BLOCKS = frozenset("p div br h1 h2 h3 h4 h5 h6 li ul ol tr table nav article se
 _TITLE = re.compile(r"<title[^>]*+(?:>(.*?)(?:(</title)|\Z)|\Z)", re.S | re.I)
 _HTML, _LANG = re.compile(r"<html[^>]*+", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _ANCHOR, _HREF = re.compile(r"<a\b[^>]*+", re.I), re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+SNIFF = 1024
+_META = re.compile(rb"<meta\b[^>]*+", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
@@ -49,8 +51,10 @@ def plain_text(page: str) -> str:
 
 
 def decoded(payload: bytes, content_type: str = "") -> str:
-    """A payload as text, by the charset of its content type or else of its first 1024 bytes, as browsers look for it."""
-    named = _CHARSET.search(content_type) or _CHARSET.search(payload[:1024].decode("ascii", "replace"))
+    """A payload as text, by the charset of its content type, or else of its first SNIFF bytes, where browsers look for it, or else of a meta tag anywhere."""
+    named = _CHARSET.search(content_type) or _CHARSET.search(payload[:SNIFF].decode("ascii", "replace"))
+    if not named:
+        named = next((m for tag in _META.finditer(payload) if (m := _CHARSET.search(tag[0].decode("ascii", "replace")))), None)
     try:
         return payload.decode(named[1] if named else "utf-8")
     except (LookupError, UnicodeDecodeError):
