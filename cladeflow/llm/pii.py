@@ -80,8 +80,6 @@ _RUN = re.compile(r"([dxX])\1{4,}")
 _GROUP = re.compile("[0-9]+")
 _TRIM = "\"'.,;:!?#*%&$<>[]{}|"
 CACHE = 200_000
-#: Words before a token of more characters are features by their digests, so that what is kept of them is short.
-LONG = 32
 
 
 def shape(token: str) -> str:
@@ -109,8 +107,12 @@ def run_features(tokens: list[str]) -> list[list[str]]:
     ]
 
 
-def word_before(text: str, at: int) -> str:
-    """The word before a place, past any white space, in lower case without marks, if it is letters alone; a long one by its digest."""
+def word_before(text: str, at: int, longest: int | None = None) -> str:
+    """The word before a place, past any white space, in lower case without marks, if it is letters alone.
+
+    longest: of the words that the field has weights for, by default of the labelled table; a longer word is known to have none.
+    """
+    longest = LONGEST if longest is None else longest
     end = at
     while end and text[end - 1] in WHITE:
         end -= 1
@@ -118,9 +120,7 @@ def word_before(text: str, at: int) -> str:
     while start and text[start - 1] not in WHITE:
         start -= 1
     word = text[start:end].strip(_TRIM).lower()
-    if not word.isalpha():
-        return ""
-    return word if len(word) <= LONG else hashlib.md5(word.encode()).hexdigest()
+    return word if len(word) <= longest and word.isalpha() else ""
 
 
 # ---- the labelled table: formats (digits as #) and the words before them, in four languages ----
@@ -149,6 +149,7 @@ WORDS_BEFORE: dict[str, tuple[str, ...]] = {
     "email": ("mail", "email", "write", "contact", "to", "from", "schreiben", "courriel", "écrire", "correo", "escriba", "kontakt", "contacto", "at"),
     "": ("in", "page", "chapter", "version", "the", "of", "about", "year", "seite", "jahr", "page", "année", "año", "página", "und", "et", "y", "and", "total", "order", "isbn", "at", "to", "from", "with", "number"),
 }
+LONGEST = max(len(w) for words in WORDS_BEFORE.values() for w in words)
 #: Each HELD-th format of a kind is held out in tests.
 HELD = 4
 
@@ -178,6 +179,7 @@ class Field:
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.names, self.emit, self.move = names, emit, move
+        self.longest = max((len(f) - len("before=") for f in names if f.startswith("before=")), default=0)
         self.cache: dict[str | bytes, np.ndarray] = {}  # long shapes by their hash
 
     def emission(self, token: str, before: str = "") -> np.ndarray:
@@ -311,7 +313,7 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[int, int, int
             lengths.append(len(run))
             owner += [i] * len(run)
             tokens += run
-            emissions += field.run_emissions([text[a:b] for a, b in run], word_before(text, run[0][0]))
+            emissions += field.run_emissions([text[a:b] for a, b in run], word_before(text, run[0][0], field.longest))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not tokens:
         return out

@@ -4,6 +4,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from cladeflow.llm import decontamination, pii, warc
@@ -38,13 +39,17 @@ def test_one_word_over_and_over(spark):
 
 
 def test_the_word_before_is_whole():
-    """Past any white space, at any length: a long word is its digest, and words that differ at their ends differ."""
+    """Past any white space; a word of any length is taken whole if the field has weights for words as long, and is one without weights if not."""
     long = "a" * 60
     assert pii.word_before("Call" + " \n" * 40 + "555", 84) == "call"
-    one, other = (pii.word_before(f"x {long}{c} 5", 64) for c in "bc")
-    assert one and other and one != other and len(one) <= pii.LONG
+    assert pii.word_before(f"x {long} 5", 63) == "" and pii.word_before(f"x {long} 5", 63, 60) == long
     assert pii.word_before("Kreditkarte: 4539", 13) == "kreditkarte"
     assert pii.word_before("a1 5", 3) == pii.word_before("   5", 3) == pii.word_before("5", 0) == ""
+    rows = pii.labelled_table()
+    field = pii.train(rows)
+    assert 0 < field.longest <= pii.LONGEST
+    far = pii.train([(s, p, long if w == "call" else w, t, y) for s, p, w, t, y in rows])
+    assert far.longest == 60 and not np.array_equal(far.emission("555-0199", long), far.emission("555-0199", long[:-1]))
 
 
 def test_a_charset_declared_late():
