@@ -8,6 +8,7 @@ is that of one run over all windows in the order in which they came.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,32 @@ def add(unique: DataFrame, path: str, max_divergence: int = 2, window: int = 60)
     return len(facts["batches"]) + 1
 
 
+def compact(spark: SparkSession, path: str) -> None:
+    """The batches' files as one batch, for stores of very many; readers that began before keep the old files until `sweep`."""
+    now = publish.current(spark, path)
+    if now is None or len(now.facts["batches"]) < 2:
+        return
+    name = uuid.uuid4().hex
+    part = {"members": f"members/{name}", "centroids": f"centroids/{name}"}
+    for what, rows in (("members", members(spark, path)), ("centroids", centroids(spark, path))):
+        rows.repartitionByRange("gene", "id").sortWithinPartitions("gene", "id").write.parquet(f"{path.rstrip('/')}/{part[what]}")
+    publish.commit(spark, path, now.number, {**now.facts, "batches": [part]})
+
+
+def sweep(spark: SparkSession, path: str, grace_seconds: float = 86_400) -> int:
+    """Delete files of no batch of the store as it is now, of compactions and failed writers, once they are older than the grace. How many folders went."""
+    now = publish.current(spark, path)
+    kept = {p[what] for p in (now.facts["batches"] if now else []) for what in ("members", "centroids")}
+    before, gone = (time.time() - grace_seconds) * 1000, 0
+    for what in ("members", "centroids"):
+        fs, folder = publish.file_system(spark, f"{path.rstrip('/')}/{what}")
+        for x in fs.listStatus(folder) if fs.exists(folder) else []:
+            if f"{what}/{x.getPath().getName()}" not in kept and x.getModificationTime() <= before:
+                fs.delete(x.getPath(), True)
+                gone += 1
+    return gone
+
+
 def look_up(windows: DataFrame, path: str) -> DataFrame:
     """JOIN-07: (gene, sequence) rows with the stored representative of their gap-normalised sequence; null if there is none."""
     known = members(windows.sparkSession, path).select("gene", normalise_gaps("member").alias("__key"), "rep").distinct()

@@ -27,8 +27,8 @@ from ..sources.shared import cut
 
 #: Sequence numbers a marker in the first chunk, and how many times as many each next one has.
 FIRST, GROWTH = 4096, 4
-#: Near pairs of a marker, in a chunk, that one task walks at most (16 bytes each).
-LOCAL_EDGES = 5_000_000
+#: Near pairs of a marker, in a chunk, that one task walks at most (about 120 bytes each while it does).
+LOCAL_EDGES = 2_000_000
 
 
 def _edges(max_divergence: int, window: int) -> list[int]:
@@ -91,6 +91,17 @@ def near_pairs(left: DataFrame, right: DataFrame, max_divergence: int = 2, windo
     return near.select("gene", "a", "b", divergence.alias("divergence"))
 
 
+def bucket_sizes(rows: DataFrame, max_divergence: int = 2, window: int = 60) -> DataFrame:
+    """CLU-02: what `near_pairs` of rows with themselves will meet: of each marker and pair of blocks the buckets, the largest of them, and the pairs to compare.
+
+    Windows of low complexity share a bucket; their number is what to look at before a large run.
+    """
+    keys = rows.where(F.length("sequence") == window).select("gene", F.explode(_keys(max_divergence, window)).alias("x"))
+    sizes = keys.groupBy("gene", "x.combo", "x.part").agg(F.count("*").alias("n"))
+    pairs = F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("bigint"))
+    return sizes.groupBy("gene", "combo").agg(F.count("*").alias("n_buckets"), F.max("n").alias("largest"), pairs.alias("candidate_pairs"))
+
+
 def _walk(edges: pa.Table) -> pa.Table:
     """Of a marker's pairs (a before b) those b that an earlier centroid reaches."""
     a, b = (edges.column(c).to_numpy() for c in ("a", "b"))

@@ -92,9 +92,14 @@ def nearest_widening(queries: DataFrame, reference: DataFrame, radii: tuple[int,
     # equal windows are searched, and found, once
     asked = cut(q.where(F.length("sequence") == window).groupBy("gene", "sequence").agg(F.min("id").alias("id")))
     known = cut(reference.select("gene", "id", normalise_gaps("sequence").alias("sequence")).where(F.length("sequence") == window).groupBy("gene", "sequence").agg(F.min("id").alias("id")))
-    open_, found = asked, []
+    open_, found, n_known = asked, [], known.count()
     for radius in radii:
-        pairs = (near_pairs if radius <= 2 else far_pairs)(open_, known, radius, window)
+        if radius <= 2:
+            pairs = near_pairs(open_, known, radius, window)
+        elif open_.count() <= n_known:
+            pairs = far_pairs(open_, known, radius, window)
+        else:  # the smaller side is looked up with all its variants
+            pairs = far_pairs(known, open_, radius, window).select("gene", F.col("b").alias("a"), F.col("a").alias("b"), "divergence")
         best = cut(pairs.groupBy("gene", F.col("a").alias("id")).agg(F.min(F.struct("divergence", "b")).alias("m")))
         found.append(best)
         open_ = cut(open_.join(best, ["gene", "id"], "left_anti"))

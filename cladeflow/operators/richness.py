@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp01, lchoose
+from ..sources.shared import if_small
 
 CUTOFF = 10
 STEPS = 300
@@ -19,7 +20,7 @@ def rarefaction(histogram: DataFrame, cohorts: DataFrame, keys: tuple[str, ...]
     histogram: keys, cohort, sample_count, species_count; cohorts: (cohort, n_samples), a row a cohort.
     """
     parts = F.explode(F.transform(F.sequence(F.lit(1), F.lit(fractions)), lambda i: i / F.lit(fractions)))
-    rows = histogram.join(F.broadcast(cohorts), "cohort").select("*", parts.alias("fraction"))
+    rows = histogram.join(if_small(cohorts), "cohort").select("*", parts.alias("fraction"))
     big, k = F.col("n_samples"), F.col("sample_count")
     # the ceiling of a product that floating point puts just above a whole number
     n = F.ceil(F.round(big * F.col("fraction"), 9))
@@ -204,7 +205,7 @@ def corrected_histogram(histogram: DataFrame, single_read: DataFrame, errors: Da
     """
     each = errors.select(*keys, "estimator", "error_fraction", clamp01("error_fraction").alias("pi"))
     none = errors.select(*keys).distinct().select(*keys, F.lit("Uncorrected").alias("estimator"), F.lit(0.0).alias("error_fraction"), F.lit(0.0).alias("pi"))
-    rows = histogram.join(F.broadcast(each.unionByName(none)), list(keys)).join(F.broadcast(single_read.select(*keys, "n_single_read_clusters")), list(keys))
+    rows = histogram.join(if_small(each.unionByName(none)), list(keys)).join(if_small(single_read.select(*keys, "n_single_read_clusters")), list(keys))
     f, share = F.col("species_count"), F.bround(F.col("pi") * F.col("n_single_read_clusters"))
     removed = F.when(F.col("sample_count") != 1, 0).when(share.isNotNull(), F.least(share, f)).cast("bigint")
     return rows.select(

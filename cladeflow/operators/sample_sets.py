@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import if_small
 from .numbering import numbered
 from .strata import HUMAN, valid_year
 
@@ -85,7 +86,8 @@ def strata_sets(metadata: DataFrame, numbers: DataFrame, human: str = HUMAN) ->
 
 def histogram(sets: DataFrame, strata: DataFrame) -> DataFrame:
     """AGG-08, AGG-09: representatives by how many samples of each stratum they are in; those in none are left out."""
-    masks = strata.withColumnRenamed("bits", "mask")
+    # a word may be in most sets, so the masks, which are few, go to the sets where a count allows it
+    masks = if_small(strata.withColumnRenamed("bits", "mask"))
     shared = sets.join(masks, "word").select("gene", "rep", "stratum", "stratum_value", F.bit_count(F.col("bits").bitwiseAND(F.col("mask"))).alias("n")).where("n > 0")
     per = shared.groupBy("gene", "rep", "stratum", "stratum_value").agg(F.sum("n").cast("bigint").alias("sample_count"))
     return per.groupBy("gene", "stratum", "stratum_value", "sample_count").agg(F.count("*").alias("species_count"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codons as C
 from ..functions import scalars as S
-from ..operators import cluster_store, clusterstats, clustering, distances, estimates, refmatch, report, richness
+from ..operators import cluster_store, clusterstats, clustering, distances, estimates, refmatch, report, richness, strata
 from ..operators.numbering import numbered
 from ..sources import logs
 from . import fits
@@ -262,6 +262,14 @@ def _(s):
     return clustering.near_pairs(rows, rows).where("a < b").select("gene", "a", "b", F.col("divergence").cast("int").alias("divergence"))
 
 
+BLOCKS = ", ".join(f"substr(sequence, {15 * i + 1}, 15) || substr(sequence, {15 * j + 1}, 15)" for i in range(4) for j in range(i + 1, 4))
+
+
+@query("CLU-02_bucket_sizes", f"SELECT gene, combo, count(*) AS n_buckets, max(n) AS largest, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS candidate_pairs FROM (SELECT gene, combo, part, count(*) AS n FROM (SELECT gene, CAST(unnest(range(6)) AS INT) AS combo, unnest([{BLOCKS}]) AS part FROM counts WHERE length(sequence) = 60) GROUP BY ALL) GROUP BY gene, combo")
+def _(s):
+    return clustering.bucket_sizes(s.counts.select("gene", "sequence"))
+
+
 @query("CLU-03_chunked_clusters", GREEDY)
 def _(s):
     # batches come one after the other, each onto the stored centroids of those before it
@@ -324,6 +332,14 @@ def _(s):
     return refmatch.assign_taxonomy(q, few_references(s)).groupBy("gene", "domain", "phylum", "divergence").agg(F.count("*").alias("n"))
 
 
+@query("CLU-07_taxonomy_histogram", f"SELECT w.gene, stratum, CASE WHEN divergence IS NOT NULL THEN name END AS stratum_value, CAST(n_samples AS BIGINT) AS sample_count, count(*) AS species_count FROM ({WITHIN}) w JOIN per_seq p ON p.gene = w.gene AND p.rep = w.id, (VALUES ('domain', 'd__D'), ('phylum', 'p__P')) v(stratum, name) GROUP BY ALL")
+def _(s):
+    # every sequence as a representative: its nearest reference's domain and phylum, and the samples that it is in
+    reps_ = s.per_seq.where(F.length("rep") == 60)
+    named = refmatch.assign_taxonomy(reps_.select("gene", F.col("rep").alias("id"), F.col("rep").alias("sequence")), few_references(s))
+    return strata.taxonomy_histogram(named.join(reps_.select("gene", F.col("rep").alias("id"), "n_samples"), ["gene", "id"]))
+
+
 HAMMING = "least(hamming(a.sequence, b.sequence), 15)"
 SIX = (
     "SELECT marker, 'n_genome_windows' AS metric, 0 AS distance, count(*) AS count FROM ref_windows GROUP BY marker",

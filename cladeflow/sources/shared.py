@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,6 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of a table that is sent to every executor at most.
+SMALL_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows, marked to be broadcast if a count says that they are few; else they are joined by shuffle."""
+    rows = cut(df)
+    return F.broadcast(rows) if rows.count() <= (SMALL_ROWS if most is None else most) else rows
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the shared folder and survive lost executors."""
     shared_folder(df.sparkSession)

@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir). Quality rules, near-dedup and decontamination drop documents, the secret
 scan masks what it finds, and the mix, last, adds how often each document that it takes is repeated.
+
+Defined results: a null text has no words and goes with the quality rules; of rows with one text, repeated ones and those with
+null ids too, one stays; a null source is a source of its own; an empty `documents`, or one of which nothing is kept,
+gives an empty result with the same columns, and an empty `benchmark` drops nothing; extra columns are kept, but for the
+mix's own names.
 """
 
 from __future__ import annotations

@@ -102,6 +102,15 @@ def test_batches_onto_stored_clusters(spark, tmp_path):
     assert cluster_store.add(frame(spark, []), str(store)) == 5
     with pytest.raises(ValueError, match="divergence"):
         cluster_store.add(frame(spark, ws[:1]), str(store), max_divergence=3)
+    # one batch of all files, onto which the next one comes
+    assert cluster_store.sweep(spark, str(store), -5) == 0
+    cluster_store.compact(spark, str(store))
+    assert cluster_store.sweep(spark, str(store)) == 0 and cluster_store.sweep(spark, str(store), -5) == 10
+    assert {r.member: (r.rep, r.divergence) for r in cluster_store.members(spark, str(store)).collect()} == whole
+    more = windows(140, 5)[120:]
+    assert cluster_store.add(frame(spark, more), str(store)) == 2
+    longer = {r.member: (r.rep, r.divergence) for r in clustering.cluster(frame(spark, ws + more)).collect()}
+    assert {r.member: (r.rep, r.divergence) for r in cluster_store.members(spark, str(store)).collect()} == longer
     asked = spark.createDataFrame([("m", ws[7]), ("m", "A" * 60), ("other", ws[7])], "gene string, sequence string")
     assert {(r.gene, r.sequence): r.rep for r in cluster_store.look_up(asked, str(store)).collect()} == {("m", ws[7]): whole[ws[7]][0], ("m", "A" * 60): None, ("other", ws[7]): None}
 

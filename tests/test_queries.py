@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -18,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tabl
 
 
 def rows(df):
-    return sorted(tuple("null" if v is None or v != v else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    return sorted(tuple("null" if pd.isna(v) else repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", CHOSEN)
@@ -41,6 +42,15 @@ def test_query_over_files_and_numbers(spark, name):
     test_query(spark, name)
 
 
+@pytest.mark.parametrize("name", (
+    "AGG-03_merged_shards", "AGG-08_from_sets", "AGG-11_overlapping_parts", "AGG-31_summary", "AGG-32_model_counts", "AGG-32_selected_models", "CLU-01_greedy_clusters", "CLU-02_bucket_sizes", "CLU-03_chunked_clusters",
+    "CLU-05_reference_clusters", "CLU-07_assigned", "CLU-07_taxonomy_histogram", "CLU-07_within_8", "DOM-01_expected_table", "DOM-07_models", "DOM-07_richness_table", "DOM-07_selected_models", "DOM-08_richness_by_taxon",
+    "DOM-09_corrected_fits", "FIL-03_universal_markers", "FN-05_translate_codon", "JOIN-23_uncorrected_check", "ORC-03_manifest", "ORC-07_merge_parts", "RSH-07_nested_files", "SET-06_united", "SRC-09_sqlite_scan",
+))
+def test_query_of_fits_clusters_and_sets(spark, name):
+    test_query(spark, name)
+
+
 @pytest.mark.parametrize("name,most", (("DOM-02_signature", 1), ("DOM-04_error_estimates", 2), ("AGG-09_cumulative_years", 2), ("AGG-04_cluster_stats", 3), ("AGG-02_dedup", 1)))
 def test_scans(spark, name, most):
     """Operators read the tables they start from once each, not the source again for each use."""
