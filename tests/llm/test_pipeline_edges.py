@@ -15,7 +15,7 @@ def write(spark, folder, documents, items):
 
 @pytest.mark.parametrize("case", ("no documents", "no benchmark", "all too short", "all in the benchmark"))
 def test_edges(spark, tmp_path, case):
-    good = [(i, " ".join(words(120, 50 + i)), "en", f"s{i % 2}", 1) for i in range(6)]
+    good = [(i, " ".join(words(120, 50 + i)), "en", "s", 1) for i in range(6)]  # one source, whose target is all of it
     documents = {"no documents": [], "all too short": [(1, "a b c", "en", "s", 5), (2, None, None, None, None), (None, "", "en", "s", 0)]}.get(case, good)
     items = {"no benchmark": [], "all in the benchmark": [(d[0], d[1]) for d in good]}.get(case, [(1, "one two three four five six seven eight nine ten eleven")])
     write(spark, str(tmp_path), documents, items)
