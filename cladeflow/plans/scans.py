@@ -227,11 +227,11 @@ def _(s):
     return publish.read_published(s.spark, f"{folder}/merged").select("gene", "sample_count", "species_count")
 
 
-@query("ORC-09_checks", "SELECT name, low, (kind = 'positive' AND low > 0) OR (kind = 'not_negative' AND low >= 0) AS accepted FROM (SELECT 'l_linenumber' AS name, 'positive' AS kind, CAST(min(l_linenumber) AS DOUBLE) AS low FROM lineitem UNION ALL SELECT 'l_discount', 'positive', CAST(min(l_discount) AS DOUBLE) FROM lineitem UNION ALL SELECT 'l_tax', 'not_negative', CAST(min(l_tax) AS DOUBLE) FROM lineitem UNION ALL SELECT 'c_acctbal', 'not_negative', CAST(min(c_acctbal) AS DOUBLE) FROM customer)")
+@query("ORC-09_checks", "SELECT name, low, (kind = 'positive' AND low > 0) OR (kind = 'not_negative' AND low >= 0) AS accepted FROM (SELECT 'l_linenumber' AS name, 'positive' AS kind, CAST(min(l_linenumber) AS DOUBLE) + 0.0::DOUBLE AS low FROM lineitem UNION ALL SELECT 'l_discount', 'positive', CAST(min(l_discount) AS DOUBLE) + 0.0::DOUBLE FROM lineitem UNION ALL SELECT 'l_tax', 'not_negative', CAST(min(l_tax) AS DOUBLE) + 0.0::DOUBLE FROM lineitem UNION ALL SELECT 'c_acctbal', 'not_negative', CAST(min(c_acctbal) AS DOUBLE) + 0.0::DOUBLE FROM customer)")
 def _(s):
     # the least value of a column as an argument: sizes must be positive, others not negative
     checks = {"l_linenumber": publish.check_positive, "l_discount": publish.check_positive, "l_tax": publish.check_not_negative, "c_acctbal": publish.check_not_negative}
-    low = s.table("lineitem").agg(*[F.min(c).cast("double").alias(c) for c in list(checks)[:3]]).first().asDict() | s.table("customer").agg(F.min("c_acctbal").cast("double").alias("c_acctbal")).first().asDict()
+    low = s.table("lineitem").agg(*[(F.min(c).cast("double") + 0.0).alias(c) for c in list(checks)[:3]]).first().asDict() | s.table("customer").agg((F.min("c_acctbal").cast("double") + 0.0).alias("c_acctbal")).first().asDict()
 
     def accepted(name: str) -> bool:
         try:
