@@ -97,9 +97,14 @@ def hamming(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(one, other, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def known_bases(c: Column | str) -> Column:
+    """A window in which everything but A, C, G and T is N: gaps, other codes and lower case."""
+    return F.regexp_replace(col(c), "[^ACGT]", "N")
+
+
 def packed_bases(c: Column | str, words: int = 2) -> Column:
     """A window as array<bigint>: for each 30 bases two bits a base, then a mask of unknown ones, so that Hamming distance is a few bit counts."""
-    seq = normalise_gaps(c)
+    seq = known_bases(c)
     parts = []
     for w in range(words):
         piece = F.rpad(F.substring(seq, 30 * w + 1, 30), 30, "A")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalise_gaps, packed_bases
+from ..functions.scalars import known_bases, normalise_gaps, packed_bases
 from ..sources.shared import cut
 
 #: Sequence numbers a marker in the first chunk, and how many times as many each next one has.
@@ -67,15 +67,15 @@ def near_pairs(left: DataFrame, right: DataFrame, max_divergence: int = 2, windo
     """CLU-02, JOIN-22: pairs (gene, a, b, divergence) within a distance; left and right: (gene, id, sequence), gaps as N.
 
     Windows meet by id and packed bases in every pair of blocks that they share. A pair is kept in the first only,
-    so there is nothing to deduplicate.
+    so there is nothing to deduplicate. Letters other than A, C, G and T are one unknown base, N.
     """
     if max_divergence < 0:
         raise ValueError("max_divergence must not be negative")
     words, n = -(-window // 30), max_divergence + 2
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.where(F.length("sequence") == window).select("gene", F.col("id").alias(name), "sequence", packed_bases("sequence", words).alias("bits"))
-        rows = rows.select("gene", name, "bits", F.explode(_keys(max_divergence, window)).alias("x"))
+        rows = df.where(F.length("sequence") == window).select("gene", F.col("id").alias(name), known_bases("sequence").alias("sequence"))
+        rows = rows.select("gene", name, packed_bases("sequence", words).alias("bits"), F.explode(_keys(max_divergence, window)).alias("x"))
         return rows.select("gene", "x.combo", "x.part", name, *[F.col("bits")[i].alias(f"{name}{i}") for i in range(2 * words)])
 
     met = side(left, "a").join(side(right, "b"), ["gene", "combo", "part"])
@@ -96,7 +96,7 @@ def bucket_sizes(rows: DataFrame, max_divergence: int = 2, window: int = 60) ->
 
     Windows of low complexity share a bucket; their number is what to look at before a large run.
     """
-    keys = rows.where(F.length("sequence") == window).select("gene", F.explode(_keys(max_divergence, window)).alias("x"))
+    keys = rows.where(F.length("sequence") == window).select("gene", known_bases("sequence").alias("sequence")).select("gene", F.explode(_keys(max_divergence, window)).alias("x"))
     sizes = keys.groupBy("gene", "x.combo", "x.part").agg(F.count("*").alias("n"))
     pairs = F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("bigint"))
     return sizes.groupBy("gene", "combo").agg(F.count("*").alias("n_buckets"), F.max("n").alias("largest"), pairs.alias("candidate_pairs"))

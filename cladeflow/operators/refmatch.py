@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalise_gaps, packed_bases, taxonomy_token
+from ..functions.scalars import known_bases, normalise_gaps, packed_bases, taxonomy_token
 from ..sources.shared import cut
 from .clustering import differences_in, differing, near_pairs
 
@@ -58,13 +58,14 @@ def far_pairs(left: DataFrame, right: DataFrame, radius: int, window: int = 60)
 
     In one of radius // 2 + 1 blocks the two differ in one place at most. The right side is entered once a block, and the left
     side looks it up with all variants of its block, so long blocks do what many short ones would. A pair is kept in the first
-    block in which it is that near.
+    block in which it is that near. Letters other than A, C, G and T are one unknown base, N.
     """
     n, words = radius // 2 + 1, -(-window // 30)
     edges = [window * i // n for i in range(n + 1)]
 
     def side(df: DataFrame, name: str, keys: list[Column]) -> DataFrame:
-        rows = df.where(F.length("sequence") == window).select("gene", F.col("id").alias(name), packed_bases("sequence", words).alias("bits"), F.explode(F.array(*keys)).alias("x"))
+        rows = df.where(F.length("sequence") == window).select("gene", F.col("id").alias(name), known_bases("sequence").alias("sequence"))
+        rows = rows.select("gene", name, packed_bases("sequence", words).alias("bits"), F.explode(F.array(*keys)).alias("x"))
         rows = rows.select("gene", "x.block", F.explode("x.parts").alias("part"), name, *[F.col("bits")[i].alias(f"{name}{i}") for i in range(2 * words)])
         return rows.withColumn("part", F.xxhash64("part"))
 

@@ -1,7 +1,7 @@
 """SRC-09: SQLite tables, read only.
 
-`read_table` is a Spark data source over one database file. Spark ships the file to every executor (`addFile`, which takes
-paths of any Hadoop file system), and each task reads a range of rowids of the columns that are asked for, so no rows
+`read_table` is a Spark data source over one database file. On a cluster Spark ships the file to every executor (`addFile`, which
+takes paths of any Hadoop file system; two files of one name can't be shipped in a session), and each task reads a range of rowids of the columns that are asked for, so no rows
 pass through the driver; it only asks the file for its columns and the ends of its rowids.
 
 `scan` runs a query in each of many small databases that are values of a column, as `binaryFile` reads them; `pack` makes
@@ -41,6 +41,12 @@ def spark_type(declared: str) -> str:
     return "double" if any(x in upper for x in ("NUM", "DEC")) else "string"
 
 
+def located(path: str) -> str:
+    """Where a task finds the file: at its own path if that is on this machine, as in local mode and on shared disks, else where Spark has put it."""
+    own = path.removeprefix("file://")
+    return own if os.path.exists(own) else SparkFiles.get(os.path.basename(path))
+
+
 def connect(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{os.path.abspath(path)}?mode=ro", uri=True)
 
@@ -69,7 +75,7 @@ class SqliteReader(DataSourceReader):
         return [int(value) if self.options["equaltype"] == "int" else value]
 
     def partitions(self) -> list[InputPartition]:
-        with closing(connect(SparkFiles.get(self.options["file"]))) as db:
+        with closing(connect(located(self.options["file"]))) as db:
             try:
                 low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.options['table'])}").fetchone()
             except sqlite3.OperationalError:  # a table without rowids
@@ -85,7 +91,7 @@ class SqliteReader(DataSourceReader):
         columns = ", ".join(quoted(c) for c in schema.names) or "NULL"
         ranged = partition.low is not None
         sql = self._select(columns, *(["rowid BETWEEN ? AND ?"] if ranged else []))
-        with closing(connect(SparkFiles.get(self.options["file"]))) as db:
+        with closing(connect(located(self.options["file"]))) as db:
             rows = db.execute(sql, self._given() + ([partition.low, partition.high] if ranged else []))
             while batch := rows.fetchmany(BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*batch), schema)], schema=schema)
@@ -111,15 +117,15 @@ def table_schema(path: str, table: str) -> dict[str, str]:
 
 def read_table(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, equal: tuple[str, int | str] | None = None, partitions: int = 8) -> DataFrame:
     """A table or view of a database file. equal: a column and the value that its rows must have; this and `columns` are done by SQLite."""
-    file = os.path.basename(path)
-    spark.sparkContext.addFile(path)
-    kinds = table_schema(SparkFiles.get(file), table)
+    if not spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.addFile(path)
+    kinds = table_schema(located(path), table)
     chosen = columns or list(kinds)
     if missing := [c for c in [*chosen, *(equal[:1] if equal else [])] if c not in kinds]:
         raise ValueError(f"{table} has no columns {missing}")
     schema = StructType.fromDDL(", ".join(f"`{c.replace('`', '``')}` {kinds[c]}" for c in chosen))
     spark.dataSource.register(SqliteSource)
-    reader = spark.read.format(SqliteSource.name()).schema(schema).option("file", file).option("table", table).option("partitions", partitions)
+    reader = spark.read.format(SqliteSource.name()).schema(schema).option("file", path).option("table", table).option("partitions", partitions)
     if equal:
         reader = reader.option("equalcolumn", equal[0]).option("equalvalue", equal[1]).option("equaltype", type(equal[1]).__name__)
     return reader.load()

@@ -185,6 +185,21 @@ def test_widening_search(spark, radii, window):
     assert {x.status for x in refmatch.nearest_widening(q, r.limit(0), radii, window).collect()} == {f"none_within_{radii[-1]}", "other_length"}
 
 
+def test_letters_that_are_no_bases(spark):
+    """Codes of several bases, lower case and gaps are all one unknown base, in pairs, in wide searches and in clusters."""
+    pick = random.Random(11)
+    base = "".join(pick.choice("ACGT") for _ in range(60))
+    ws = list(dict.fromkeys("".join(c if pick.random() > 0.05 else pick.choice("ACGTNRYacgt-*") for c in base) for _ in range(80)))
+    plain = ["".join(c if c in "ACGT" else "N" for c in w) for w in ws]
+    far = lambda x, y: sum(p != q for p, q in zip(x, y))
+    rows = frame(spark, ws).withColumnRenamed("seq_num", "id")
+    for find, most in ((clustering.near_pairs, 2), (refmatch.far_pairs, 2), (refmatch.far_pairs, 5)):
+        got = {(r.a, r.b): r.divergence for r in find(rows, rows, most).where("a < b").collect()}
+        assert got == {(i, j): far(plain[i], plain[j]) for i in range(len(ws)) for j in range(i + 1, len(ws)) if far(plain[i], plain[j]) <= most}, (find, most)
+    centres = clustering.greedy(plain)
+    assert {r.member: r.rep for r in clustering.cluster(frame(spark, ws)).collect()} == {w: ws[c].replace("-", "N") for w, c in zip(ws, centres)}
+
+
 def test_radii_must_grow(spark):
     q = frame(spark, ["A" * 60]).withColumnRenamed("seq_num", "id")
     for radii in ((), (4, 2), (2, 2), (-1,)):
