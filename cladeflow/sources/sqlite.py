@@ -11,6 +11,7 @@ such databases out of rows, one a shard.
 from __future__ import annotations
 
 import os
+import re
 import sqlite3
 from collections.abc import Iterator
 from contextlib import closing
@@ -41,10 +42,13 @@ def spark_type(declared: str) -> str:
     return "double" if any(x in upper for x in ("NUM", "DEC")) else "string"
 
 
+def own(path: str) -> str:
+    return re.sub("^file:(//)?", "", path)
+
+
 def located(path: str) -> str:
     """Where a task finds the file: at its own path if that is on this machine, as in local mode and on shared disks, else where Spark has put it."""
-    own = path.removeprefix("file://")
-    return own if os.path.exists(own) else SparkFiles.get(os.path.basename(path))
+    return own(path) if os.path.exists(own(path)) else SparkFiles.get(os.path.basename(path))
 
 
 def connect(path: str) -> sqlite3.Connection:
@@ -117,7 +121,7 @@ def table_schema(path: str, table: str) -> dict[str, str]:
 
 def read_table(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, equal: tuple[str, int | str] | None = None, partitions: int = 8) -> DataFrame:
     """A table or view of a database file. equal: a column and the value that its rows must have; this and `columns` are done by SQLite."""
-    if not spark.sparkContext.master.startswith("local"):
+    if not (re.match(r"local($|\[)", spark.sparkContext.master) and os.path.exists(own(path))):
         spark.sparkContext.addFile(path)
     kinds = table_schema(located(path), table)
     chosen = columns or list(kinds)

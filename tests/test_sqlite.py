@@ -35,6 +35,7 @@ def test_ranges_and_columns(spark, database):
     with closing(sqlite3.connect(database)) as db:
         want = db.execute("SELECT sequence, taxonomy_id, marker_id, weight, raw, odd FROM otus").fetchall()
     assert sorted(map(str, (tuple(r[:4]) + (bytes(r[4]), r[5]) for r in whole.collect()))) == sorted(map(str, want))
+    assert sqlite.read_table(spark, f"file://{database}", "otus").count() == sqlite.read_table(spark, f"file:{database}", "otus").count() == 3000
     some = sqlite.read_table(spark, database, "otus", ["weight", "taxonomy_id"], ("marker_id", 1), 3)
     assert some.columns == ["weight", "taxonomy_id"] and some.count() == 1500
     assert sqlite.read_table(spark, database, "taxonomy", equal=("taxonomy", "Root; d__B; s__S2")).collect() == [(2, "Root; d__B; s__S2")]
