@@ -78,6 +78,7 @@ TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09
 _SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
 _RUN = re.compile(r"([dxX])\1{4,}")
 _GROUP = re.compile("[0-9]+")
+_CHANGE = re.compile("d(?=x)|x(?=d)")
 _TRIM = "\"'.,;:!?#*%&$<>[]{}|"
 CACHE = 200_000
 
@@ -92,7 +93,7 @@ def token_features(s: str, before: str = "") -> list[str]:
     n = s.count("d") + 4 * s.count("d+")
     body = re.sub(r"[dxX]\+?|[xX]", "", s)
     flat = re.sub(r"([dx])(?:\1|\+)*", r"\1", s.replace("X", "x"))
-    own = ["bias", f"shape={s}", f"flat={flat}", f"digits={min(n, 17)}", f"at={s.count('@')}", f"dots={min(s.count('.'), 5)}", f"marks={''.join(sorted(set(body)))}", f"head={s[:2]}", f"tail={s[-2:]}", f"letters={'x' in s or 'X' in s}", f"inner={bool(re.search('[dx]@[dx]', flat))}"]
+    own = ["bias", f"shape={s}", f"flat={flat}", f"digits={min(n, 17)}", f"at={s.count('@')}", f"dots={min(s.count('.'), 5)}", f"marks={''.join(sorted(set(body)))}", f"head={s[:2]}", f"tail={s[-2:]}", f"letters={'x' in s or 'X' in s}", f"inner={bool(re.search('[dx]@[dx]', flat))}", f"changes={min(len(_CHANGE.findall(flat)), 5)}"]
     return [*own, f"before={before}"] if before else own
 
 
@@ -140,6 +141,7 @@ FORMATS: dict[str, tuple[str, ...]] = {
     "": (
         "20##", "#", "##", "###", "#,###", "#.##", "v#.#.#", "##:##", "20##-0#-1#", "@handle", "@name##", "no.##", "##%", "x##x", "b#########a#f##c#", "(#)", "#)", "##.", "# #", "## ##", "### ### ###", "### ##", "#/#",
         "$##", "$#,###.##", "####", "#####", "abc@", "@", "######", "#######", "##/##/20##", "##-##-##", "ISBN-##########", "#.#.#", "##x##", "1#th", "#-#", "###-###", "########", "#.###.###", "id=#####", "§##", "##°",
+        "c##e#d####a#b#", "########-####-4###-b###-#########a##", "#f##a#d#####e##c", "f###d#c##", "key=##a##e#####d",
     ),
 }
 WORDS_BEFORE: dict[str, tuple[str, ...]] = {
@@ -152,19 +154,41 @@ WORDS_BEFORE: dict[str, tuple[str, ...]] = {
 LONGEST = max(len(w) for words in WORDS_BEFORE.values() for w in words)
 #: Each HELD-th format of a kind is held out in tests.
 HELD = 4
-
-
-def labelled_table(rows: int = 900, seed: int = 7, held: bool | None = None) -> list[tuple[int, int, str, str, str]]:
-    """The small labelled table: (sequence, place, word before, token, label), from the written formats and words; for tests, from those held out (True) or the others (False)."""
+_MARK = re.compile(r"(?<=[#0-9])[-. /](?=[#0-9])")
+_HEX = re.compile("(?=#*[a-f])[a-f#]{8,}")
+_PART = re.compile(r"(?<![0-9#])[0-9]?#+(?=\.|$)")
+
+
+def varied(pick: random.Random, kind: str, written: str) -> str:
+    """A format as it is written, or, in every second row, with one of the marks between its digits made another, an address with parts of other lengths, or a hexadecimal name of another length."""
+    if kind == "email" or pick.random() < 0.5:
+        return written
+    if _HEX.fullmatch(written):
+        return "".join(pick.choice("##########abcdef") for _ in range(pick.randrange(8, 65)))
+    if kind == "ip":
+        return _PART.sub(lambda m: "#" * pick.randrange(1, 4), written)
+    marks = sorted(set(_MARK.findall(written)))
+    if not marks:
+        return written
+    old, new = pick.choice(marks), pick.choice("-. " if kind == "card" else "-. /")
+    return _MARK.sub(lambda m: new if m[0] == old else m[0], written)
+
+
+def labelled_table(rows: int = 900, seed: int = 7, held: bool | None = None, fold: int = HELD - 1) -> list[tuple[int, int, str, str, str]]:
+    """The small labelled table: (sequence, place, word before, token, label), from the written formats and words.
+
+    For tests, from the formats that a fold holds out, as they are written (held is True), or from the others, varied (False).
+    """
     pick = random.Random(seed)
-    chosen = {k: tuple(f for i, f in enumerate(v) if held is None or (i % HELD == HELD - 1) == held) for k, v in FORMATS.items()}
+    chosen = {k: tuple(f for i, f in enumerate(v) if held is None or (i % HELD == fold) == held) for k, v in FORMATS.items()}
     out = []
     names = list(FORMATS)
     for i in range(rows):
         kinds = [names[i % len(names)]] if i % 3 else [names[i % len(names)], ""]
         place, before = 0, pick.choice(("", *WORDS_BEFORE[kinds[0]]))
         for kind in kinds:
-            text = re.sub("#", lambda _: pick.choice("0123456789"), pick.choice(chosen[kind]))
+            written = pick.choice(chosen[kind])
+            text = re.sub("#", lambda _: pick.choice("0123456789"), written if held else varied(pick, kind, written))
             tail = pick.choice(("", "", "", ".", ",", "%%%", "!!"))
             tokens = text.split(" ")
             for j, t in enumerate(tokens):
