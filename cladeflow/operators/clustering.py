@@ -78,7 +78,7 @@ def near_pairs(left: DataFrame, right: DataFrame, max_divergence: int = 2, windo
         rows = rows.select("gene", name, packed_bases("sequence", words).alias("bits"), F.explode(_keys(max_divergence, window)).alias("x"))
         return rows.select("gene", "x.combo", "x.part", name, *[F.col("bits")[i].alias(f"{name}{i}") for i in range(2 * words)])
 
-    met = side(left, "a").join(side(right, "b"), ["gene", "combo", "part"])
+    met = side(left, "a").hint("merge").join(side(right, "b").hint("merge"), ["gene", "combo", "part"])  # see refmatch.shuffled
     met = met.select("gene", "combo", "a", "b", *[d.alias(f"d{w}") for w, d in enumerate(differing(words))])
     divergence = sum((F.bit_count(f"d{w}") for w in range(words)), F.lit(0))
     edges, same = _edges(max_divergence, window), F.lit(0)

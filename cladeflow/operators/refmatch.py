@@ -39,14 +39,21 @@ def nearest(queries: DataFrame, reference: DataFrame, max_divergence: int = 2, w
     pairs = near_pairs(q, r, max_divergence, window)
     best = pairs.groupBy("gene", "a").agg(F.min(F.struct("divergence", "b")).alias("m"))
     names = reference.select(F.col("gene"), F.col("id").alias("ref_id"), "taxonomy")
-    return best.select("gene", F.col("a").alias("query"), F.col("m.divergence").cast("int").alias("divergence"), F.col("m.b").alias("ref_id")).join(names, ["gene", "ref_id"])
+    return best.select("gene", F.col("a").alias("query"), F.col("m.divergence").cast("int").alias("divergence"), F.col("m.b").alias("ref_id")).join(shuffled(names), ["gene", "ref_id"])
 
 
 #: Distances that are searched one after the other, each for what the one before left open.
 RADII = (2, 4, 8)
+#: Searched before the first of them: windows one base apart share longer blocks, and so meet far fewer others.
+NEAREST = 1
 BASES = "ACGTN"
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The rows, to be joined by shuffle. They grow with the input, and shuffled windows are so much smaller than in memory that Spark would send them all through the driver."""
+    return df.hint("merge")
+
+
 def _variants(part: Column, size: int) -> Column:
     """A string and all that differ from it in one place."""
     each = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.transform(F.array(*map(F.lit, BASES)), lambda c: F.overlay(part, c, i, F.lit(1)))))
@@ -72,7 +79,7 @@ def far_pairs(left: DataFrame, right: DataFrame, radius: int, window: int = 60)
     blocks = [(k, F.substring("sequence", a + 1, b - a), b - a) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
     entered = side(right, "b", [F.struct(F.lit(k).alias("block"), F.array(part).alias("parts")) for k, part, _ in blocks])
     asked = side(left, "a", [F.struct(F.lit(k).alias("block"), _variants(part, size).alias("parts")) for k, part, size in blocks])
-    met = asked.join(entered, ["gene", "block", "part"])
+    met = shuffled(asked).join(shuffled(entered), ["gene", "block", "part"])
     met = met.select("gene", "block", "a", "b", *[d.alias(f"d{w}") for w, d in enumerate(differing(words))])
     divergence = sum((F.bit_count(f"d{w}") for w in range(words)), F.lit(0))
     first = F.lit(n)
@@ -94,7 +101,7 @@ def nearest_widening(queries: DataFrame, reference: DataFrame, radii: tuple[int,
     asked = cut(q.where(F.length("sequence") == window).groupBy("gene", "sequence").agg(F.min("id").alias("id")))
     known = cut(reference.select("gene", "id", normalise_gaps("sequence").alias("sequence")).where(F.length("sequence") == window).groupBy("gene", "sequence").agg(F.min("id").alias("id")))
     open_, found, n_known = asked, [], known.count()
-    for radius in radii:
+    for radius in [*([NEAREST] if radii[0] > NEAREST else []), *radii]:
         if radius <= 2:
             pairs = near_pairs(open_, known, radius, window)
         elif open_.count() <= n_known:
@@ -103,12 +110,12 @@ def nearest_widening(queries: DataFrame, reference: DataFrame, radii: tuple[int,
             pairs = far_pairs(known, open_, radius, window).select("gene", F.col("b").alias("a"), F.col("a").alias("b"), "divergence")
         best = cut(pairs.groupBy("gene", F.col("a").alias("id")).agg(F.min(F.struct("divergence", "b")).alias("m")))
         found.append(best)
-        open_ = cut(open_.join(best, ["gene", "id"], "left_anti"))
+        open_ = cut(open_.join(shuffled(best), ["gene", "id"], "left_anti"))
         if open_.isEmpty():
             break
-    best = reduce(DataFrame.unionByName, found).join(asked, ["gene", "id"]).select("gene", "sequence", F.col("m.divergence").cast("int").alias("divergence"), F.col("m.b").alias("ref_id"))
+    best = reduce(DataFrame.unionByName, found).join(shuffled(asked), ["gene", "id"]).select("gene", "sequence", F.col("m.divergence").cast("int").alias("divergence"), F.col("m.b").alias("ref_id"))
     names = reference.select("gene", F.col("id").alias("ref_id"), "taxonomy")
-    out = q.join(best, ["gene", "sequence"], "left").join(names, ["gene", "ref_id"], "left")
+    out = q.join(shuffled(best), ["gene", "sequence"], "left").join(shuffled(names), ["gene", "ref_id"], "left")
     status = F.when(F.col("divergence").isNotNull(), "matched").when(F.length("sequence") == window, f"none_within_{radii[-1]}").otherwise("other_length")
     return out.select("gene", F.col("id").alias("query"), "divergence", "ref_id", "taxonomy", status.alias("status"))
 

@@ -205,3 +205,11 @@ def test_radii_must_grow(spark):
     for radii in ((), (4, 2), (2, 2), (-1,)):
         with pytest.raises(ValueError):
             refmatch.nearest_widening(q, q, radii)
+
+
+def test_searches_send_no_windows_through_the_driver(spark):
+    rows = spark.createDataFrame([("m", w, w, "Root; d__D; p__P; s__S") for w in windows(60)], "gene string, id string, sequence string, taxonomy string")
+    found = (clustering.near_pairs(rows, rows), refmatch.far_pairs(rows, rows, 8), refmatch.nearest(rows, rows), refmatch.nearest_widening(rows, rows))
+    for df in found:
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
