@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cladeflow.operators import clusterstats, collate, strata
+from cladeflow.operators.numbering import numbered
 from cladeflow.plans.fixtures import Fixture
 from cladeflow.sources import shared
 
@@ -45,3 +48,21 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch, tmp_path):
     assert {(r.rep, r.n_samples) for r in found} == {(k, len(v)) for k, v in samples.items()}
     meta = spark.createDataFrame([(f"s{i}", str(2000 + i % 3), None) for i in range(900)], "acc string, year string, organism string")
     assert strata.tagged(h, members.withColumnRenamed("sequence", "member"), meta).count() == sum(map(len, samples.values()))
+
+
+def test_windows_are_numbered_by_place_without_a_sort_of_all_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "TASK_ROWS", 200)
+    f = Fixture(spark, str(tmp_path))
+    f.__dict__["otu"] = hits(spark).withColumn("planted_rep", F.col("sequence"))
+    placed = f.make_indexed()
+    assert most_rows(placed) < 400
+    f.__dict__["indexed"] = shared.cut(placed)
+    for df in (f.indexed, f.indexed.where("sequence = 'AAAA'")):
+        by_place, by_position = (df.orderBy(*by).select("gene", "sample", "otu_idx").collect() for by in (("gene", "sample", "otu_idx"), ("gene", "position")))
+        assert by_place == by_position
+    plans = []
+    monkeypatch.setattr(collate, "numbered", lambda df, *rest: plans.append(df) or numbered(df, *rest))
+    got = f.make_dedup()
+    assert "SortAggregate" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    want = collate.dedup(f.indexed, F.struct("sample", "otu_idx"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
