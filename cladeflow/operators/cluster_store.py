@@ -57,7 +57,9 @@ def add(unique: DataFrame, path: str, max_divergence: int = 2, window: int = 60)
     last = rows.agg(F.max("id")).first()[0]
     if last is None:
         return len(facts["batches"])
-    reached, new = clustering.extend(rows, centroids(spark, path), max_divergence, window)
+    # near pairs of a batch grow with its square where no centroid is known yet: those of its first windows are found first
+    size = max(clustering.FIRST, (clustering.GROWTH - 1) * facts["next"])
+    reached, new = clustering.extend_growing(rows, centroids(spark, path), max_divergence, window, facts["next"], last, size)
     name = uuid.uuid4().hex
     part = {"members": f"members/{name}", "centroids": f"centroids/{name}"}
     # the rows' own centroids are among the stored or the new ones

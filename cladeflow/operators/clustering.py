@@ -151,20 +151,31 @@ def extend(rows: DataFrame, centroids: DataFrame, max_divergence: int, window: i
     new = cut(part.join(_chosen(rest, max_divergence, window), ["gene", "id"], "left_semi"))
     own = new.select("gene", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("divergence"))
     met = old.unionByName(near_pairs(new, part, max_divergence, window).where("a < b")).unionByName(own)
-    best = met.groupBy("gene", "b").agg(F.min(F.struct("divergence", "a")).alias("m"))
-    return cut(best.select("gene", F.col("b").alias("id"), F.col("m.a").alias("rep_id"), F.col("m.divergence").alias("divergence"))), new
+    # the least centroid at each distance, since the least (distance, centroid) would not be aggregated by hash
+    least = {d: F.col(f"__{d}") for d in range(max_divergence + 1)}
+    best = met.groupBy("gene", "b").agg(*[F.min(F.when(F.col("divergence") == d, F.col("a"))).alias(f"__{d}") for d in least])
+    nearest = F.coalesce(*[F.when(c.isNotNull(), F.lit(d)) for d, c in least.items()])
+    return cut(best.select("gene", F.col("b").alias("id"), F.coalesce(*least.values()).alias("rep_id"), nearest.alias("divergence"))), new
+
+
+def extend_growing(rows: DataFrame, centroids: DataFrame, max_divergence: int, window: int, low: int, high: int, size: int, growth: int = GROWTH) -> tuple[DataFrame, DataFrame]:
+    """`extend` over ids from low to high in chunks of `size` ids, each next one of `growth` times as many: the result is that of one chunk."""
+    found, new = [], []
+    while low <= high:
+        reached, own = extend(rows.where(F.col("id").between(low, low + size - 1)), reduce(DataFrame.unionByName, new, centroids), max_divergence, window)
+        found, new = [*found, reached], [*new, own]
+        low, size = low + size, size * growth
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, new)
 
 
 def cluster(unique: DataFrame, max_divergence: int = 2, window: int = 60, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
     """CLU-01: (gene, member, rep, divergence) of every window; unique: (gene, seq_num, sequence), earlier numbers first."""
     rows = cut(numbered_windows(unique))
     low, high = rows.agg(F.min("id"), F.max("id")).first()
-    centroids, found = rows.limit(0).select("gene", "id", "sequence"), rows.limit(0).select("gene", "id", F.col("id").alias("rep_id"), F.lit(0).alias("divergence"))
-    size = first
-    while low is not None and low <= high:
-        reached, new = extend(rows.where(F.col("id").between(low, low + size - 1)), centroids, max_divergence, window)
-        found, centroids = found.unionByName(reached), centroids.unionByName(new)
-        low, size = low + size, size * growth
+    none = rows.limit(0).select("gene", "id", "sequence")
+    if low is None:
+        return none.select("gene", F.col("sequence").alias("member"), F.col("sequence").alias("rep"), F.lit(0).alias("divergence"))
+    found, centroids = extend_growing(rows, none, max_divergence, window, low, high, first, growth)
     return named_members(found, centroids, rows).select("gene", "member", "rep", "divergence")
 
 

@@ -53,6 +53,22 @@ def test_chains_and_chunks(spark, tmp_path):
     assert growing == whole
 
 
+def test_a_batch_meets_its_first_centroids_before_itself(spark, tmp_path, monkeypatch):
+    """A large batch of a new store: only its first windows and what their centroids don't reach are compared with each other."""
+    monkeypatch.setattr(clustering, "FIRST", 8)
+    ws = list(dict.fromkeys(["ACGT" * 15] + ["ACGT" * 7 + x + y + "ACGT" * 7 + "AC" for x in "ACGT" for y in "ACGT"] + windows(40, 6)))
+    compared, aggregated, real = [], [], clustering._chosen
+    monkeypatch.setattr(clustering, "_chosen", lambda rows, *rest: compared.append(rows.count()) or real(rows, *rest))
+    keep = clustering.cut
+    monkeypatch.setattr(clustering, "cut", lambda df: aggregated.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    for k, n in ((0, 50), (50, len(ws))):
+        cluster_store.add(frame(spark, ws[k:n]), str(tmp_path / "s"))
+    got = {r.member: r.rep for r in cluster_store.members(spark, str(tmp_path / "s")).collect()}
+    assert got == {w: ws[c] for w, c in zip(ws, clustering.greedy(ws))}
+    assert len(compared) == 4 and compared[0] == 8 and compared[1] < 24
+    assert not any("SortAggregate" in plan for plan in aggregated)
+
+
 def test_a_ring_ends(spark):
     ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "member string, rep string")
     with pytest.raises(ValueError, match="ring"):
