@@ -29,6 +29,22 @@ def test_frequent_keys_are_joined_where_they_are(spark, monkeypatch):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_rows_of_rare_keys_are_dealt_whatever_the_number_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 200)
+    left = spark.range(4000).selectExpr("'g' AS gene", "if(id < 1000, 'often', cast(id % 1000 AS string)) AS sequence", "id AS sample")
+    left = shared.cut(left.repartition(4))  # else the gene is known to be one and no key
+    right = left.select("gene", "sequence", F.col("sequence").alias("rep")).distinct()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for rows, often in ((left, 1000), (left.where("sequence <> 'often'"), 0)):
+            got = shared.join_frequent(rows, right, ["gene", "sequence"])
+            assert got.where("sequence = 'often'").count() == often and got.count() == 3000 + often
+            assert most_rows(got.where("sequence <> 'often'")) < 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(shared, "TASK_ROWS", 200)
     h = hits(spark)
